@@ -100,7 +100,7 @@ def int_div(a: Column, b: Column) -> Column:
 
 def planned_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of ``df`` after optimisation."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def pick_blocks(
