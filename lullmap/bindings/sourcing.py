@@ -1 +1,219 @@
-"""."""
+"""Formats written from the test tables and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lullmap.bindings.common import DAY, ENDS, ORIGIN, S, USER, query, samples, sql_quiet, table, user_ends, with_
+from lullmap.bindings.detection import quiet_plan
+from lullmap.plans.scratch import new_folder
+from lullmap.sources import files, lines, stores
+
+text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA"))
+
+
+@query(
+    "read_listing",
+    """SELECT p_brand AS listing, p_partkey AS pos, 'p' || p_partkey AS video_id, 'https://www.youtube.com/watch?v=p' || p_partkey AS url,
+    p_name || '::' || p_type AS title, CASE WHEN p_partkey % 5 <> 0 THEN p_size END::DOUBLE AS duration,
+    CASE WHEN p_partkey % 3 <> 0 THEN trunc(p_retailprice) END::BIGINT AS view_count, NULL::BIGINT AS ts
+    FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0""",
+)
+def read_listing(spark, sf):
+    """Parts as listing lines: some without an id, some too short, separators in titles."""
+    key = F.col("p_partkey")
+    line = F.concat_ws(
+        "::",
+        F.when(key % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("p"), key.cast("string"))),
+        F.when(key % 5 != 0, F.col("p_size").cast("string")).otherwise("NA"),
+        F.when(key % 3 != 0, F.col("p_retailprice").cast("string")).otherwise("NA"),
+        F.when(key % 17 != 0, F.concat(F.lit("NA::"), "p_name", F.lit("::"), "p_type")),
+    )
+    listed = table(spark, sf, "part").select(
+        F.col("p_brand").alias("listing"), key.alias("pos"), line.alias("value")
+    )
+    return lines.parse_listing(listed, carry_over=["listing", "pos"])
+
+
+@query(
+    "read_queue",
+    """SELECT c_custkey AS line_no, c_name AS entry FROM customer WHERE c_custkey % 5 NOT IN (0, 1)""",
+)
+def read_queue(spark, sf):
+    key = F.col("c_custkey")
+    listed = table(spark, sf, "customer").select(
+        key.alias("line_no"),
+        F.when(key % 5 == 0, F.lit("   "))
+        .when(key % 5 == 1, F.concat(F.lit("  # "), "c_name"))
+        .otherwise(F.concat(F.lit(" "), "c_name", F.lit(" ")))
+        .alias("line"),
+    )
+    return lines.parse_queue(listed)
+
+
+@query(
+    "read_progress",
+    """SELECT event_id, value AS downloaded_bytes, CASE WHEN event_id % 3 = 0 THEN 1000.0 WHEN event_id % 4 <> 0 THEN 900.0 END::DOUBLE AS total_bytes,
+    NULL::DOUBLE AS speed, CASE WHEN event_id % 7 <> 0 THEN user_id END::DOUBLE AS eta FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0""",
+)
+def read_progress(spark, sf):
+    """Events as progress lines among other output."""
+    n = F.col("event_id")
+    line = F.concat_ws(
+        "|",
+        F.when(n % 10 == 0, F.lit("log")).otherwise(F.lit("progress")),
+        F.col("value").cast("string"),
+        F.when(n % 3 == 0, F.lit("1000")).otherwise("NA"),
+        F.when(n % 4 == 0, F.lit("inf")).otherwise("900"),
+        F.when(n % 2 == 0, F.lit("NaN")).otherwise(""),
+        F.when(n % 7 == 0, F.lit("soon")).otherwise(F.col("user_id").cast("string")),
+        F.when(n % 11 == 0, F.lit("more")),
+    )
+    listed = table(spark, sf, "events").select("event_id", line.alias("value"))
+    return lines.parse_progress(listed, carry_over=["event_id"])
+
+
+@query(
+    "read_quiet_log",
+    with_(
+        S,
+        "e AS (SELECT user_id, max(t) + 5000000 AS end_us FROM s GROUP BY 1)",
+        f"""k AS (SELECT user_id, event_id, t, event_type IN ('click', 'view') AS st,
+          lag(event_type IN ('click', 'view')) OVER w AS pst, lag(t) OVER w AS pt, lead(t) OVER w AS nt
+          FROM s WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""",
+        then="""SELECT user_id, pt AS start_us, t AS end_us FROM k WHERE NOT st AND pst
+          UNION ALL SELECT user_id, t, end_us FROM k JOIN e USING (user_id) WHERE st AND nt IS NULL""",
+    ),
+)
+def read_quiet_log(spark, sf):
+    """Events as a detector's log: starts, ends and other lines, with decimal commas."""
+    rows = samples(spark, sf)
+    at = F.format_string("%d,%06d", F.call_function("div", F.col("t"), F.lit(1_000_000)), F.col("t") % 1_000_000)
+    kind = F.col("event_type")
+    line = (
+        F.when(kind.isin("click", "view"), F.concat(F.lit("[x] silence_start: "), at, F.lit(" silence_end: 1")))
+        .when(kind == "signup", F.lit("frame=1"))
+        .otherwise(F.concat(F.lit("silence_end: "), at, F.lit(" | silence_duration: 1")))
+    )
+    log = rows.select("user_id", "event_id", line.alias("line"))
+    ends = user_ends(rows).withColumn("end_us", F.col("end_us") + 5_000_000)
+    return lines.parse_quiet_log(log, USER, ["event_id"], "line", ends)
+
+
+@query(
+    "json_logs",
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, upper(event_type) AS level, 'user.' || user_id AS logger, props AS msg, 1 AS v,
+    CASE WHEN event_id % 4 = 0 THEN event_type END AS step, value AS duration_s, CASE WHEN event_id % 3 = 0 THEN event_id END AS bytes FROM events""",
+)
+def json_logs(spark, sf):
+    """Events written as JSON lines and read back."""
+    n = F.col("event_id")
+    records = table(spark, sf, "events").select(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"),
+        F.upper("event_type").alias("level"),
+        F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("logger"),
+        F.col("props").alias("msg"),
+        F.when(n % 4 == 0, F.col("event_type")).alias("step"),
+        F.col("value").alias("duration_s"),
+        F.when(n % 3 == 0, n).alias("bytes"),
+    )
+    path = new_folder(spark, "json-logs")
+    lines.write_json_logs(records, path)
+    back = lines.read_json_logs(spark, path)
+    return back.filter(F.col("_corrupt_record").isNull()).select(
+        "ts", "level", "logger", "msg", "v", "step", "duration_s", "bytes"
+    )
+
+
+@query(
+    "interval_cache",
+    with_(
+        S,
+        ENDS,
+        sql_quiet(),
+        then="""SELECT 'user-' || user_id AS source, start_us, end_us FROM quiet WHERE user_id % 3 <> 0""",
+    ),
+)
+def interval_cache(spark, sf):
+    """Quiet intervals cached under a config, and read for requests of which some do not match."""
+    name = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    quiet = quiet_plan(spark, sf)[2].select(
+        name.alias("source"), F.col("user_id").alias("source_size"), "start_us", "end_us"
+    )
+    config = {"threshold": -30, "min_silence": 2.0, "margin": 0.5}
+    path = new_folder(spark, "interval-cache")
+    stores.write_interval_cache(quiet, path, config)
+    stores.write_interval_cache(quiet, path, {**config, "margin": 1})
+    asked = table(spark, sf, "events").select(
+        name.alias("source"),
+        (F.col("user_id") + (F.col("user_id") % 3 == 0).cast("int")).alias("source_size"),
+        F.lit("2024-01-01").cast("timestamp").alias("source_mtime"),
+    ).distinct()
+    hits = stores.read_interval_cache(spark, path, asked, {**config, "threshold": -30.0})
+    return hits.select("source", "start_us", "end_us")
+
+
+@query(
+    "batch_state",
+    """SELECT 'b' || o_custkey % 20 AS batch, (o_orderkey)::INTEGER AS pos, o_orderpriority AS title, 'u' || o_orderkey AS url
+    FROM orders WHERE o_orderstatus <> 'F'""",
+)
+def batch_state(spark, sf):
+    """Batches written, read back and reduced to what is left to do."""
+    queue = table(spark, sf, "orders").select(
+        F.concat(F.lit("b"), (F.col("o_custkey") % 20).cast("string")).alias("batch"),
+        F.col("o_orderkey").cast("int").alias("pos"),
+        F.col("o_orderpriority").alias("title"),
+        F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"),
+        "o_orderstatus",
+    )
+    path = new_folder(spark, "batch-state")
+    stores.write_batch_state(queue, queue.filter(F.col("o_orderstatus") == "F"), path)
+    entries, done = stores.read_batch_state(spark, path)
+    return entries.join(done, ["batch", "url"], "left_anti").select("batch", "pos", "title", "url")
+
+
+@query("file_inventory")
+def file_inventory(spark, sf):
+    """Identity of the table files themselves."""
+    return files.file_inventory(spark, sf).withColumn("name", F.regexp_extract("path", r"[^/]+$", 0))
+
+
+VEC_FILE = 100
+
+
+@query(
+    "read_pcm",
+    """WITH v AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS v FROM embeddings),
+    q AS (SELECT vec_id // 100 AS file, (vec_id % 100) * 64 + i AS n, trunc(v::DOUBLE * 32000)::INTEGER AS s FROM v)
+    SELECT file, n // 256 AS bucket, max(abs(s)) / 32768.0::DOUBLE AS peak FROM q GROUP BY 1, 2""",
+)
+def read_pcm(spark, sf):
+    """Embeddings written as WAV files of a hundred vectors each, and read as peaks."""
+    import struct
+
+    folder = new_folder(spark, "pcm")
+
+    def store(batch):
+        import numpy as np
+        from pyarrow import fs
+
+        name = int(batch["file"].iloc[0])
+        signal = np.concatenate(batch.sort_values("vec_id")["embedding"].to_list()).astype("float64")
+        pcm = np.trunc(signal * 32000).astype("<i2").tobytes()
+        head = b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt "
+        head += struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(pcm))
+        root = folder.replace("file:", "", 1) if folder.startswith("file:/") else folder
+        system, inner = fs.FileSystem.from_uri(root)
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(f"{inner}/{name}.wav") as out:
+            out.write(head + pcm)
+        return batch[["file"]].head(1)
+
+    vectors = table(spark, sf, "embeddings").select(
+        F.call_function("div", F.col("vec_id"), F.lit(VEC_FILE)).alias("file"), "vec_id", "embedding"
+    )
+    vectors.groupBy("file").applyInPandas(store, "file bigint").count()
+    peaks = files.read_pcm(spark, folder)
+    number = F.regexp_extract("source", r"(\d+)\.wav$", 1).cast("long")
+    return peaks.select(number.alias("file"), "bucket", "peak")

@@ -36,9 +36,9 @@ class _QuietProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = self.open.get() if self.open.exists() else None
         start, last, end = state if state else (None, None, None)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("__at", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("row_us", kind="stable")
         spans = []
-        for at, quiet, limit in zip(batch["__at"], batch["__quiet"], batch["__end"]):
+        for at, quiet, limit in zip(batch["row_us"], batch["row_quiet"], batch["row_end_us"]):
             if last is not None and at < last:
                 continue  # the interval this row belongs to may be out already
             last = int(at)
@@ -95,9 +95,9 @@ def stream_quiet(
     rows = sdf.withWatermark(ts, watermark).select(
         *keys,
         ts,
-        F.unix_micros(ts).alias("__at"),
-        quiet.alias("__quiet"),
-        (F.col(end).cast("long") if end else F.lit(None).cast("long")).alias("__end"),
+        F.unix_micros(ts).alias("row_us"),
+        quiet.alias("row_quiet"),
+        (F.col(end).cast("long") if end else F.lit(None).cast("long")).alias("row_end_us"),
     )
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_QuietProcessor(keys, min_len_us),

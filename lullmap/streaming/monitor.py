@@ -24,9 +24,9 @@ class _ProgressProcessor(StatefulProcessor):
         self.phases = handle.getMapState("phases", "phase string", "first_us bigint, top double, smoothed double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("__at", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("row_us", kind="stable")
         out, known = [], {}
-        for at, phase, fraction in zip(batch["__at"], batch["phase"], batch["fraction"]):
+        for at, phase, fraction in zip(batch["row_us"], batch["phase"], batch["fraction"]):
             if phase not in known:
                 stored = self.phases.containsKey((phase,))
                 known[phase] = list(self.phases.getValue((phase,))) if stored else [int(at), 0.0, None]
@@ -56,7 +56,7 @@ def stream_progress(
     ``sdf`` holds the run keys, ``ts`` (TIMESTAMP), ``phase`` and ``fraction``. The first
     row of a phase starts its clock.
     """
-    rows = sdf.select(*keys, F.unix_micros(ts).alias("__at"), "phase", "fraction")
+    rows = sdf.select(*keys, F.unix_micros(ts).alias("row_us"), "phase", "fraction")
     out = "at_us bigint, phase string, fraction double, elapsed_s double, eta_s double"
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_ProgressProcessor(keys, alpha),
@@ -78,7 +78,7 @@ class _StallProcessor(StatefulProcessor):
         self.seen = handle.getValueState("seen", "at_ms bigint, event_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(batch["__at"].max()) for batch in rows)
+        latest = max(int(batch["row_us"].max()) for batch in rows)
         now = timerValues.getCurrentProcessingTimeInMs()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -105,7 +105,7 @@ def stream_stalls(
     """A ``warn`` and then a ``kill`` row for every run that stays silent, by processing time."""
     if not warn_s < kill_s:
         raise ValueError("the warning must come before the kill")
-    rows = sdf.select(*keys, F.unix_micros(ts).alias("__at"))
+    rows = sdf.select(*keys, F.unix_micros(ts).alias("row_us"))
     out = "kind string, last_event_us bigint, silent_s double"
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_StallProcessor(keys, warn_s, kill_s),
