@@ -334,11 +334,12 @@ LEFT JOIN (SELECT user_id, count(*) AS kc, sum(end_us - start_us) AS ku FROM kee
 @query("cut_summary", with_(*sql_cut(), then=SUMMARY))
 def cut_summary(spark, sf):
     """The flagship: what would be cut from every series, and what would be left."""
-    rows, _, cut, keep, _ = cut_plan(spark, sf)
+    rows, ends, cut, _, blocks = cut_plan(spark, sf)
+    plan = iv.cut_plan(cut, ends, USER, blocks=blocks)
     series = rows.groupBy("user_id").agg(
         F.max("t").alias("end_us"), (F.count(F.lit(1)) * 1_000_003).alias("size_bytes")
     )
-    result = summary.cut_summary(cut, keep, series, USER)
+    result = summary.plan_summary(plan, series, USER)
     return result.withColumns({c: F.round(c, 4) for c in ("quiet_pct", "keep_pct")})
 
 

@@ -44,6 +44,17 @@ def _cut(iv: DataFrame, keys: Sequence[str], blocks: Blocks | None) -> tuple[Dat
     return blocks.assign(iv, keys, SPAN), blocks
 
 
+def _merged(cut: DataFrame, keys: Sequence[str], blocks: Blocks, apart) -> DataFrame:
+    """Join intervals of a cut table; ``apart`` says when a gap to all earlier ones separates."""
+    cut = carry(cut, keys, blocks, {"end": F.max(END)}, {"__reach_in": ("max_before", "end")})
+    reach = F.max(END).over(before(ordered(keys, blocks, SPAN)))
+    cut = cut.withColumn("__reach", F.greatest(F.col("__reach_in").cast("long"), reach))
+    opens = F.col("__reach").isNull() | apart(F.col(START) - F.col("__reach"))
+    return islands(
+        cut, keys, SPAN, blocks, opens, {START: ("min", F.col(START)), END: ("max", F.col(END))}
+    )
+
+
 def merge_intervals(
     iv: DataFrame,
     keys: Sequence[str],
@@ -57,17 +68,8 @@ def merge_intervals(
     those closer than that are joined.
     """
     cut, blocks = _cut(iv, keys, blocks)
-    cut = carry(cut, keys, blocks, {"end": F.max(END)}, {"__reach_in": ("max_before", "end")})
-    reach = F.max(END).over(before(ordered(keys, blocks, SPAN)))
-    cut = cut.withColumn("__reach", F.greatest(F.col("__reach_in").cast("long"), reach))
-    gap = F.col(START) - F.col("__reach")
-    apart = gap > 0 if touch else gap >= 0
-    if min_gap_us:
-        apart = gap >= min_gap_us
-    opens = F.col("__reach").isNull() | apart
-    return islands(
-        cut, keys, SPAN, blocks, opens, {START: ("min", F.col(START)), END: ("max", F.col(END))}
-    )
+    least = min_gap_us or (1 if touch else 0)
+    return _merged(cut, keys, blocks, lambda gap: gap >= least)
 
 
 def apply_margin(
@@ -116,25 +118,31 @@ def apply_margin(
     return merge_intervals(shaped.filter(start < end), keys, blocks=blocks)
 
 
-def keep_intervals(
+def cut_plan(
     quiet: DataFrame,
     ends: DataFrame,
     keys: Sequence[str],
     floor_us: int = KEEP_FLOOR_US,
     blocks: Blocks | None = None,
 ) -> DataFrame:
-    """The complement of ``quiet`` within [0, end) of every series in ``ends``.
+    """The quiet intervals and their complement in one table, told apart by ``part``.
+
+    ``keep`` rows cover [0, end) of every series in ``ends`` except what is quiet: pieces
+    shorter than ``floor_us`` are dropped, then pieces closer than ``floor_us`` joined.
+    ``quiet`` rows are the given ones. Both come from one pass over the intervals, so a
+    summary of the two does not compute them twice.
 
-    Pieces shorter than ``floor_us`` are dropped, then pieces closer than ``floor_us``
-    are joined. Series without any quiet interval are kept whole. Series whose end is
-    unknown or not positive give nothing here; ``invalid_ends`` lists them.
+    Series without any quiet interval are kept whole. Series whose end is unknown or not
+    positive give no rows; ``invalid_ends`` lists them.
     """
     blocks = blocks or pick_blocks(quiet, keys, START)
     known = ends.filter(F.col(END) > 0).select(*keys, F.col(END).alias("__limit"))
     inside = (F.col(START) < F.col("__limit")) & (F.col(END) > 0) & (F.col(START) < F.col(END))
+    given = F.struct(F.lit("quiet").alias("part"), F.col(START).alias("s"), F.col(END).alias("e"))
     placed = known.join(quiet.select(*keys, *SPAN), list(keys), "left").select(
         *keys,
         "__limit",
+        F.when(F.col(START).isNotNull(), given).alias("__given"),
         # Intervals outside the series become null rows, not missing ones: the last row
         # of a series must stay to carry the tail.
         F.when(inside, F.greatest(F.lit(0), START)).alias(START),
@@ -155,22 +163,38 @@ def keep_intervals(
     )
     final = F.lead(F.lit(1)).over(w).isNull() & F.col("__more").isNull()
     cut = cut.withColumns({"__reach": reach, "__final": final})
-    lead_in = F.when(
-        F.col("__reach") < F.col(START), F.struct(F.col("__reach").alias("s"), F.col(START).alias("e"))
-    )
-    covered = F.greatest(F.col("__reach"), F.col(END))
-    tail = F.when(
-        F.col("__final") & (covered < F.col("__limit")),
-        F.struct(covered.alias("s"), F.col("__limit").alias("e")),
-    )
-    kept = (
-        cut.select(*keys, F.explode(F.array_compact(F.array(lead_in, tail))).alias("k"))
-        .select(*keys, F.col("k.s").alias(START), F.col("k.e").alias(END))
-        .filter(F.col(END) - F.col(START) >= floor_us)
+
+    def kept(start, end):
+        return F.struct(F.lit("keep").alias("part"), start.alias("s"), end.alias("e"))
+
+    passed, start, limit = F.col("__reach"), F.col(START), F.col("__limit")
+    covered = F.greatest(passed, F.col(END))
+    lead_in = F.when(start - passed >= max(floor_us, 1), kept(passed, start))
+    tail = F.when(F.col("__final") & (limit - covered >= max(floor_us, 1)), kept(covered, limit))
+    pieces = F.array_compact(F.array("__given", lead_in, tail))
+    parts = cut.select(*keys, F.explode(pieces).alias("k")).select(
+        *keys, "k.part", F.col("k.s").alias(START), F.col("k.e").alias(END)
     )
     if floor_us <= 0:
-        return kept
-    return merge_intervals(kept, keys, min_gap_us=floor_us, blocks=blocks)
+        return parts
+    both = [*keys, "part"]
+    return _merged(
+        blocks.assign(parts, both, SPAN),
+        both,
+        blocks,
+        lambda gap: (F.col("part") == "quiet") | (gap >= floor_us),
+    )
+
+
+def keep_intervals(
+    quiet: DataFrame,
+    ends: DataFrame,
+    keys: Sequence[str],
+    floor_us: int = KEEP_FLOOR_US,
+    blocks: Blocks | None = None,
+) -> DataFrame:
+    """The ``keep`` part of ``cut_plan``: the complement of ``quiet`` within [0, end)."""
+    return cut_plan(quiet, ends, keys, floor_us, blocks).filter(F.col("part") == "keep").drop("part")
 
 
 def invalid_ends(ends: DataFrame, keys: Sequence[str]) -> DataFrame:

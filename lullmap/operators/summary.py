@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lullmap.functions.units import fmt_bytes, fmt_clock, fmt_elapsed
-from lullmap.operators.intervals import END, interval_totals
+from lullmap.operators.intervals import END, START
 from lullmap.plans.blocks import Blocks, carry, int_div, ordered, per_series, pick_blocks, upto
 
 # Fixed values of the estimates.
@@ -24,23 +24,31 @@ SPACE_FACTORS = {
 SEGMENT_WORST_SHARE = 0.6
 
 
-def cut_summary(
-    quiet: DataFrame, keep: DataFrame, series: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """Per series: how much is quiet, how much is kept, and the size to expect.
+def plan_totals(plan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number and total length of the quiet and the keep parts, in one aggregation."""
+    length = F.greatest(F.lit(0), F.col(END) - F.col(START))
+    of = lambda part: F.col("part") == part
+    return plan.groupBy(*keys).agg(
+        *[
+            agg
+            for part in ("quiet", "keep")
+            for agg in (
+                F.count_if(of(part)).alias(f"{part}_count"),
+                F.sum(F.when(of(part), length).otherwise(0)).alias(f"{part}_us"),
+            )
+        ]
+    )
 
-    ``series`` holds keys, ``end_us`` (null if unknown) and ``size_bytes``.
-    """
 
-    def totals(iv: DataFrame, name: str) -> DataFrame:
-        return interval_totals(iv, keys).withColumnsRenamed(
-            {"intervals": f"{name}_count", "total_us": f"{name}_us"}
-        )
+def plan_summary(plan: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per series: how much is quiet, how much is kept, and the size to expect.
 
+    ``plan`` comes from ``cut_plan``; ``series`` holds keys, ``end_us`` (null if unknown)
+    and ``size_bytes``.
+    """
     joined = (
         series.select(*keys, F.when(F.col(END) > 0, F.col(END)).alias("duration_us"), "size_bytes")
-        .join(totals(quiet, "quiet"), list(keys), "left")
-        .join(totals(keep, "keep"), list(keys), "left")
+        .join(plan_totals(plan, keys), list(keys), "left")
         .na.fill(0, ["quiet_count", "quiet_us", "keep_count", "keep_us"])
     )
     span = F.col("duration_us").cast("double")
@@ -57,6 +65,14 @@ def cut_summary(
     )
 
 
+def cut_summary(
+    quiet: DataFrame, keep: DataFrame, series: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """``plan_summary`` of quiet and keep intervals held in two tables."""
+    named = lambda iv, part: iv.select(*keys, F.lit(part).alias("part"), START, END)
+    return plan_summary(named(quiet, "quiet").unionByName(named(keep, "keep")), series, keys)
+
+
 def cut_report(summary: DataFrame) -> DataFrame:
     """Text columns for people next to a ``cut_summary``."""
     clock = lambda c: fmt_clock(F.call_function("div", F.col(c), F.lit(1_000_000)))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lullmap.operators.intervals import END, START, apply_margin, interval_totals, keep_intervals
+from lullmap.operators.intervals import END, START, apply_margin, cut_plan
 from lullmap.operators.quiet import quiet_runs
+from lullmap.operators.summary import plan_totals
 from lullmap.plans.blocks import Blocks, carry, ordered, pick_blocks
 
 # The grid is a literal of the program, not data; this only guards against a slip.
@@ -73,14 +74,10 @@ def parameter_sweep(
     )
     spans = ends.crossJoin(F.broadcast(points))
     quiet = apply_margin(raw, wide, F.col("margin_us"), spans, blocks)
-    keep = keep_intervals(quiet, spans, wide, floor_us, blocks)
-    name = lambda iv, n: interval_totals(iv, wide).withColumnsRenamed(
-        {"intervals": f"{n}_count", "total_us": f"{n}_us"}
-    )
+    plan = cut_plan(quiet, spans, wide, floor_us, blocks)
     return (
         spans.select(*wide, F.col(END).alias("span_us"))
-        .join(name(quiet, "quiet"), wide, "left")
-        .join(name(keep, "keep"), wide, "left")
+        .join(plan_totals(plan, wide), wide, "left")
         .na.fill(0, ["quiet_count", "quiet_us", "keep_count", "keep_us"])
     )
 

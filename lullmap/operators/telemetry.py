@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,9 +35,6 @@ CONNECT_S, NO_PROGRESS_S, CEILING_S = 300, 1800, 28_800
 WARN_S, KILL_S = 120, 300
 SOFT_SHARE, HARD_SHARE, RESERVE_MB = 0.80, 0.95, 2048.0
 
-# A piece handed to Python is held in memory, so it is kept smaller than a sorted one.
-ROWS_PER_PYTHON_TASK = 2_000_000
-
 
 def monotone(
     df: DataFrame,
@@ -181,11 +178,15 @@ def _next_kept(t: np.ndarray, forced: np.ndarray, interval: int) -> np.ndarray:
     return np.minimum(due, marks[np.searchsorted(marks, np.arange(len(t)), side="right")])
 
 
-def _first_kept(t: np.ndarray, forced: np.ndarray, due: float) -> int:
-    """Index of the first row kept when nothing before ``due`` may be."""
-    marks = np.flatnonzero(forced)
-    mark = marks[0] if len(marks) else len(t)
-    return int(min(np.searchsorted(t, due, side="left"), mark))
+def _kept(t: np.ndarray, forced: np.ndarray, interval: int, last: float) -> np.ndarray:
+    """Indexes of the rows kept after a row at ``last``."""
+    marks = np.append(np.flatnonzero(forced), len(t))
+    chosen, i = [], int(min(np.searchsorted(t, last + interval, side="left"), marks[0]))
+    while i < len(t):
+        chosen.append(i)
+        due = max(i + 1, np.searchsorted(t, t[i] + interval, side="left"))
+        i = int(min(due, marks[np.searchsorted(marks, i, side="right")]))
+    return np.asarray(chosen, dtype=np.int64)
 
 
 def throttle(
@@ -203,10 +204,10 @@ def throttle(
     series needs two rounds: every piece reports, for each row that could be its first
     kept one, which row it would keep last; following these reports from piece to piece
     gives each piece its true start. A piece reports only rows within ``interval_us`` of
-    its beginning.
+    its beginning, so pieces are kept much wider than that.
     """
     order = list(order or [ts])
-    blocks = blocks or pick_blocks(df, keys, ts, ROWS_PER_PYTHON_TASK)
+    blocks = blocks or pick_blocks(df, keys, ts, least_us=16 * interval_us)
     flag = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
     cut = blocks.assign(df.withColumn("__forced", flag), keys, order)
     group = [*keys, *blocks.cols]
@@ -214,19 +215,35 @@ def throttle(
     of = lambda cols: ", ".join(f"`{c}` {types[c]}" for c in cols)
     kept_schema = of([c for c in cut.columns if c != "__forced"])
 
-    def kept_rows(rows: pd.DataFrame, last: float) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        t, marks = rows[ts].to_numpy(), rows["__forced"].to_numpy(dtype=bool)
-        follow = _next_kept(t, marks, interval_us)
-        chosen, i = [], _first_kept(t, marks, last + interval_us)
-        while i < len(t):
-            chosen.append(i)
-            i = follow[i]
-        return rows.iloc[chosen].drop(columns=["__forced", "__last"], errors="ignore")
+    def kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walk sorted rows batch by batch; only the last kept time crosses a batch."""
+        open_group, last = None, -math.inf
+        for batch in batches:
+            if batch.empty:
+                continue
+            ids = batch[group]
+            starts = np.flatnonzero((ids != ids.shift()).any(axis=1))
+            stops = np.append(starts[1:], len(batch))
+            t, marks = batch[ts].to_numpy(), batch["__forced"].to_numpy(dtype=bool)
+            entry = batch["__last"].to_numpy()
+            chosen = []
+            for a, b in zip(starts, stops):
+                this = tuple(ids.iloc[a])
+                last = last if this == open_group else entry[a]
+                open_group = this
+                picked = a + _kept(t[a:b], marks[a:b], interval_us, last)
+                if len(picked):
+                    last = t[picked[-1]]
+                    chosen.append(picked)
+            rows = np.concatenate(chosen) if chosen else []
+            yield batch.iloc[rows].drop(columns=["__forced", "__last"])
+
+    def walk(started: DataFrame) -> DataFrame:
+        together = started.repartition(*[F.col(c) for c in group])
+        return together.sortWithinPartitions(*group, *order).mapInPandas(kept_rows, kept_schema)
 
     if not blocks.cols:
-        whole = lambda rows: kept_rows(rows, -math.inf)
-        return cut.groupBy(*group).applyInPandas(whole, kept_schema)
+        return walk(cut.withColumn("__last", F.lit(-math.inf)))
 
     def report(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
@@ -265,12 +282,7 @@ def throttle(
         report, f"{of(group)}, due array<bigint>, kept array<bigint>, marked boolean"
     )
     starts = reports.groupBy(*keys).applyInPandas(chain, f"{of(group)}, `__last` double")
-    started = cut.join(starts, group)
-    return (
-        started.groupBy(*group)
-        .applyInPandas(lambda rows: kept_rows(rows, rows["__last"].iloc[0]), kept_schema)
-        .drop(*blocks.cols)
-    )
+    return walk(cut.join(starts, group)).drop(*blocks.cols)
 
 
 def stall_report(

@@ -108,13 +108,15 @@ def pick_blocks(
     keys: Sequence[str],
     ts: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    least_us: int = 0,
 ) -> Blocks:
     """Measure the largest series and choose the cheapest safe cut.
 
     The measurement is one map-side combined count that reads the key columns only; it is
     skipped for inputs that are small by Spark's estimate. With ``ts`` (BIGINT
     microseconds) the widest time width whose fullest piece fits is taken; without it, or
-    when even one second is too full, the pieces are sampled ranges.
+    when even one second is too full, the pieces are sampled ranges. ``least_us`` asks for
+    time pieces no narrower than that.
     """
     if planned_bytes(df) <= SMALL_INPUT_BYTES:
         return WholeSeries()
@@ -123,10 +125,12 @@ def pick_blocks(
     if not total or largest <= rows_per_task:
         return WholeSeries()
     if ts is not None:
-        for width in WIDTHS:
+        for width in (w for w in WIDTHS if w >= least_us):
             cells = df.groupBy(*keys, floor_div(F.col(ts), F.lit(width)).alias(BLOCK)).count()
             if cells.agg(F.max("count")).first()[0] <= rows_per_task:
                 return TimeBlocks(width)
+        if least_us:
+            return TimeBlocks(least_us)
     slots = df.sparkSession.sparkContext.defaultParallelism
     return RangeBlocks(max(2 * slots, -(-2 * total // rows_per_task)))
 
