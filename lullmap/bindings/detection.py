@@ -334,7 +334,8 @@ LEFT JOIN (SELECT user_id, count(*) AS kc, sum(end_us - start_us) AS ku FROM kee
 @query("cut_summary", with_(*sql_cut(), then=SUMMARY))
 def cut_summary(spark, sf):
     """The flagship: what would be cut from every series, and what would be left."""
-    rows, ends, cut, _, blocks = cut_plan(spark, sf)
+    rows, ends, quiet, blocks = quiet_plan(spark, sf)
+    cut = iv.apply_margin(quiet, USER, MARGIN, ends, blocks)
     plan = iv.cut_plan(cut, ends, USER, blocks=blocks)
     series = rows.groupBy("user_id").agg(
         F.max("t").alias("end_us"), (F.count(F.lit(1)) * 1_000_003).alias("size_bytes")
