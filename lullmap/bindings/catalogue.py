@@ -12,11 +12,11 @@ from lullmap.operators import catalog as cat
 NOW = dt.datetime(2003, 1, 1, tzinfo=dt.timezone.utc)
 
 
-def parts(spark, sf):
-    """``part`` as a catalogue: brands are listings, some values unknown."""
+def parts(spark, sf, listing="p_brand"):
+    """``part`` as a catalogue: brands or types are listings, some values unknown."""
     known = lambda c, n: F.when(F.col("p_partkey") % n != 0, F.col(c))
     return table(spark, sf, "part").select(
-        F.col("p_brand").alias("listing"),
+        F.col(listing).alias("listing"),
         F.col("p_partkey").alias("pos"),
         F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("video_id"),
         F.concat(F.lit("https://example.org/"), F.col("p_partkey").cast("string")).alias("url"),
@@ -32,6 +32,7 @@ PARTS = """c AS (SELECT p_brand AS listing, p_partkey AS pos, 'v' || p_partkey A
   CASE WHEN p_partkey % 5 <> 0 THEN p_size END::DOUBLE AS duration,
   CASE WHEN p_partkey % 3 <> 0 THEN trunc(p_retailprice) END::BIGINT AS view_count,
   CASE WHEN p_partkey % 4 <> 0 THEN p_partkey * 37 % 1009 END AS ts FROM part)"""
+TYPES = PARTS.replace("p_brand AS listing", "p_type AS listing")
 COLS = "listing, pos, video_id, url, title, duration, view_count, ts"
 PLACE = "row_number() OVER (PARTITION BY listing ORDER BY"
 
@@ -77,11 +78,11 @@ def meta_filter_since(spark, sf):
 
 @query(
     "select_positions",
-    f"""WITH {PARTS}, r AS (SELECT *, {PLACE} duration DESC NULLS LAST, pos) AS n FROM c)
+    f"""WITH {TYPES}, r AS (SELECT *, {PLACE} duration DESC NULLS LAST, pos) AS n FROM c)
     SELECT listing, pos AS partkey, title, duration, n::INTEGER AS pos FROM r WHERE n IN (1, 3, 4, 5, 9)""",
 )
 def select_positions(spark, sf):
-    listed = parts(spark, sf).select("listing", F.col("pos").alias("partkey"), "title", "duration")
+    listed = parts(spark, sf, "p_type").select("listing", F.col("pos").alias("partkey"), "title", "duration")
     order = [F.desc_nulls_last("duration"), F.asc("partkey")]
     return cat.select_positions(listed, "9,1,5-3", order, ["listing"])
 
@@ -228,16 +229,17 @@ def recent_top_k(spark, sf):
 
 @query(
     "expand_queue",
-    f"""WITH {PARTS}, q AS (SELECT n_nationkey + 1 AS line_no, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'Brand#' || n_nationkey END AS entry FROM nation),
+    f"""WITH {TYPES}, q AS (SELECT p_partkey + 1 AS line_no, CASE WHEN p_partkey % 50 = 0 THEN p_type ELSE p_name END AS entry FROM part),
     r AS (SELECT listing, title, url, {PLACE} view_count DESC NULLS LAST, pos) AS rank FROM c
       WHERE (title IS NULL OR NOT title LIKE '%red%') AND (duration IS NULL OR duration >= 5))
     SELECT line_no, rank::INTEGER AS rank, title, url FROM q JOIN r ON q.entry = r.listing WHERE rank IN (1, 2, 4)
     UNION ALL SELECT line_no, 1::INTEGER, NULL, entry FROM q WHERE entry NOT IN (SELECT listing FROM c)""",
 )
 def expand_queue(spark, sf):
-    key = F.col("n_nationkey")
-    brand = F.concat(F.lit("Brand#"), key.cast("string"))
-    queue = table(spark, sf, "nation").select(
-        (key + 1).alias("line_no"), F.when(key % 3 == 0, F.col("n_name")).otherwise(brand).alias("entry")
+    """A queue of part names among which every fiftieth line names a listing."""
+    key = F.col("p_partkey")
+    queue = table(spark, sf, "part").select(
+        (key + 1).alias("line_no"),
+        F.when(key % 50 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("entry"),
     )
-    return cat.expand_queue(queue, parts(spark, sf), "1-2,4", "views", "!*red*", 5.0)
+    return cat.expand_queue(queue, parts(spark, sf, "p_type"), "1-2,4", "views", "!*red*", 5.0)
