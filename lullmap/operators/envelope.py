@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullmap.plans.blocks import Blocks, int_div, per_series, pick_blocks, positions
+from lullmap.plans.blocks import Blocks, carry, int_div, ordered, pick_blocks
 
 # Fixed value: samples looked at for the dominant frequency.
 SPECTRUM_SAMPLES = 8192
@@ -30,14 +30,19 @@ def envelope(
     """
     blocks = blocks or pick_blocks(df, keys, order[0])
     lean = df.select(*keys, *dict.fromkeys([*order, value]))
-    placed = per_series(
-        positions(lean, keys, order, blocks, "__j"), keys, blocks, {"__n": F.count(F.lit(1))}
+    cut = carry(
+        blocks.assign(lean, keys, order),
+        keys,
+        blocks,
+        {"n": F.count(F.lit(1))},
+        {"__n_in": ("sum_before", "n"), "__n": ("sum_all", "n")},
     )
+    pos = F.row_number().over(ordered(keys, blocks, order)) + F.col("__n_in")
+    placed = cut.withColumn("__j", pos.cast("long"))
     j, n = F.col("__j"), F.col("__n")
     bucket = F.when(n <= buckets, j - 1).otherwise(int_div(j * buckets - 1, n))
-    return (
-        placed.groupBy(*keys, bucket.cast("int").alias("bucket"))
-        .agg(F.max(F.abs(value)).alias("peak"))
+    return placed.groupBy(*keys, bucket.cast("int").alias("bucket")).agg(
+        F.max(F.abs(value)).alias("peak")
     )
 
 
@@ -62,8 +67,6 @@ def dominant_frequency(
     The first samples are taken by position, which Spark limits per partition before the
     exchange, so a task never holds more than 8192 rows of a series.
     """
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     head = (
         df.select(*keys, *dict.fromkeys([*order, value]))

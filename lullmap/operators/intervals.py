@@ -21,9 +21,7 @@ from lullmap.plans.blocks import (
     int_div,
     islands,
     ordered,
-    per_series,
     pick_blocks,
-    positions,
 )
 
 START, END = "start_us", "end_us"
@@ -81,8 +79,8 @@ def apply_margin(
 ) -> DataFrame:
     """Shrink (positive margin) or grow (negative) intervals, then merge what overlaps.
 
-    Starts stay at or after 0 and, with ``ends`` (keys, ``end_us``), ends at or before the
-    series end. Two intervals with rows between them grow at most to the midpoint of
+    Starts stay at or after 0 and, with ``ends`` (keys, or some of them, and ``end_us``),
+    ends at or before the series end. Two intervals with rows between them grow at most to the midpoint of
     that gap, so growing never swallows it. Emptied intervals disappear.
     """
     margin = margin_us if isinstance(margin_us, Column) else F.lit(margin_us)
@@ -111,8 +109,9 @@ def apply_margin(
         F.least(end - margin, right_mid).alias(END),
     )
     if ends is not None:
-        limit = ends.select(*keys, F.col(END).alias("__limit"))
-        shaped = shaped.join(limit, list(keys), "left").withColumn(
+        known = [k for k in keys if k in ends.columns]
+        limit = ends.select(*known, F.col(END).alias("__limit"))
+        shaped = shaped.join(limit, known, "left").withColumn(
             END, F.least(END, "__limit")
         ).drop("__limit")
     return merge_intervals(shaped.filter(start < end), keys, blocks=blocks)
@@ -219,14 +218,17 @@ def chunk_intervals(
     iv: DataFrame, keys: Sequence[str], size: int = CHUNK_SIZE, blocks: Blocks | None = None
 ) -> DataFrame:
     """Group each series' intervals, in order, into chunks sized by how many there are."""
-    blocks = blocks or pick_blocks(iv, keys, START)
     length = F.col(END) - F.col(START)
-    counted = per_series(
-        positions(iv, keys, SPAN, blocks, "__pos"),
+    cut, blocks = _cut(iv, keys, blocks)
+    cut = carry(
+        cut,
         keys,
         blocks,
-        {"__n": F.count(F.lit(1)), "__total": F.sum(length)},
+        {"n": F.count(F.lit(1)), "len": F.sum(length)},
+        {"__n_in": ("sum_before", "n"), "__n": ("sum_all", "n"), "__total": ("sum_all", "len")},
     )
+    pos = F.row_number().over(ordered(keys, blocks, SPAN)) + F.col("__n_in")
+    counted = cut.withColumn("__pos", pos.cast("long"))
     n = F.col("__n")
     shared = lambda crowd: F.greatest(F.lit(CHUNK_MIN), int_div(F.lit(size * crowd), n))
     wanted = (

@@ -41,7 +41,7 @@ def quiet_runs(
     """Maximal runs of ``quiet`` rows; a run ends where the next loud row is.
 
     A run still open after the last row is closed at the series end from ``ends``
-    (keys, ``end_us``), and dropped without one.
+    (keys, or some of them, and ``end_us``), and dropped without one.
     """
     lean = df.select(*keys, *dict.fromkeys([ts, *order]), F.coalesce(quiet, F.lit(False)).alias("__q"))
     cut = blocks.assign(lean, keys, order)
@@ -74,10 +74,11 @@ def quiet_runs(
     )
     if ends is None:
         return runs.filter(~F.col("__open")).drop("__open")
-    limit = ends.select(*keys, F.col(END).alias("__limit"))
+    known = [k for k in keys if k in ends.columns]
+    limit = ends.select(*known, F.col(END).alias("__limit"))
     closed = F.when(F.col("__open"), F.col("__limit")).otherwise(F.col(END))
     return (
-        runs.join(limit, list(keys), "left")
+        runs.join(limit, known, "left")
         .withColumn(END, closed)
         .filter(F.col(START) < F.col(END))
         .drop("__open", "__limit")

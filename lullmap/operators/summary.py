@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lullmap.functions.units import fmt_bytes, fmt_clock, fmt_elapsed
 from lullmap.operators.intervals import END, START
-from lullmap.plans.blocks import Blocks, carry, int_div, ordered, per_series, pick_blocks, upto
+from lullmap.plans.blocks import Blocks, carry, int_div, ordered, pick_blocks, upto
 
 # Fixed values of the estimates.
 SIZE_LOW, SIZE_HIGH = 0.4, 0.6
@@ -155,11 +155,15 @@ def exact_median(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     blocks = blocks or pick_blocks(counts, keys)
     cut = blocks.assign(counts, keys, [value])
-    cut = carry(cut, keys, blocks, {"n": F.sum("__n")}, {"__n_in": ("sum_before", "n")})
-    upto_here = F.sum("__n").over(upto(ordered(keys, blocks, [value]))) + F.col("__n_in")
-    placed = per_series(
-        cut.withColumn("__upto", upto_here), keys, blocks, {"__total": F.sum("__n")}
+    cut = carry(
+        cut,
+        keys,
+        blocks,
+        {"n": F.sum("__n")},
+        {"__n_in": ("sum_before", "n"), "__total": ("sum_all", "n")},
     )
+    upto_here = F.sum("__n").over(upto(ordered(keys, blocks, [value]))) + F.col("__n_in")
+    placed = cut.withColumn("__upto", upto_here)
     total = F.col("__total")
 
     def at(k: Column) -> Column:
@@ -185,16 +189,12 @@ def preset_comparison(
     per = runs.groupBy(preset).agg(
         F.max_by("size_bytes", run).alias("size_bytes"), F.max("source_s").alias("source_s")
     ).join(exact_median(runs, [preset], "time_s", blocks), preset, "left")
-    base = runs.filter(F.col(preset) == baseline).agg(
-        F.max_by("size_bytes", run).alias("__base")
-    )
-    speed = F.when(F.col("time_s") > 0, F.col("source_s") / F.when(F.col("time_s") > 0, F.col("time_s")))
-    ratio = F.when(F.col("__base") > 0, F.col("size_bytes") / F.when(F.col("__base") > 0, F.col("__base")))
-    return (
-        # One aggregate row, so the cross join adds a column and no rows.
-        per.crossJoin(F.broadcast(base))
-        .withColumns(
-            {"speed": F.coalesce(speed, F.lit(0.0)), "ratio": F.coalesce(ratio, F.lit(0.0))}
-        )
-        .drop("__base", "source_s")
-    )
+    first = runs.filter(F.col(preset) == baseline).agg(F.max_by("size_bytes", run)).scalar()
+    base = F.when(first > 0, first)
+    time = F.when(F.col("time_s") > 0, F.col("time_s"))
+    return per.withColumns(
+        {
+            "speed": F.coalesce(F.col("source_s") / time, F.lit(0.0)),
+            "ratio": F.coalesce(F.col("size_bytes") / base, F.lit(0.0)),
+        }
+    ).drop("source_s")

@@ -18,7 +18,6 @@ from lullmap.plans.blocks import (
     carry,
     int_div,
     ordered,
-    per_series,
     pick_blocks,
 )
 from lullmap.plans.scratch import pinned
@@ -131,7 +130,8 @@ def eta(
     ``ts`` is BIGINT microseconds.
     """
     blocks = blocks or pick_blocks(df, keys, ts)
-    timed = per_series(df, keys, blocks, {"__first": F.min(ts)})
+    cut = blocks.assign(df, keys, [ts])
+    timed = carry(cut, keys, blocks, {"first": F.min(ts)}, {"__first": ("min_all", "first")})
     f = F.col(fraction)
     elapsed = (F.col(ts) - F.col("__first")) / F.lit(1e6)
     estimate = lambda least: F.when(least, elapsed / F.when(least, f))
@@ -141,7 +141,7 @@ def eta(
             "eta_s": estimate(f > ETA_MIN_FRACTION) - elapsed,
             "total_s": estimate(f >= TOTAL_ETA_MIN_FRACTION),
         }
-    ).drop("__first")
+    ).drop("__first", *blocks.cols)
 
 
 def overall_progress(df: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def telemetry_limits(
         {"__stop": (gone & was_gone) | F.coalesce(too_much, F.lit(False)), "__at": at}
     ).drop("__gone_in")
     stops = F.min(F.when(F.col("__stop"), F.col("__at")))
-    live = per_series(flagged, keys, blocks, {"__until": stops})
+    live = carry(flagged, keys, blocks, {"stop": stops}, {"__until": ("min_all", "stop")})
     u, until = F.col(used), F.col("__until")
     inside = until.isNull() | (F.col("__at") < until)
     ending = inside | (F.col("__at") == until)

@@ -150,9 +150,6 @@ def upto(window):
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-_EMPTY = {"sum_before": 0, "sum_all": 0}
-
-
 def carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -160,23 +157,34 @@ def carry(
     summary: dict[str, Column],
     outs: dict[str, tuple[str, str]],
 ) -> DataFrame:
-    """Add what the other pieces of the series say to every row of a piece.
+    """Add what the pieces of the series say to every row of a piece.
 
-    ``summary`` aggregates a piece; ``outs`` maps each new column to (kind, summary
-    name), kind being ``lag`` / ``lead`` (neighbour piece), ``max_before``,
-    ``sum_before`` (all earlier pieces) or ``sum_all``. Rows of the first piece get null
-    (0 for sums). With ``WholeSeries`` there are no other pieces.
+    ``summary`` aggregates a piece, combining before the exchange; ``outs`` maps each new
+    column to (kind, summary name). Kinds are ``lag`` and ``lead`` (neighbour piece),
+    ``max_before`` and ``sum_before`` (all earlier pieces), and ``min_all``, ``max_all``
+    and ``sum_all`` (the whole series). Without such pieces the value is null, or 0 for a
+    sum. The result stays distributed by series and piece.
     """
     if not blocks.cols:
-        return df.withColumns({out: F.lit(_EMPTY.get(kind)) for out, (kind, _) in outs.items()})
+        whole = Window.partitionBy(*keys)
+        alone = {"sum_before": F.lit(0)}
+        return df.withColumns(
+            {
+                out: summary[n].over(whole) if kind.endswith("_all") else alone.get(kind, F.lit(None))
+                for out, (kind, n) in outs.items()
+            }
+        )
     pieces = df.groupBy(*keys, *blocks.cols).agg(*[c.alias(f"__{n}") for n, c in summary.items()])
-    w = Window.partitionBy(*keys).orderBy(*blocks.cols)
+    series = Window.partitionBy(*keys)
+    w = series.orderBy(*blocks.cols)
     forms = {
         "lag": lambda c: F.lag(c).over(w),
         "lead": lambda c: F.lead(c).over(w),
         "max_before": lambda c: F.max(c).over(before(w)),
         "sum_before": lambda c: F.coalesce(F.sum(c).over(before(w)), F.lit(0)),
-        "sum_all": lambda c: F.sum(c).over(Window.partitionBy(*keys)),
+        "min_all": lambda c: F.min(c).over(series),
+        "max_all": lambda c: F.max(c).over(series),
+        "sum_all": lambda c: F.sum(c).over(series),
     }
     brought = pieces.select(
         *keys, *blocks.cols, *[forms[kind](f"__{n}").alias(out) for out, (kind, n) in outs.items()]
@@ -184,14 +192,6 @@ def carry(
     return df.join(brought, [*keys, *blocks.cols])
 
 
-def per_series(df: DataFrame, keys: Sequence[str], blocks: Blocks, aggs: dict[str, Column]) -> DataFrame:
-    """Add series-level aggregates to every row."""
-    if not blocks.cols:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({n: c.over(w) for n, c in aggs.items()})
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), list(keys))
-
-
 def positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], blocks: Blocks, name: str = "pos"
 ) -> DataFrame:

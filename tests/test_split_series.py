@@ -7,7 +7,9 @@ import spec
 from pyspark.sql import functions as F
 
 from lullmap.bindings.common import HOUR, ORDER, USER, samples, user_ends
-from lullmap.operators import apply, envelope, quality, summary, telemetry
+from lullmap.operators import apply, envelope, quality, summary, sweep, telemetry
+from lullmap.operators.intervals import apply_margin, cut_plan
+from lullmap.operators.quiet import detect_quiet
 from lullmap.plans.blocks import RangeBlocks, TimeBlocks, WholeSeries, positions
 from lullmap.sources import lines
 
@@ -93,6 +95,22 @@ def test_starts_agree(rows):
     same(lambda b: quality.starts_agree(clicks, moved, USER, rows, blocks=b))
 
 
+def test_sweep(rows):
+    grid = [(30.0, 9 * HOUR, HOUR), (60.0, 9 * HOUR, -HOUR), (60.0, 20 * HOUR, 0), (90.0, 0, HOUR)]
+    same(lambda b: sweep.parameter_sweep(rows, USER, "t", "value", grid, user_ends(rows), order=ORDER, blocks=b))
+
+
+def test_plan(rows):
+    ends = user_ends(rows)
+
+    def plan(b):
+        quiet = detect_quiet(rows, USER, "t", "value", 60.0, 9 * HOUR, ends, ORDER, b)
+        cut = apply_margin(quiet, USER, -HOUR, ends, b)
+        return cut_plan(cut, ends, USER, 2 * HOUR, b)
+
+    same(plan)
+
+
 def test_median(rows):
     for b in (WholeSeries(), RangeBlocks(6)):
         assert rounded(summary.exact_median(rows, ["event_type"], "value", b))
