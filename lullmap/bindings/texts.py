@@ -15,7 +15,8 @@ k AS (SELECT page_id, url, lower(p.scheme) || '://' || lower(p.host) || CASE WHE
 
 @query("canonical_url", f"WITH {CANONICAL} SELECT page_id, url_key FROM k")
 def canonical_url(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url_key"))
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return text.with_canonical_url(pages, "url").select("page_id", "url_key")
 
 
 @query(

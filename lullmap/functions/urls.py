@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The parts of a URL, what hides a secret, the listing families and
 # watch addresses.
-URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+URL_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+SEPARATOR = "\u0001"
 HIDDEN = "<redacted>"
 SCHEME_TOKEN = r"(?iU)\b[a-z][a-z0-9+.\-]*://[^\s'\"]+"
 BARE_CREDENTIALS = r"(?iU)\b[\w.\-]+:[^\s\"]*@([\w.\-]+(?::\d+)?)"
@@ -30,86 +31,106 @@ DEFAULT_TABS = {"twitch_channel": "archives", "youtube_channel": "videos", "yout
 WATCH = {"twitch": "https://www.twitch.tv/videos/", "youtube": "https://www.youtube.com/watch?v="}
 
 
-def _part(c: Column, group: int) -> Column:
-    return F.regexp_extract(c, URL_PARTS, group)
+def url_parts(c: Column) -> Column:
+    """Array of scheme, authority, path, query and fragment; a single element for no URL.
+
+    One pattern match. The functions below use the parts many times, so a table job adds
+    them as a column first and hands that in.
+    """
+    return F.split(F.regexp_replace(c, URL_PARTS, SEPARATOR.join(f"${i}" for i in range(1, 6))), SEPARATOR)
+
+
+def _is_url(parts: Column) -> Column:
+    return F.size(parts) == 5
+
+
+def _authority(netloc: Column) -> tuple[Column, Column, Column, Column]:
+    """Userinfo (null if none), place after it, host and port text (empty if none)."""
+    place = F.substring_index(netloc, "@", -1)
+    user = F.when(
+        F.instr(netloc, "@") > 0, F.substring(netloc, F.lit(1), F.length(netloc) - F.length(place) - 1)
+    )
+    bracketed = place.startswith("[")
+    host = F.when(
+        bracketed, F.substring_index(F.substring(place, 2, 1 << 30), "]", 1)
+    ).otherwise(F.substring_index(place, ":", 1))
+    tail = F.when(bracketed, F.concat(F.lit("x"), F.substring_index(place, "]", -1))).otherwise(place)
+    colon = F.instr(tail, ":")
+    port = F.when(colon > 0, F.substring(tail, colon + 1, F.lit(1 << 30))).otherwise("")
+    return user, place, host, port
 
 
-def _authority(c: Column) -> tuple[Column, Column, Column, Column]:
-    """Userinfo (null if none), host, port text, and whether the port is broken."""
-    netloc = _part(c, 2)
-    has_user = F.instr(netloc, "@") > 0
-    place = F.regexp_replace(netloc, r"^.*@", "")
-    user = F.when(has_user, F.regexp_extract(netloc, r"^(.*)@", 1))
-    bracketed = F.regexp_extract(place, r"^\[([^\]]*)\]", 1)
-    host = F.when(bracketed != "", bracketed).otherwise(F.regexp_extract(place, r"^([^:]*)", 1))
-    port = F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":(.*)$", 1)
-    broken = (port != "") & (~port.rlike(r"^\d+$") | (port.try_cast("long") > MAX_PORT))
-    return user, host, port, F.coalesce(broken, F.lit(False))
+def _broken(port: Column) -> Column:
+    digits = F.translate(port, "0123456789", "") == ""
+    return (port != "") & (~digits | F.coalesce(port.try_cast("long") > MAX_PORT, F.lit(True)))
 
 
-def canonical_url(c: Column) -> Column:
+def canonical_url(c: Column, parts: Column | None = None) -> Column:
     """One key for the addresses of one resource.
 
     Scheme and host in lower case, no default port, no trailing slash, no fragment;
     credentials and query only as hashes, credentials first. Text that is no URL, or has
     a broken port, stays as it is.
     """
-    user, host, port, broken = _authority(c)
-    scheme = F.lower(_part(c, 1))
+    parts = url_parts(c) if parts is None else parts
+    part = lambda i: F.get(parts, F.lit(i))
+    user, _, host, port = _authority(part(1))
+    scheme, query = F.lower(part(0)), part(3)
     number = port.try_cast("int")
     usual = F.lit(False)
     for name, default in DEFAULT_PORTS.items():
         usual = usual | ((scheme == name) & (number == default))
     shown_port = F.when((number > 0) & ~usual, F.concat(F.lit(":"), number.cast("string")))
-    path = F.regexp_replace(_part(c, 3), "/+$", "")
-    query = _part(c, 4)
+    path = F.rtrim(part(2), F.lit("/"))
     pair = F.when(F.instr(user, ":") > 0, user).otherwise(F.concat(user, F.lit(":")))
     tags = F.concat_ws(
         "&",
         F.when(user.isNotNull(), F.concat(F.lit("u="), F.substring(F.sha1(pair), 1, 8))),
         F.when(query != "", F.concat(F.lit("q="), F.substring(F.sha1(query), 1, 12))),
     )
+    tagged = user.isNotNull() | (query != "")
     key = F.concat(
         scheme,
         F.lit("://"),
         F.lower(host),
         F.coalesce(shown_port, F.lit("")),
         F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(tags != "", F.concat(F.lit("?"), tags)).otherwise(""),
+        F.when(tagged, F.concat(F.lit("?"), tags)).otherwise(""),
     )
-    return F.when(c.rlike(URL_PARTS) & ~broken, key).otherwise(c)
+    return F.when(_is_url(parts) & ~_broken(port), key).otherwise(c)
 
 
-def redact_url(c: Column) -> Column:
+def redact_url(c: Column, parts: Column | None = None) -> Column:
     """Hide credentials, query and fragment of a URL; anything else passes through."""
-    user, host, port, broken = _authority(c)
-    place = F.regexp_replace(_part(c, 2), r"^.*@", "")
+    parts = url_parts(c) if parts is None else parts
+    part = lambda i: F.get(parts, F.lit(i))
+    user, place, host, port = _authority(part(1))
     number = port.try_cast("int")
-    shown = F.when(broken, place).otherwise(
+    shown = F.when(_broken(port), place).otherwise(
         F.concat(
             F.when(host == "", place).otherwise(F.lower(host)),
             F.when(number > 0, F.concat(F.lit(":"), number.cast("string"))).otherwise(""),
         )
     )
     masked = F.concat(
-        F.lower(_part(c, 1)),
+        F.lower(part(0)),
         F.lit("://"),
         F.when(user.isNotNull(), F.lit(HIDDEN + "@")).otherwise(""),
         shown,
-        _part(c, 3),
-        F.when(_part(c, 4) != "", F.lit("?" + HIDDEN)).otherwise(""),
-        F.when(_part(c, 5) != "", F.lit("#" + HIDDEN)).otherwise(""),
+        part(2),
+        F.when(part(3) != "", F.lit("?" + HIDDEN)).otherwise(""),
+        F.when(part(4) != "", F.lit("#" + HIDDEN)).otherwise(""),
     )
-    return F.when(c.rlike(URL_PARTS) & (_part(c, 2) != ""), masked).otherwise(c)
+    return F.when(_is_url(parts) & (part(1) != ""), masked).otherwise(c)
 
 
 def redact_text(c: Column) -> Column:
     """Hide secrets of every URL in a text, and bare ``user:password@host`` credentials."""
     tokens = F.regexp_extract_all(c, F.lit(SCHEME_TOKEN), F.lit(0))
-    gaps = F.split(c, SCHEME_TOKEN)
-    woven = F.transform(
-        gaps,
-        lambda gap, i: F.concat(gap, F.coalesce(redact_url(F.get(tokens, i)), F.lit(""))),
+    found = F.transform(tokens, lambda t: F.struct(t.alias("url"), url_parts(t).alias("parts")))
+    masked = F.transform(found, lambda t: redact_url(t["url"], t["parts"]))
+    woven = F.zip_with(
+        F.split(c, SCHEME_TOKEN), masked, lambda gap, url: F.concat(gap, F.coalesce(url, F.lit("")))
     )
     swept = F.when(c.rlike(SCHEME_TOKEN), F.array_join(woven, "")).otherwise(c)
     return F.regexp_replace(swept, BARE_CREDENTIALS, HIDDEN + "@$1")

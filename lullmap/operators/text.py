@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 from lullmap.functions import failures, names, urls
 
 
+def with_canonical_url(df: DataFrame, url: str, out: str = "url_key") -> DataFrame:
+    """Add the key shared by all addresses of one resource."""
+    split = df.withColumn("__parts", urls.url_parts(F.col(url)))
+    return split.withColumn(out, urls.canonical_url(F.col(url), F.col("__parts"))).drop("__parts")
+
+
 def dedupe_by_url(df: DataFrame, url: str, order: Sequence[str]) -> DataFrame:
     """One row per canonical address, the first by ``order``; adds ``url_key``.
 
     The first row is found by an aggregate that combines before the exchange, so a heavily
     repeated address costs no more than any other.
     """
-    keyed = df.withColumn("url_key", urls.canonical_url(F.col(url)))
     row = F.struct(*df.columns)
     return (
-        keyed.groupBy("url_key")
+        with_canonical_url(df, url)
+        .groupBy("url_key")
         .agg(F.min_by(row, F.struct(*order)).alias("r"))
         .select("url_key", "r.*")
     )
