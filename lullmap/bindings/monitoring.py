@@ -407,3 +407,42 @@ def stream_progress(spark, sf):
     digits = {"fraction": 9, "elapsed_s": 6, "eta_s": 3}
     out = out.withColumn("eta_s", F.col("eta_s") + 3e-5)
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query(
+    "stream_quiet_ends",
+    with_(
+        S,
+        "ends AS (SELECT user_id, max(t) + 60000000 AS end_us FROM s GROUP BY user_id)",
+        sql_quiet(close=False, name="closed"),
+        sql_quiet(name="every"),
+        then=f"""SELECT user_id, start_us + {ORIGIN} AS start_us, end_us + {ORIGIN} AS end_us FROM closed UNION
+          SELECT user_id, e.start_us + {ORIGIN}, e.end_us + {ORIGIN} FROM every e JOIN ends USING (user_id, end_us)
+          WHERE end_us + {HOUR} < (SELECT max(t) FROM s)""",
+    ),
+)
+def stream_quiet_ends(spark, sf):
+    """Trailing runs close at the known end of a series, once the watermark has passed it."""
+    from lullmap.streaming.detect import stream_quiet
+
+    known = user_ends(samples(spark, sf)).select(
+        "user_id", (F.col("end_us") + ORIGIN + 60_000_000).alias("closes_us")
+    )
+    rows = event_stream(spark, sf).join(known, "user_id")
+    return run_through(stream_quiet(rows, USER, "ts", "value", THRESHOLD, MIN_LEN, "closes_us"))
+
+
+@query(
+    "stream_stalls",
+    with_(
+        S,
+        f"g AS (SELECT user_id, t, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), (SELECT max(t) FROM s) - {HOUR}) - t AS silent FROM s)",
+        then=f"""SELECT user_id, 'warn' AS kind, t + {ORIGIN} AS last_event_us, 36000.0::DOUBLE AS silent_s FROM g WHERE silent > {10 * HOUR}
+          UNION ALL SELECT user_id, 'kill', t + {ORIGIN}, 86400.0::DOUBLE FROM g WHERE silent > {DAY}""",
+    ),
+)
+def stream_stalls(spark, sf):
+    """Silences of ten hours and of a day, replayed in event time."""
+    from lullmap.streaming.monitor import stream_stalls
+
+    return run_through(stream_stalls(event_stream(spark, sf), USER, "ts", 36_000.0, 86_400.0, "1 hour"))

@@ -58,10 +58,19 @@ def redact_documents(spark, sf):
     return docs.select("doc_id", F.size(found).cast("long").alias("urls"))
 
 
-@query("redact_texts")
+@query(
+    "redact_texts",
+    """SELECT doc_id, text || ' GET <redacted>@h' || doc_id || '.org:8443/a?<redacted>#<redacted> or "ftp://h.org/x#<redacted>" via <redacted>@proxy:1080 end' AS text,
+    5 AS hits FROM documents""",
+)
 def redact_texts(spark, sf):
-    """Whole documents with their secrets masked, and how many were."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    """Whole documents with addresses and credentials added, masked and counted."""
+    number = F.col("doc_id").cast("string")
+    leak = F.concat(
+        F.lit(" GET https://me:p@w@H"), number, F.lit(".org:8443/a?sig="), number,
+        F.lit('#t or "ftp://h.org/x#f" via user:pa@ss@proxy:1080 end'),
+    )
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", leak).alias("text"))
     return text.redact(docs, "text")
 
 

@@ -69,47 +69,78 @@ def stream_progress(
 class _StallProcessor(StatefulProcessor):
     """Warns and gives up on a run whose events stop; every event re-arms both."""
 
-    def __init__(self, keys: Sequence[str], warn_s: float, kill_s: float) -> None:
-        self.keys = list(keys)
-        self.warn_ms, self.kill_ms = round(warn_s * 1000), round(kill_s * 1000)
+    def __init__(self, keys: Sequence[str], warn_s: float, kill_s: float, event_time: bool) -> None:
+        self.keys, self.event_time = list(keys), event_time
+        self.limits = (("warn", warn_s), ("kill", kill_s))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "at_ms bigint, event_us bigint")
+        self.seen = handle.getValueState("seen", "armed_ms bigint, event_us bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(batch["row_us"].max()) for batch in rows)
-        now = timerValues.getCurrentProcessingTimeInMs()
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.keys, "kind", "last_event_us", "silent_s"])
+
+    def _arm(self, at_ms: int, floor_ms: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         # A limit is exceeded strictly, so each timer fires one millisecond past it.
-        self.handle.registerTimer(now + self.warn_ms + 1)
-        self.handle.registerTimer(now + self.kill_ms + 1)
-        self.seen.update((now, latest))
-        yield pd.DataFrame(columns=[*self.keys, "kind", "last_event_us", "silent_s"])
+        for _, limit_s in self.limits:
+            self.handle.registerTimer(max(at_ms + round(limit_s * 1000) + 1, floor_ms))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = []
+        if self.event_time:
+            last = self.seen.get()[1] if self.seen.exists() else None
+            times = sorted(int(at) for batch in rows for at in batch["row_us"])
+            for at in (t for t in times if last is None or t >= last):
+                silent = 0 if last is None else at - last
+                found += [(*key, k, last, s) for k, s in self.limits if silent > s * 1e6 and not self._told(last, s, timerValues)]
+                last = at
+            armed = last // 1000
+            self._arm(armed, timerValues.getCurrentWatermarkInMs() + 1)
+        else:
+            last = max(int(batch["row_us"].max()) for batch in rows)
+            armed = timerValues.getCurrentProcessingTimeInMs()
+            self._arm(armed, 0)
+        self.seen.update((armed, last))
+        yield self._rows(found)
+
+    def _told(self, last: int, limit_s: float, timerValues) -> bool:
+        """Whether the timer of this limit has already reported the silence after ``last``."""
+        return last // 1000 + round(limit_s * 1000) + 1 <= timerValues.getCurrentWatermarkInMs()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, event = self.seen.get()
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        kind = "kill" if due - at > self.kill_ms else "warn"
-        row = [*key, kind, event, (due - 1 - at) / 1000.0]
-        yield pd.DataFrame([row], columns=[*self.keys, "kind", "last_event_us", "silent_s"])
+        armed, event = self.seen.get()
+        reached = (expiredTimerInfo.getExpiryTimeInMs() - 1 - armed) / 1000.0
+        kind, limit_s = max((l for l in self.limits if l[1] <= reached), key=lambda l: l[1], default=self.limits[0])
+        yield self._rows([(*key, kind, event, limit_s)])
 
     def close(self) -> None:
         pass
 
 
 def stream_stalls(
-    sdf: DataFrame, keys: Sequence[str], ts: str, warn_s: float = WARN_S, kill_s: float = KILL_S
+    sdf: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    warn_s: float = WARN_S,
+    kill_s: float = KILL_S,
+    watermark: str | None = None,
 ) -> DataFrame:
-    """A ``warn`` and then a ``kill`` row for every run that stays silent, by processing time."""
+    """A ``warn`` and then a ``kill`` row for every silence of a run beyond either limit.
+
+    Silence is measured in processing time, as a watchdog over live runs does. With a
+    ``watermark`` it is measured in event time instead, between events and from the last
+    one to the watermark, so that a replay reports what a live run would have.
+    """
     if not warn_s < kill_s:
         raise ValueError("the warning must come before the kill")
-    rows = sdf.select(*keys, F.unix_micros(ts).alias("row_us"))
+    timed = sdf.withWatermark(ts, watermark) if watermark else sdf
+    rows = timed.select(*keys, *([ts] if watermark else []), F.unix_micros(ts).alias("row_us"))
     out = "kind string, last_event_us bigint, silent_s double"
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_StallProcessor(keys, warn_s, kill_s),
+        statefulProcessor=_StallProcessor(keys, warn_s, kill_s, watermark is not None),
         outputStructType=T.StructType.fromDDL(f"{_key_ddl(sdf, keys)}, {out}"),
         outputMode="append",
-        timeMode="processingTime",
+        timeMode="eventTime" if watermark else "processingTime",
     )

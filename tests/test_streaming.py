@@ -113,3 +113,28 @@ def test_stalls(spark, scratch):
     assert got == [(1, "warn", 7 * S, 1.0), (1, "kill", 7 * S, 4.0)]
     with pytest.raises(ValueError):
         stream_stalls(stream(spark, src), ["k"], "ts", 4.0, 4.0)
+
+
+def test_hooks(spark, scratch):
+    from lullmap.streaming.hooks import ProgressListener, on_intervals
+
+    src = os.path.join(scratch, "in")
+    os.mkdir(src)
+    feed(src, 1, [(1, 5 * S, 0.0, None), (1, 10 * S, 5.0, None)])
+    got, seen = [], []
+    listener = ProgressListener(lambda name, batch, rows: seen.append((name, rows)))
+    spark.streams.addListener(listener)
+    quiet = stream_quiet(stream(spark, src), ["k"], "ts", "v", 1.0, S)
+    q = (
+        on_intervals(quiet, lambda batch, n: got.extend(tuple(r) for r in batch.collect()))
+        .queryName("hooked").option("checkpointLocation", os.path.join(scratch, "s")).start()
+    )
+    try:
+        q.processAllAvailable()
+        until = time.time() + 20
+        while ("hooked", 2) not in seen and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+        spark.streams.removeListener(listener)
+    assert got == [(1, 5 * S, 10 * S)] and ("hooked", 2) in seen
