@@ -215,22 +215,26 @@ def throttle(
     of = lambda cols: ", ".join(f"`{c}` {types[c]}" for c in cols)
     kept_schema = of([c for c in cut.columns if c != "__forced"])
 
+    def pieces(batch: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
+        """Piece id, first row and end of every piece in a batch of sorted rows."""
+        ids = [batch[c].to_numpy() for c in group]
+        turns = np.any([v[1:] != v[:-1] for v in ids], axis=0)
+        starts = np.append(0, np.flatnonzero(turns) + 1)
+        for a, b in zip(starts, np.append(starts[1:], len(batch))):
+            yield tuple(v[a] for v in ids), a, b
+
     def kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Walk sorted rows batch by batch; only the last kept time crosses a batch."""
-        open_group, last = None, -math.inf
+        open_piece, last = None, -math.inf
         for batch in batches:
             if batch.empty:
                 continue
-            ids = batch[group]
-            starts = np.flatnonzero((ids != ids.shift()).any(axis=1))
-            stops = np.append(starts[1:], len(batch))
             t, marks = batch[ts].to_numpy(), batch["__forced"].to_numpy(dtype=bool)
             entry = batch["__last"].to_numpy()
             chosen = []
-            for a, b in zip(starts, stops):
-                this = tuple(ids.iloc[a])
-                last = last if this == open_group else entry[a]
-                open_group = this
+            for piece, a, b in pieces(batch):
+                last = last if piece == open_piece else entry[a]
+                open_piece = piece
                 picked = a + _kept(t[a:b], marks[a:b], interval_us, last)
                 if len(picked):
                     last = t[picked[-1]]
@@ -238,16 +242,17 @@ def throttle(
             rows = np.concatenate(chosen) if chosen else []
             yield batch.iloc[rows].drop(columns=["__forced", "__last"])
 
-    def walk(started: DataFrame) -> DataFrame:
-        together = started.repartition(*[F.col(c) for c in group])
-        return together.sortWithinPartitions(*group, *order).mapInPandas(kept_rows, kept_schema)
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, *order)
 
     if not blocks.cols:
-        return walk(cut.withColumn("__last", F.lit(-math.inf)))
+        started = cut.withColumn("__last", F.lit(-math.inf))
+        return in_order(started).mapInPandas(kept_rows, kept_schema)
+
+    report_columns = [*group, "due", "kept", "marked"]
 
-    def report(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        t, marks = rows[ts].to_numpy(), rows["__forced"].to_numpy(dtype=bool)
+    def report(piece: tuple, parts: list[tuple[np.ndarray, np.ndarray]]) -> list:
+        t, marks = (np.concatenate(arrays) for arrays in zip(*parts))
         n = len(t)
         follow = _next_kept(t, marks, interval_us)
         # Follow every chain to its last row here, doubling the stride each time.
@@ -258,10 +263,24 @@ def throttle(
         reach = int(np.searchsorted(t, t[0] + interval_us, side="left"))
         first_mark = np.flatnonzero(marks)
         reach = min(n - 1, reach, first_mark[0] if len(first_mark) else n)
-        return pd.DataFrame(
-            [[*key, t[: reach + 1].tolist(), t[last[: reach + 1]].tolist(), bool(marks[reach])]],
-            columns=[*group, "due", "kept", "marked"],
-        )
+        return [*piece, t[: reach + 1].tolist(), t[last[: reach + 1]].tolist(), bool(marks[reach])]
+
+    def reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_piece, parts = None, []
+        for batch in batches:
+            if batch.empty:
+                continue
+            t, marks = batch[ts].to_numpy(), batch["__forced"].to_numpy(dtype=bool)
+            done = []
+            for piece, a, b in pieces(batch):
+                if piece != open_piece and parts:
+                    done.append(report(open_piece, parts))
+                    parts = []
+                open_piece = piece
+                parts.append((t[a:b], marks[a:b]))
+            yield pd.DataFrame(done, columns=report_columns)
+        if parts:
+            yield pd.DataFrame([report(open_piece, parts)], columns=report_columns)
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         last, starts = -math.inf, []
@@ -278,11 +297,11 @@ def throttle(
         return out
 
     slim = cut.select(*dict.fromkeys([*group, ts, *order, "__forced"]))
-    reports = slim.groupBy(*group).applyInPandas(
-        report, f"{of(group)}, due array<bigint>, kept array<bigint>, marked boolean"
+    told = in_order(slim).mapInPandas(
+        reports, f"{of(group)}, due array<bigint>, kept array<bigint>, marked boolean"
     )
-    starts = reports.groupBy(*keys).applyInPandas(chain, f"{of(group)}, `__last` double")
-    return walk(cut.join(starts, group)).drop(*blocks.cols)
+    starts = told.groupBy(*keys).applyInPandas(chain, f"{of(group)}, `__last` double")
+    return in_order(cut.join(starts, group)).mapInPandas(kept_rows, kept_schema).drop(*blocks.cols)
 
 
 def stall_report(
