@@ -196,15 +196,13 @@ def read_pcm(spark, sf):
 
     def store(batch):
         import numpy as np
-        from pyarrow import fs
 
         name = int(batch["file"].iloc[0])
         signal = np.concatenate(batch.sort_values("vec_id")["embedding"].to_list()).astype("float64")
         pcm = np.trunc(signal * 32000).astype("<i2").tobytes()
         head = b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt "
         head += struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(pcm))
-        root = folder.replace("file:", "", 1) if folder.startswith("file:/") else folder
-        system, inner = fs.FileSystem.from_uri(root)
+        system, inner = files.arrow_place(folder)
         system.create_dir(inner, recursive=True)
         with system.open_output_stream(f"{inner}/{name}.wav") as out:
             out.write(head + pcm)

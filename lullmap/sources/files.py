@@ -25,12 +25,17 @@ RANGE_PEAKS = 65_536
 FORMAT_EXTENSIBLE, FORMAT_PCM = 0xFFFE, 1
 
 
-def _opened(path: str):
+def arrow_place(path: str):
+    """Arrow file system and inner path of a path as Spark writes it."""
     from pyarrow import fs
 
     # Spark writes local paths as file:/x, Arrow reads file:///x.
-    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-    system, inner = fs.FileSystem.from_uri(uri)
+    short = path.startswith("file:/") and not path.startswith("file://")
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if short else path)
+
+
+def _opened(path: str):
+    system, inner = arrow_place(path)
     return system.open_input_file(inner)
 
 
