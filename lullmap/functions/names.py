@@ -39,8 +39,8 @@ def _idna_folded(raw: pd.Series) -> pd.Series:
 def fold_non_ascii(df, column: str, out: str, idna: bool):
     """Add the case-folded (and IDNA-encoded) form of a column.
 
-    ASCII text is folded by Spark; only rows with other characters reach Python, because
-    Spark has neither IDNA nor full case folding. ``encode("idna")`` also rejects labels
+    ASCII text is folded by Spark; other text goes to Python in Arrow batches (in which the
+    ASCII rows are null), because Spark has neither IDNA nor full case folding. ``encode("idna")`` also rejects labels
     of an odd length, which keeps ASCII text unchanged either way.
     """
     plain = F.col(column).rlike(r"^\p{ASCII}*$")
