@@ -27,7 +27,7 @@ def titles(df):
         ("*undertale*", {"UNDERTALE run", "Undertale archive"}),
         ("+*under*, !*archive*", {"UNDERTALE run"}),
         ("*", {"UNDERTALE run", "Undertale archive", "Speedrun glitchless", "old archive"}),
-        ("[us]* *[rg]*", {"UNDERTALE run", "Speedrun glitchless"}),
+        ("[us]* *[rg]*", {"UNDERTALE run", "Undertale archive", "Speedrun glitchless"}),
         ("[!u]*", {"Speedrun glitchless", "old archive"}),
         ("old?archive", {"old archive"}),
         ("a.b", set()),
