@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lullmap.llm import exact_dedup, packing, quality
+from lullmap.llm import decontaminate, exact_dedup, jaccard, packing, quality
 from lullmap.llm.common import stored, table
 
 
@@ -18,6 +18,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of every group that links."""
+    return jaccard.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut what is left into pieces of power-of-two length."""
     import public_tokenizers
@@ -28,6 +38,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_copies),
+    ("jaccard_join", near_copies),
+    ("decontamination", leaks),
     ("packing", sequences),
 ]
 

@@ -1,8 +1,9 @@
 """Operators for preparing training data, and the queries that apply them to the test tables."""
 
-from lullmap.llm import chat, decontaminate, exact_dedup, packing, quality, secrets, sharding, toxicity
+from lullmap.llm import chat, decontaminate, exact_dedup, jaccard, packing, quality, secrets, sharding, toxicity
 from lullmap.llm.common import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "chat", "decontaminate", "exact_dedup", "packing", "quality", "secrets", "sharding", "toxicity",
+    "ORACLES", "QUERIES", "chat", "decontaminate", "exact_dedup", "jaccard", "packing", "quality", "secrets", "sharding",
+    "toxicity",
 ]
