@@ -94,12 +94,12 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     Of rows that repeat id and text, any one stays.
     """
     marks = stored(exact_dedup(docs, counters), "marks")
-    key, digest = free_name(docs, "kept_id"), free_name(docs, "kept_sha256")
-    kept = marks.filter("kept").groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).count()
+    key, digest, other = (free_name(docs, c) for c in ("kept_id", "own_sha256", "kept_sha256"))
+    kept = marks.filter("kept").groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(other)).count()
     kept = stored(kept, "kept")
     out = docs.withColumn(digest, F.sha2(text_of(F.col("text")), 256)).join(
-        kept.select(key, F.col(digest).alias(f"{digest}_k")).hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(digest) == F.col(f"{digest}_k")),
+        kept.select(key, other).hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(digest) == F.col(other)),
         "left_semi",
     )
     if not kept.filter(F.col("count") > 1).isEmpty():

@@ -98,22 +98,20 @@ def pack(docs: DataFrame, tokenizer: str, most: int = MAX_TOKENS, with_ids: bool
                     out.append((*row, bytes(piece)) if with_ids else row)
                     at += n
                 if len(out) > 20_000:
-                    yield rows(out)
+                    yield rows(out, batch.column(0).type)
                     out = []
             if out:
-                yield rows(out)
+                yield rows(out, batch.column(0).type)
 
-    def rows(out: list[tuple]) -> pa.RecordBatch:
+    def rows(out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        types = [id_type, *[pa.int64()] * 4, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    types = [None] + [pa.int64()] * 4
-    if id_type == "bigint":
-        types[0] = pa.int64()
     if with_ids:
-        schema, names, types = f"{schema}, ids binary", [*names, "ids"], [*types, pa.binary()]
+        schema, names = f"{schema}, ids binary", [*names, "ids"]
     out = docs.select("doc_id", text_of(F.col("text"))).mapInArrow(pieces, schema)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 

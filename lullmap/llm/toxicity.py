@@ -212,8 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [lexicon.features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.float64()) for c in zip(*x))], ["doc_id", "y", "a", "b", "c"])
+            x = np.array([lexicon.features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, x)], ["doc_id", "y", "a", "b", "c"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     got = rows.select("doc_id", "text", "y").mapInArrow(measure, f"doc_id {id_type}, y int, a double, b double, c double")
