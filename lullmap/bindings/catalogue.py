@@ -136,21 +136,17 @@ def first_n_per_listing(spark, sf):
     """WITH a AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS mtime_us,
       (ascii(o_orderpriority) - 49)::INTEGER AS priority FROM orders)
     SELECT o_custkey, o_orderkey, mtime_us, priority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-      ORDER BY priority, mtime_us DESC, o_orderkey) AS n,
-      count(*) OVER (PARTITION BY o_custkey, priority, mtime_us) AS same FROM a) WHERE n = 1 AND same = 1""",
+      ORDER BY priority, mtime_us DESC, o_orderkey) AS n FROM a) WHERE n = 1""",
 )
 def latest_checkpoint(spark, sf):
-    """Per customer the newest of the most urgent orders; exact ties are left out of the comparison."""
+    """Per customer the newest of the most urgent orders."""
     orders = table(spark, sf, "orders").select(
         "o_custkey",
         "o_orderkey",
         micros("o_orderdate").alias("mtime_us"),
         (F.ascii("o_orderpriority") - 49).alias("priority"),
     )
-    ties = orders.groupBy("o_custkey", "priority", "mtime_us").agg(F.count(F.lit(1)).alias("n"))
-    newest = cat.latest_checkpoint(orders, ["o_custkey"], "mtime_us", "priority")
-    single = ties.filter(F.col("n") == 1).drop("n")
-    return newest.join(single, ["o_custkey", "priority", "mtime_us"], "left_semi")
+    return cat.latest_checkpoint(orders, ["o_custkey"], "mtime_us", "priority")
 
 
 def orders(spark, sf):
@@ -232,14 +228,30 @@ def recent_top_k(spark, sf):
     f"""WITH {TYPES}, q AS (SELECT p_partkey + 1 AS line_no, CASE WHEN p_partkey % 50 = 0 THEN p_type ELSE p_name END AS entry FROM part),
     r AS (SELECT listing, title, url, {PLACE} view_count DESC NULLS LAST, pos) AS rank FROM c
       WHERE (title IS NULL OR NOT title LIKE '%red%') AND (duration IS NULL OR duration >= 5))
-    SELECT line_no, rank::INTEGER AS rank, title, url FROM q JOIN r ON q.entry = r.listing WHERE rank IN (1, 2, 4)
+    SELECT line_no, rank::INTEGER AS rank, title, url FROM q JOIN r ON q.entry = r.listing
+    WHERE rank IN (1, 2, 4) AND entry IN (SELECT listing FROM r WHERE rank >= 4)
     UNION ALL SELECT line_no, 1::INTEGER, NULL, entry FROM q WHERE entry NOT IN (SELECT listing FROM c)""",
 )
 def expand_queue(spark, sf):
     """A queue of part names among which every fiftieth line names a listing."""
+    return cat.expand_queue(part_queue(spark, sf), parts(spark, sf, "p_type"), "1-2,4", "views", "!*red*", 5.0)
+
+
+def part_queue(spark, sf, every=50):
     key = F.col("p_partkey")
-    queue = table(spark, sf, "part").select(
+    return table(spark, sf, "part").select(
         (key + 1).alias("line_no"),
-        F.when(key % 50 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("entry"),
+        F.when(key % every == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("entry"),
     )
-    return cat.expand_queue(queue, parts(spark, sf, "p_type"), "1-2,4", "views", "!*red*", 5.0)
+
+
+@query(
+    "queue_problems",
+    f"""WITH {TYPES}, q AS (SELECT p_partkey + 1 AS line_no, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS entry FROM part),
+    r AS (SELECT listing, count(*) FILTER (title LIKE '%a%' AND (duration IS NULL OR duration >= 50)) AS entries FROM c GROUP BY listing)
+    SELECT line_no, entry, entries, CASE entries WHEN 0 THEN 'empty' ELSE 'short' END AS reason
+    FROM q JOIN r ON entry = listing WHERE entries < 100000""",
+)
+def queue_problems(spark, sf):
+    """Listings of which the filters leave nothing, or less than is asked for."""
+    return cat.queue_problems(part_queue(spark, sf, 2), parts(spark, sf, "p_type"), "100000", "*a*", 50.0)

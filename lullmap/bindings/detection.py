@@ -391,6 +391,14 @@ def signal_stats(spark, sf):
     return stats.withColumns({c: F.round(c, 6) for c in ("rms", "mean")})
 
 
-@query("dominant_frequency")
+@query(
+    "dominant_frequency",
+    f"""WITH x AS (SELECT vec_id, i // 32 AS w, i % 32 AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i % 32) / 31)) AS v FROM {VECTORS}),
+    p AS (SELECT vec_id, w, k, pow(sum(v * cos(2 * pi() * k * j / 32)), 2) + pow(sum(v * sin(2 * pi() * k * j / 32)), 2) AS p
+      FROM x, range(1, 17) AS r(k) GROUP BY ALL),
+    t AS (SELECT vec_id, k, sum(p) AS p FROM p GROUP BY ALL)
+    SELECT vec_id, k * 64.0::DOUBLE / 32 AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS n FROM t) WHERE n = 1""",
+)
 def dominant_frequency(spark, sf):
-    return env.dominant_frequency(vector_samples(spark, sf), ["vec_id"], ["i"], "v", 64.0)
+    """Every vector in two windows, whose powers are summed."""
+    return env.dominant_frequency(vector_samples(spark, sf), ["vec_id"], ["i"], "v", 64.0, window=32)

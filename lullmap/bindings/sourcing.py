@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lullmap.bindings.common import DAY, ENDS, ORIGIN, S, USER, query, samples, sql_quiet, table, user_ends, with_
@@ -9,18 +10,30 @@ from lullmap.bindings.detection import quiet_plan
 from lullmap.plans.scratch import new_folder
 from lullmap.sources import files, lines, stores
 
-text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA"))
+def written_lines(df, key, order, label):
+    """``line`` values as text files, one for each key, in folders named by it."""
+    path = new_folder(df.sparkSession, label)
+    placed = df.repartition(key).sortWithinPartitions(key, *order)
+    placed.select(key, "line").write.partitionBy(key).text(path)
+    return path
+
+
+def folder_value(column, key):
+    """What the folder of a file says the key is: encoded once in its name, and again in the path."""
+    named = F.replace(F.regexp_extract(column, rf"/{key}=([^/]+)/", 1), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(F.url_decode(named))
 
 
 @query(
     "read_listing",
-    """SELECT p_brand AS listing, p_partkey AS pos, 'p' || p_partkey AS video_id, 'https://www.youtube.com/watch?v=p' || p_partkey AS url,
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM part)
+    SELECT p_brand AS listing, pos, 'p' || p_partkey AS video_id, 'https://www.youtube.com/watch?v=p' || p_partkey AS url,
     p_name || '::' || p_type AS title, CASE WHEN p_partkey % 5 <> 0 THEN p_size END::DOUBLE AS duration,
     CASE WHEN p_partkey % 3 <> 0 THEN trunc(p_retailprice) END::BIGINT AS view_count, NULL::BIGINT AS ts
-    FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0""",
+    FROM n WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0""",
 )
 def read_listing(spark, sf):
-    """Parts as listing lines: some without an id, some too short, separators in titles."""
+    """Parts as listing files, one per brand: some without an id, some too short, separators in titles."""
     key = F.col("p_partkey")
     line = F.concat_ws(
         "::",
@@ -29,35 +42,37 @@ def read_listing(spark, sf):
         F.when(key % 3 != 0, F.col("p_retailprice").cast("string")).otherwise("NA"),
         F.when(key % 17 != 0, F.concat(F.lit("NA::"), "p_name", F.lit("::"), "p_type")),
     )
-    listed = table(spark, sf, "part").select(
-        F.col("p_brand").alias("listing"), key.alias("pos"), line.alias("value")
-    )
-    return lines.parse_listing(listed, carry_over=["listing", "pos"])
+    listed = table(spark, sf, "part").select("p_brand", "p_partkey", line.alias("line"))
+    found = lines.read_listing(spark, written_lines(listed, "p_brand", ["p_partkey"], "listing"))
+    return found.withColumns({"listing": folder_value("listing", "p_brand"), "pos": F.col("pos").cast("long")})
 
 
 @query(
     "read_queue",
-    """SELECT c_custkey AS line_no, c_name AS entry FROM customer WHERE c_custkey % 5 NOT IN (0, 1)""",
+    """WITH n AS (SELECT c_mktsegment, c_name, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS line_no FROM customer)
+    SELECT c_mktsegment AS queue, line_no, c_name AS entry FROM n WHERE c_custkey % 5 NOT IN (0, 1)""",
 )
 def read_queue(spark, sf):
+    """Customers as queue files, one per segment, with blank lines and comments."""
     key = F.col("c_custkey")
-    listed = table(spark, sf, "customer").select(
-        key.alias("line_no"),
+    line = (
         F.when(key % 5 == 0, F.lit("   "))
         .when(key % 5 == 1, F.concat(F.lit("  # "), "c_name"))
         .otherwise(F.concat(F.lit(" "), "c_name", F.lit(" ")))
-        .alias("line"),
     )
-    return lines.parse_queue(listed)
+    listed = table(spark, sf, "customer").select("c_mktsegment", "c_custkey", line.alias("line"))
+    found = lines.read_queue(spark, written_lines(listed, "c_mktsegment", ["c_custkey"], "queue"))
+    return found.select(folder_value("source", "c_mktsegment").alias("queue"), F.col("line_no").cast("long").alias("line_no"), "entry")
 
 
 @query(
     "read_progress",
-    """SELECT event_id, value AS downloaded_bytes, CASE WHEN event_id % 3 = 0 THEN 1000.0 WHEN event_id % 4 <> 0 THEN 900.0 END::DOUBLE AS total_bytes,
+    """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, value AS downloaded_bytes,
+    CASE WHEN event_id % 3 = 0 THEN 1000.0 WHEN event_id % 4 <> 0 THEN 900.0 END::DOUBLE AS total_bytes,
     NULL::DOUBLE AS speed, CASE WHEN event_id % 7 <> 0 THEN user_id END::DOUBLE AS eta FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0""",
 )
 def read_progress(spark, sf):
-    """Events as progress lines among other output."""
+    """Events as progress files, one per user, among other output."""
     n = F.col("event_id")
     line = F.concat_ws(
         "|",
@@ -69,12 +84,40 @@ def read_progress(spark, sf):
         F.when(n % 7 == 0, F.lit("soon")).otherwise(F.col("user_id").cast("string")),
         F.when(n % 11 == 0, F.lit("more")),
     )
-    listed = table(spark, sf, "events").select("event_id", line.alias("value"))
-    return lines.parse_progress(listed, carry_over=["event_id"])
+    listed = table(spark, sf, "events").select("user_id", "event_id", line.alias("line"))
+    found = lines.read_progress(spark, written_lines(listed, "user_id", ["event_id"], "progress"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(*lines.LINE_ORDER)).cast("long")
+    user = folder_value("source", "user_id").cast("long")
+    return found.select(user.alias("user_id"), place.alias("place"), "downloaded_bytes", "total_bytes", "speed", "eta")
 
 
 @query(
     "read_quiet_log",
+    with_(
+        S,
+        """k AS (SELECT user_id, event_id, t, event_type IN ('click', 'view') AS st,
+          lag(event_type IN ('click', 'view')) OVER w AS pst, lag(t) OVER w AS pt
+          FROM s WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""",
+        then="SELECT user_id, pt AS start_us, t AS end_us FROM k WHERE NOT st AND pst",
+    ),
+)
+def read_quiet_log(spark, sf):
+    """Events as a detector's log files, one per user: starts, ends and other lines, with decimal commas."""
+    rows = samples(spark, sf)
+    at = F.format_string("%d,%06d", F.call_function("div", F.col("t"), F.lit(1_000_000)), F.col("t") % 1_000_000)
+    kind = F.col("event_type")
+    line = (
+        F.when(kind.isin("click", "view"), F.concat(F.lit("[x] silence_start: "), at, F.lit(" silence_end: 1")))
+        .when(kind == "signup", F.lit("frame=1"))
+        .otherwise(F.concat(F.lit("silence_end: "), at, F.lit(" | silence_duration: 1")))
+    )
+    log = rows.select("user_id", "event_id", line.alias("line"))
+    found = lines.read_quiet_log(spark, written_lines(log, "user_id", ["event_id"], "quiet-log"))
+    return found.select(folder_value("source", "user_id").cast("long").alias("user_id"), "start_us", "end_us")
+
+
+@query(
+    "parse_quiet_log_ends",
     with_(
         S,
         "e AS (SELECT user_id, max(t) + 5000000 AS end_us FROM s GROUP BY 1)",
@@ -85,8 +128,8 @@ def read_progress(spark, sf):
           UNION ALL SELECT user_id, t, end_us FROM k JOIN e USING (user_id) WHERE st AND nt IS NULL""",
     ),
 )
-def read_quiet_log(spark, sf):
-    """Events as a detector's log: starts, ends and other lines, with decimal commas."""
+def parse_quiet_log_ends(spark, sf):
+    """The same log from a table of lines, a trailing start closed at the known end."""
     rows = samples(spark, sf)
     at = F.format_string("%d,%06d", F.call_function("div", F.col("t"), F.lit(1_000_000)), F.col("t") % 1_000_000)
     kind = F.col("event_type")
@@ -125,6 +168,32 @@ def json_logs(spark, sf):
     )
 
 
+def cached(spark, sf):
+    """A cache written in three calls: odd users, even ones twice, the second time in another size."""
+    name = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    size = F.col("user_id")
+    quiet = quiet_plan(spark, sf)[2].select(name.alias("source"), size.alias("source_size"), "start_us", "end_us", "user_id")
+    seen = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("probe_us"))
+    seen = seen.select(name.alias("source"), size.alias("source_size"), "probe_us", "user_id")
+    config = {"threshold": -30, "min_silence": 2.0, "margin": 0.5}
+    path = new_folder(spark, "interval-cache")
+    odd, even = F.col("user_id") % 2 == 1, F.col("user_id") % 2 == 0
+    put = lambda keep, **more: stores.write_interval_cache(
+        quiet.filter(keep), path, {**config, **more}, seen.filter(keep)
+    )
+    put(odd)
+    put(odd | even, margin=1)
+    resized = lambda df: df.filter(even).withColumn("source_size", F.col("source_size") + 1_000_000)
+    stores.write_interval_cache(resized(quiet), path, config, resized(seen))
+    put(even)
+    asked = seen.select(
+        "source",
+        (size + (F.col("user_id") % 3 == 0).cast("int")).alias("source_size"),
+        F.lit("2024-01-01").cast("timestamp").alias("source_mtime"),
+    )
+    return path, asked, {**config, "threshold": -30.0}
+
+
 @query(
     "interval_cache",
     with_(
@@ -136,23 +205,20 @@ def json_logs(spark, sf):
 )
 def interval_cache(spark, sf):
     """Quiet intervals cached under a config, and read for requests of which some do not match."""
-    name = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
-    quiet = quiet_plan(spark, sf)[2].select(
-        name.alias("source"), F.col("user_id").alias("source_size"), "start_us", "end_us"
-    )
-    config = {"threshold": -30, "min_silence": 2.0, "margin": 0.5}
-    path = new_folder(spark, "interval-cache")
-    stores.write_interval_cache(quiet, path, config)
-    stores.write_interval_cache(quiet, path, {**config, "margin": 1})
-    asked = table(spark, sf, "events").select(
-        name.alias("source"),
-        (F.col("user_id") + (F.col("user_id") % 3 == 0).cast("int")).alias("source_size"),
-        F.lit("2024-01-01").cast("timestamp").alias("source_mtime"),
-    ).distinct()
-    hits = stores.read_interval_cache(spark, path, asked, {**config, "threshold": -30.0})
+    hits = stores.read_interval_cache(spark, *cached(spark, sf))
     return hits.select("source", "start_us", "end_us")
 
 
+@query(
+    "cached_sources",
+    """SELECT 'user-' || user_id AS source, user_id AS source_size, count(*) AS probe_us FROM events
+    WHERE user_id % 3 <> 0 GROUP BY user_id""",
+)
+def cached_sources(spark, sf):
+    """Which requests hit, those without a quiet interval too, and how far detection got."""
+    return stores.cached_sources(spark, *cached(spark, sf)).select("source", "source_size", "probe_us")
+
+
 @query(
     "batch_state",
     """SELECT 'b' || o_custkey % 20 AS batch, (o_orderkey)::INTEGER AS pos, o_orderpriority AS title, 'u' || o_orderkey AS url
@@ -173,12 +239,6 @@ def batch_state(spark, sf):
     return entries.join(done, ["batch", "url"], "left_anti").select("batch", "pos", "title", "url")
 
 
-@query("file_inventory")
-def file_inventory(spark, sf):
-    """Identity of the table files themselves."""
-    return files.file_inventory(spark, sf).withColumn("name", F.regexp_extract("path", r"[^/]+$", 0))
-
-
 VEC_FILE = 100
 
 

@@ -129,7 +129,7 @@ RULES = (("first", ("the th",)), ("second", ("lic", "err")))
 
 @query(
     "classify_text",
-    f"""SELECT doc_id, {CLASS} AS failure, CASE WHEN {CLASS} = 'generic' THEN CASE WHEN text = '' THEN 'unknown error' ELSE left(text, 500) END END AS message
+    f"""SELECT doc_id, {CLASS} AS failure, CASE WHEN {CLASS} = 'generic' THEN CASE WHEN text = '' THEN 'unknown error' ELSE text END END AS message
     FROM documents""",
 )
 def classify_text(spark, sf):

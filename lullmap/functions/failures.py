@@ -32,7 +32,6 @@ TEXT_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("permission", ("permission denied", "errno 13")),
 )
 GENERIC = "generic"
-GENERIC_CHARS = 500
 KILLED_CODES = (-9, 137)
 MEMORY_MARKERS = (
     "out of memory",
@@ -60,11 +59,10 @@ def classify_text(c: Column, rules=TEXT_RULES) -> Column:
     return named
 
 
-def generic_message(c: Column) -> Column:
-    """Leading characters kept of a text no rule knows."""
-    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("unknown error")).otherwise(
-        F.substring(c, 1, GENERIC_CHARS)
-    )
+def generic_message(c: Column, chars: int | None = None) -> Column:
+    """The text that no rule knows, whole or its leading ``chars`` for a narrow display."""
+    shown = c if chars is None else F.substring(c, 1, chars)
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("unknown error")).otherwise(shown)
 
 
 def out_of_memory(code: Column, text: Column) -> Column:

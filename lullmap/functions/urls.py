@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from urllib.parse import quote, unquote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ SEPARATOR = "\u0001"
 HIDDEN = "<redacted>"
 SCHEME_TOKEN = r"(?iU)\b[a-z][a-z0-9+.\-]*://[^\s'\"]+"
 BARE_CREDENTIALS = r"(?iU)\b[\w.\-]+:[^\s\"]*@([\w.\-]+(?::\d+)?)"
+BRACKETED = r"^(?:[^\[\]]*@)?\[(?:[0-9A-Fa-f:.]+(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\.[^\[\]]+)\](?::[^\[\]]*)?$"
 DEFAULT_PORTS = {"http": 80, "https": 443}
 MAX_PORT = 65535
 FAMILIES = {
@@ -101,7 +105,10 @@ def canonical_url(c: Column, parts: Column | None = None) -> Column:
 
 
 def redact_url(c: Column, parts: Column | None = None) -> Column:
-    """Hide credentials, query and fragment of a URL; anything else passes through."""
+    """Hide credentials, query and fragment of a URL; anything else passes through.
+
+    Of a URL whose authority has brackets but no address in them only the scheme is shown.
+    """
     parts = url_parts(c) if parts is None else parts
     part = lambda i: F.get(parts, F.lit(i))
     user, place, host, port = _authority(part(1))
@@ -121,19 +128,27 @@ def redact_url(c: Column, parts: Column | None = None) -> Column:
         F.when(part(3) != "", F.lit("?" + HIDDEN)).otherwise(""),
         F.when(part(4) != "", F.lit("#" + HIDDEN)).otherwise(""),
     )
-    return F.when(_is_url(parts) & (part(1) != ""), masked).otherwise(c)
+    unreadable = part(1).rlike(r"[\[\]]") & ~part(1).rlike(BRACKETED)
+    hidden = F.concat(part(0), F.lit("://" + HIDDEN))
+    return F.when(_is_url(parts) & (part(1) != ""), F.when(unreadable, hidden).otherwise(masked)).otherwise(c)
 
 
-def redact_text(c: Column) -> Column:
-    """Hide secrets of every URL in a text, and bare ``user:password@host`` credentials."""
+def redact_text(c: Column, secrets: Sequence[str] = ()) -> Column:
+    """Hide secrets of every URL in a text, and bare ``user:password@host`` credentials.
+
+    Known ``secrets`` are hidden first, also where they stand percent-encoded or decoded.
+    """
+    for secret in sorted(filter(None, secrets)):
+        for form in dict.fromkeys((secret, unquote(secret), quote(secret, safe=""))):
+            c = F.replace(c, F.lit(form), redact_url(F.lit(secret)))
     tokens = F.regexp_extract_all(c, F.lit(SCHEME_TOKEN), F.lit(0))
     found = F.transform(tokens, lambda t: F.struct(t.alias("url"), url_parts(t).alias("parts")))
     masked = F.transform(found, lambda t: redact_url(t["url"], t["parts"]))
     woven = F.zip_with(
         F.split(c, SCHEME_TOKEN), masked, lambda gap, url: F.concat(gap, F.coalesce(url, F.lit("")))
     )
-    swept = F.when(c.rlike(SCHEME_TOKEN), F.array_join(woven, "")).otherwise(c)
-    return F.regexp_replace(swept, BARE_CREDENTIALS, HIDDEN + "@$1")
+    swept = F.when(c.contains("://"), F.array_join(woven, "")).otherwise(c)
+    return F.when(c.contains("@"), F.regexp_replace(swept, BARE_CREDENTIALS, HIDDEN + "@$1")).otherwise(swept)
 
 
 def classify_listing_url(c: Column) -> Column:

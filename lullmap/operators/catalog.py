@@ -119,12 +119,13 @@ def parse_picks(spec: str) -> list[tuple[int, int]]:
 
 
 def select_positions(
-    df: DataFrame, spec: str, order: Sequence[Column | str], by: Sequence[str] = ()
+    df: DataFrame, spec: str, order: Sequence[Column | str], by: Sequence[str] = (), strict: bool = True
 ) -> DataFrame:
     """Pick rows of each group by position in ``order``; adds ``pos``.
 
-    A position past the end of a group fails the query. Only rows up to the highest
-    position leave a partition, so a large group costs no more than a small one.
+    A position past the end of a group fails the query; unless ``strict``, such a group
+    gives no rows. Only rows up to the highest position leave a partition, so a large group
+    costs no more than a small one.
     """
     ranges = parse_picks(spec)
     top = max(hi for _, hi in ranges)
@@ -137,6 +138,8 @@ def select_positions(
         wanted = wanted | F.col("pos").between(lo, hi)
     reached = F.max("pos").over(Window.partitionBy(*groups))
     picked = picked.withColumn("__reached", reached)
+    if not strict:
+        return picked.filter(F.col("__reached") >= top).filter(wanted).drop("__reached", "__all")
     fits = F.assert_true(
         F.col("__reached") >= top,
         F.concat(F.lit(f"position {top} is outside the table of "), F.col("__reached").cast("string")),
@@ -171,7 +174,7 @@ def sort_catalog(
     """
     ready, order = catalog_order(df, key, by)
     blocks = blocks or pick_blocks(df, by)
-    return positions(ready, by, order, blocks, "rank").drop("__dated").orderBy(*by, "rank")
+    return positions(ready, by, order, blocks, "rank").drop("__dated")
 
 
 def first_n_per_listing(
@@ -187,15 +190,14 @@ def first_n_per_listing(
 def latest_checkpoint(
     df: DataFrame, keys: Sequence[str], mtime: str, priority: str, exists: Column | None = None
 ) -> DataFrame:
-    """One artifact per key: the newest primary (priority 0), else the first fallback there is."""
+    """One artifact per key: the newest primary (priority 0), else the first fallback there is.
+
+    Of equal ones the smallest row counts, by its columns in their order.
+    """
     there = df.filter(exists) if exists is not None else df
     row = F.struct(*[c for c in there.columns if c not in keys])
-    primary = F.col(priority) == 0
-    best = there.groupBy(*keys).agg(
-        F.max_by(F.when(primary, row), F.when(primary, F.col(mtime))).alias("__primary"),
-        F.min_by(row, F.struct(F.col(priority), -F.col(mtime).cast("double"))).alias("__any"),
-    )
-    return best.select(*keys, F.coalesce("__primary", "__any").alias("a")).select(*keys, "a.*")
+    first = F.struct(F.col(priority), -F.col(mtime).cast("double"), row)
+    return there.groupBy(*keys).agg(F.min_by(row, first).alias("a")).select(*keys, "a.*")
 
 
 def unfinished(entries: DataFrame, done: DataFrame, url: str = "url") -> DataFrame:
@@ -204,8 +206,8 @@ def unfinished(entries: DataFrame, done: DataFrame, url: str = "url") -> DataFra
 
 
 def merge_completed(before: DataFrame, now: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct completed URLs of earlier runs and this one, sorted."""
-    return before.select(url).unionByName(now.select(url)).distinct().orderBy(url)
+    """Distinct completed URLs of earlier runs and this one."""
+    return before.select(url).unionByName(now.select(url)).distinct()
 
 
 def batch_outcome(results: DataFrame, batch: str, status: str) -> DataFrame:
@@ -218,8 +220,8 @@ def batch_outcome(results: DataFrame, batch: str, status: str) -> DataFrame:
 
 
 def failed_entries(results: DataFrame, batch: str, url: str, status: str) -> DataFrame:
-    """The failed entries, one row each, sorted within their batch."""
-    return results.filter(F.col(status) == "failed").select(batch, url).orderBy(batch, url)
+    """The failed entries, one row each."""
+    return results.filter(F.col(status) == "failed").select(batch, url)
 
 
 def recent_top_k(df: DataFrame, user: str, item: str, ts: str, k: int = 5) -> DataFrame:
@@ -242,12 +244,13 @@ def expand_queue(
 
     ``queue`` holds ``line_no`` and ``entry``; an entry that names a listing of the
     catalogue is expanded, any other passes through. Result: ``line_no``, ``rank``,
-    ``title``, ``url``, in queue order.
+    ``title``, ``url``; ``line_no`` and ``rank`` give the queue's order. A listing without a
+    usable pick gives no rows; ``queue_problems`` names it.
     """
     shown = glob_filter(catalog, "title", glob) if glob else catalog
     shown = meta_filter(shown, min_duration, since)
     ready, order = catalog_order(shown, sort, ["listing"])
-    picks = select_positions(ready, spec, order, ["listing"])
+    picks = select_positions(ready, spec, order, ["listing"], strict=False)
     listings = catalog.select(F.col("listing").alias("entry")).distinct()
     expanded = queue.join(
         picks.select(F.col("listing").alias("entry"), F.col("pos").alias("rank"), "title", "url"),
@@ -259,6 +262,28 @@ def expand_queue(
         F.lit(None).cast("string").alias("title"),
         F.col("entry").alias("url"),
     )
-    return (
-        expanded.select("line_no", "rank", "title", "url").unionByName(plain).orderBy("line_no", "rank")
-    )
+    return expanded.select("line_no", "rank", "title", "url").unionByName(plain)
+
+
+def queue_problems(
+    queue: DataFrame,
+    catalog: DataFrame,
+    spec: str,
+    glob: str | None = None,
+    min_duration: float = 0.0,
+    since: float | dt.datetime | None = None,
+) -> DataFrame:
+    """Queue lines whose listing cannot be expanded: ``line_no``, ``entry``, ``entries``, ``reason``.
+
+    ``entries`` counts what the filters leave. The reason is ``empty`` when that is nothing,
+    and ``short`` when ``spec`` asks for a position past it.
+    """
+    top = max(hi for _, hi in parse_picks(spec))
+    shown = glob_filter(catalog, "title", glob) if glob else catalog
+    left = meta_filter(shown, min_duration, since).groupBy("listing").agg(F.count(F.lit(1)).alias("entries"))
+    listings = catalog.select("listing").distinct().join(left, "listing", "left")
+    short = listings.select(
+        F.col("listing").alias("entry"), F.coalesce("entries", F.lit(0)).alias("entries")
+    ).filter(F.col("entries") < top)
+    reason = F.when(F.col("entries") == 0, "empty").otherwise("short")
+    return queue.join(short, "entry").select("line_no", "entry", "entries", reason.alias("reason"))

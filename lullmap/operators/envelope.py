@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lullmap.plans.blocks import Blocks, carry, int_div, ordered, pick_blocks
+from lullmap.plans.blocks import Blocks, carry, int_div, ordered, pick_blocks, positions
 
-# Fixed value: samples looked at for the dominant frequency.
+# Samples of a window of the dominant frequency.
 SPECTRUM_SAMPLES = 8192
 
 
@@ -61,26 +61,35 @@ def dominant_frequency(
     value: str,
     rate: float,
     blocks: Blocks | None = None,
+    window: int = SPECTRUM_SAMPLES,
 ) -> DataFrame:
-    """Strongest non-DC frequency of the first 8192 samples, under a Hann window.
+    """Strongest non-DC frequency of every series, from the mean power of its windows.
 
-    The first samples are taken by position, which Spark limits per partition before the
-    exchange, so a task never holds more than 8192 rows of a series.
+    A series is cut by position into windows of ``window`` samples under a Hann taper, of
+    which a task handles one at a time; the rest at its end is filled up with zeros. Powers
+    are summed by frequency before they meet. A series of one short window is taken as it is.
     """
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    head = (
-        df.select(*keys, *dict.fromkeys([*order, value]))
-        .withColumn("__j", first)
-        .filter(F.col("__j") <= SPECTRUM_SAMPLES)
-        .select(*keys, "__j", F.col(value).cast("double").alias("__v"))
+    blocks = blocks or pick_blocks(df, keys)
+    lean = df.select(*keys, *dict.fromkeys([*order, value]))
+    placed = positions(lean, keys, order, blocks, "__j").select(
+        *keys,
+        int_div(F.col("__j") - 1, F.lit(window)).alias("__w"),
+        "__j",
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v"),
     )
-    types = dict(head.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["frequency double"])
+    types = dict(placed.dtypes)
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def spectrum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = rows.sort_values("__j")["__v"].to_numpy()
-        strength = np.abs(np.fft.rfft(v * np.hanning(len(v))))
-        peak = float(np.argmax(strength[1:]) + 1) * rate / len(v) if len(strength) > 1 else None
-        return pd.DataFrame([[*key, peak]], columns=[*keys, "frequency"])
+        n = len(v) if key[-1] == 0 else window
+        power = np.abs(np.fft.rfft(v * np.hanning(len(v)), n))[1:] ** 2
+        out = pd.DataFrame({"__n": n, "__k": np.arange(1, len(power) + 1), "__p": power})
+        for k, given in zip(keys, key):
+            out[k] = given
+        return out[[*keys, "__n", "__k", "__p"]]
 
-    return head.groupBy(*keys).applyInPandas(spectrum, schema)
+    powers = placed.groupBy(*keys, "__w").applyInPandas(spectrum, f"{named}, __n bigint, __k bigint, __p double")
+    summed = powers.groupBy(*keys, "__n", "__k").agg(F.sum("__p").alias("__p"))
+    best = F.max_by(F.col("__k") * F.lit(float(rate)) / F.col("__n"), F.struct("__p", -F.col("__k")))
+    return summed.groupBy(*keys).agg(best.alias("frequency"))

@@ -230,6 +230,9 @@ def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(stored, on, "left_semi")
 
 
+RULE_KINDS = ("enum", "bool", "int", "float", "auto_or_int", "str")
+
+
 def rule_errors(rules: Mapping[str, Mapping]) -> list[Column]:
     """One nullable reason per rule violation.
 
@@ -241,6 +244,8 @@ def rule_errors(rules: Mapping[str, Mapping]) -> list[Column]:
     for name, rule in rules.items():
         raw = F.col(name).cast("string")
         kind = rule["kind"]
+        if kind not in RULE_KINDS:
+            raise ValueError(f"{name}: unknown kind of rule {kind!r}")
         bad = F.lit(False)
         if kind == "enum":
             bad = ~raw.isin(*rule["valid"])

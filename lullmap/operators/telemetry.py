@@ -417,13 +417,19 @@ def ancestors(edges: DataFrame, node: str, parent: str) -> DataFrame:
 
     ``edges`` has one row per node with its parent, null at the roots. Paths are doubled,
     so a depth of n takes log2(n) rounds; each round is written to the checkpoint folder,
-    because it is used twice in the next.
+    because it is used twice in the next. Edges that still lead on after as many rounds as
+    the longest path can need run in a circle, which is an error.
     """
     jump = edges.filter(F.col(parent).isNotNull()).select(
         F.col(node).alias("from_node"), F.col(parent).alias("to_node")
     )
     pairs = edges.select(F.col(node).alias("node"), F.col(node).alias("ancestor"))
+    rounds = max(1, edges.count()).bit_length() + 1
     while not jump.isEmpty():
+        if rounds == 0:
+            looped = [r["from_node"] for r in jump.select("from_node").distinct().limit(5).collect()]
+            raise ValueError(f"nodes whose parents run in a circle, such as {looped}")
+        rounds -= 1
         further = pairs.join(jump, F.col("ancestor") == F.col("from_node")).select(
             "node", F.col("to_node").alias("ancestor")
         )

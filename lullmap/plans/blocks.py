@@ -40,8 +40,6 @@ DAY = 24 * HOUR
 
 # Largest number of rows one task should sort for one series piece.
 ROWS_PER_TASK = 20_000_000
-# Inputs Spark itself estimates below this are never measured: no series can be too large.
-SMALL_INPUT_BYTES = 128 << 20
 # Widths tried, widest first, when a series is too large for one task.
 WIDTHS = (30 * DAY, 7 * DAY, DAY, HOUR, MINUTE, SECOND)
 
@@ -98,11 +96,6 @@ def int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of ``df`` after optimisation."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def pick_blocks(
     df: DataFrame,
     keys: Sequence[str],
@@ -112,25 +105,25 @@ def pick_blocks(
 ) -> Blocks:
     """Measure the largest series and choose the cheapest safe cut.
 
-    The measurement is one map-side combined count that reads the key columns only; it is
-    skipped for inputs that are small by Spark's estimate. With ``ts`` (BIGINT
-    microseconds) the widest time width whose fullest piece fits is taken; without it, or
-    when even one second is too full, the pieces are sampled ranges. ``least_us`` asks for
-    time pieces no narrower than that.
+    The measurement is one map-side combined count that reads the key columns only, at every
+    size of input. Where a series is too large and ``ts`` (BIGINT microseconds) is given, a
+    second pass counts the pieces of all widths at once, and the widest that fits is taken;
+    without ``ts``, or when even one second is too full, the pieces are sampled ranges.
+    ``least_us`` asks for time pieces no narrower than that.
     """
-    if planned_bytes(df) <= SMALL_INPUT_BYTES:
-        return WholeSeries()
     sizes = df.groupBy(*keys).count()
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
     if not total or largest <= rows_per_task:
         return WholeSeries()
     if ts is not None:
-        for width in (w for w in WIDTHS if w >= least_us):
-            cells = df.groupBy(*keys, floor_div(F.col(ts), F.lit(width)).alias(BLOCK)).count()
-            if cells.agg(F.max("count")).first()[0] <= rows_per_task:
-                return TimeBlocks(width)
-        if least_us:
-            return TimeBlocks(least_us)
+        widths = [w for w in WIDTHS if w >= least_us] or [least_us]
+        width = F.explode(F.array(*[F.lit(w).cast("long") for w in widths])).alias("__width")
+        cells = df.select(*keys, ts, width).groupBy(*keys, "__width", floor_div(F.col(ts), F.col("__width")).alias(BLOCK)).count()
+        fullest = cells.groupBy("__width").agg(F.max("count")).collect()
+        fit = [w for w, n in fullest if n <= rows_per_task]
+        if fit or least_us:
+            # Pieces that must not be narrower are no narrower, however full.
+            return TimeBlocks(max(fit) if fit else min(widths))
     slots = df.sparkSession.sparkContext.defaultParallelism
     return RangeBlocks(max(2 * slots, -(-2 * total // rows_per_task)))
 

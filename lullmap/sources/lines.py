@@ -210,13 +210,6 @@ def read_quiet_log(
     return parse_quiet_log(file_lines(spark, path), ["source"], LINE_ORDER, "line", ends)
 
 
-def parse_json_logs(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Log records of JSON lines; an unreadable line is kept as ``_corrupt_record``."""
-    schema = T.StructType([*LOG_SCHEMA, T.StructField("_corrupt_record", T.StringType())])
-    parsed = F.from_json(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.select(parsed.alias("r")).select("r.*")
-
-
 def read_json_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log records of JSON-lines files; an unreadable line is kept as ``_corrupt_record``."""
     schema = T.StructType([*LOG_SCHEMA, T.StructField("_corrupt_record", T.StringType())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ BATCH_SCHEMA = T.StructType(
         T.StructField("dry_run", T.BooleanType()),
     ]
 )
-STATE_SCHEMA = "kind string, batch string, pos int, title string, url string, version int, dry_run boolean"
+STATE_SCHEMA = "kind string, batch string, pos int, title string, url string, version int, dry_run boolean, saved_at long"
 
 
 def config_hash(threshold: float, min_silence: float, margin: float) -> str:
@@ -35,42 +37,61 @@ def config_hash(threshold: float, min_silence: float, margin: float) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def write_interval_cache(intervals: DataFrame, path: str, config: dict[str, float]) -> None:
-    """Store intervals (``source``, ``source_size``, ``start_us``, ``end_us``) under a config.
+def write_interval_cache(
+    intervals: DataFrame, path: str, config: dict[str, float], sources: DataFrame | None = None
+) -> None:
+    """Add detected intervals (``source``, ``source_size``, ``start_us``, ``end_us``) under a config.
 
-    Only this config's partition is replaced. ``probe_us`` (how far detection got) is
-    optional.
+    ``sources`` (``source``, ``source_size`` and optionally ``probe_us``, how far detection
+    got) lists what was looked at, so that a source without a quiet moment is known too; left
+    out, it is the sources of the intervals. Each source of a call gets a head row and its
+    intervals; of several calls the newest counts, and what other calls stored stays.
     """
-    stamped = intervals.withColumns(
+    fields = ["source", "source_size", "probe_us"]
+    heads = intervals if sources is None else sources
+    if "probe_us" not in heads.columns:
+        heads = heads.withColumn("probe_us", F.lit(None).cast("long"))
+    heads = heads.groupBy(*fields[:2]).agg(F.max("probe_us").alias("probe_us"))
+    rows = heads.select(*fields, *[F.lit(None).cast("long").alias(c) for c in ("start_us", "end_us")]).unionByName(
+        intervals.select("source", "source_size", "start_us", "end_us"), allowMissingColumns=True
+    )
+    stamped = rows.withColumns(
         {
             **{c: F.lit(float(config[c])) for c in CONFIG_FIELDS},
             "cached_at": F.current_timestamp(),
+            "written": F.lit(uuid.uuid4().hex),
             "config_hash": F.lit(config_hash(*(config[c] for c in CONFIG_FIELDS))),
         }
     )
-    if "probe_us" not in intervals.columns:
-        stamped = stamped.withColumn("probe_us", F.lit(None).cast("long"))
-    (
-        stamped.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("config_hash")
-        .parquet(path)
-    )
+    stamped.write.mode("append").partitionBy("config_hash").parquet(path)
 
 
-def read_interval_cache(
+def cached_sources(
     spark: SparkSession, path: str, requests: DataFrame, config: dict[str, float]
 ) -> DataFrame:
-    """Cached intervals of the ``requests`` (``source``, ``source_size``, ``source_mtime``) that hit.
+    """Heads of the ``requests`` (``source``, ``source_size``, ``source_mtime``) that hit.
 
-    The config selects one partition, so other parameter sets are not read.
+    ``source``, ``source_size``, ``probe_us``, ``cached_at`` and ``written``. The config
+    selects one partition, so other parameter sets are not read. Only the newest write of a
+    source can be hit: it replaces older ones, whatever size they had.
     """
     wanted = config_hash(*(config[c] for c in CONFIG_FIELDS))
-    stored = spark.read.parquet(path).filter(F.col("config_hash") == wanted)
+    stored = spark.read.parquet(path).filter((F.col("config_hash") == wanted) & F.col("start_us").isNull())
+    head = F.struct("cached_at", "written", "source_size", "probe_us", *CONFIG_FIELDS)
+    newest = stored.groupBy("source").agg(F.max(head).alias("h")).select("source", "h.*")
     asked = requests.withColumns({c: F.lit(float(config[c])) for c in CONFIG_FIELDS})
-    heads = stored.select("source", "source_size", "cached_at", *CONFIG_FIELDS).distinct()
-    hits = cache_hits(asked, heads).select("source").distinct()
-    return stored.join(hits, "source", "left_semi").drop("config_hash")
+    hits = cache_hits(asked, newest).select("source").distinct()
+    return newest.join(hits, "source", "left_semi").drop(*CONFIG_FIELDS)
+
+
+def read_interval_cache(
+    spark: SparkSession, path: str, requests: DataFrame, config: dict[str, float]
+) -> DataFrame:
+    """Cached intervals of the ``requests`` that hit, as ``cached_sources`` tells them."""
+    wanted = config_hash(*(config[c] for c in CONFIG_FIELDS))
+    stored = spark.read.parquet(path).filter((F.col("config_hash") == wanted) & F.col("start_us").isNotNull())
+    hits = cached_sources(spark, path, requests, config)
+    return stored.select("source", "written", "start_us", "end_us").join(hits, ["source", "written"])
 
 
 def read_batch_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -87,22 +108,28 @@ def read_batch_document(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return entries, done
 
 
-def write_batch_state(entries: DataFrame, completed: DataFrame, path: str, dry_run: bool = False) -> None:
+def write_batch_state(
+    entries: DataFrame, completed: DataFrame, path: str, dry_run: bool = False, merge: bool = False
+) -> None:
     """Batch state as JSON lines, one per entry and per completed URL.
 
     Unlike a single document this has no size limit: no batch passes through one task.
     ``entries`` holds ``batch``, ``pos``, ``title``, ``url``; ``completed`` the batch and URL.
+    With ``merge`` the rows join what is stored; readers keep the newest entries of a batch
+    and the completed URLs of all writes.
     """
     rows = entries.select(F.lit("entry").alias("kind"), "batch", "pos", "title", "url").unionByName(
         completed.select(F.lit("completed").alias("kind"), "batch", "url").distinct(),
         allowMissingColumns=True,
     )
-    stamped = rows.withColumns({"version": F.lit(BATCH_VERSION), "dry_run": F.lit(dry_run)})
-    stamped.write.mode("overwrite").json(path)
+    stamp = {"version": F.lit(BATCH_VERSION), "dry_run": F.lit(dry_run), "saved_at": F.unix_micros(F.current_timestamp())}
+    rows.withColumns(stamp).write.mode("append" if merge else "overwrite").json(path)
 
 
 def read_batch_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and completed URLs written by ``write_batch_state``."""
+    """Entries, of the newest write of each batch that has any, and all completed URLs."""
     rows = spark.read.schema(STATE_SCHEMA).json(path)
-    entries = rows.filter(F.col("kind") == "entry").select("batch", "pos", "title", "url")
-    return entries, rows.filter(F.col("kind") == "completed").select("batch", "url")
+    entries = rows.filter(F.col("kind") == "entry")
+    newest = entries.groupBy("batch").agg(F.max("saved_at").alias("saved_at"))
+    entries = entries.join(newest, ["batch", "saved_at"], "left_semi").select("batch", "pos", "title", "url")
+    return entries, rows.filter(F.col("kind") == "completed").select("batch", "url").distinct()

@@ -102,7 +102,7 @@ def test_resume(spark):
     done = spark.createDataFrame([("u1",)], "url string")
     assert titles(cat.unfinished(entries, done)) == {"b", "c"}
     more = spark.createDataFrame([("u0",), ("u1",)], "url string")
-    assert [r["url"] for r in cat.merge_completed(done, more).collect()] == ["u0", "u1"]
+    assert sorted(r["url"] for r in cat.merge_completed(done, more).collect()) == ["u0", "u1"]
 
 
 def test_recent_top_k(spark):
@@ -125,3 +125,21 @@ def test_latest_checkpoint(spark):
     )
     got = {r["k"]: r["name"] for r in cat.latest_checkpoint(df, ["k"], "mtime", "priority", F.col("there")).collect()}
     assert got == {"a": "inuse", "b": "old"}
+
+
+def test_latest_checkpoint_ties(spark):
+    rows = [("k", "b", 5, 0), ("k", "a", 5, 0), ("l", "y", 3, 2), ("l", "x", 3, 2)]
+    df = spark.createDataFrame(rows, "k string, name string, mtime long, priority int").repartition(4)
+    got = {r["k"]: r["name"] for r in cat.latest_checkpoint(df, ["k"], "mtime", "priority").collect()}
+    assert got == {"k": "a", "l": "x"}
+
+
+def test_queue_problems(spark):
+    """A listing that the filters empty and one that is too short are told, and stop nothing."""
+    queue = spark.createDataFrame([(1, "full"), (2, "emptied"), (3, "short"), (4, "https://x.org/v")], "line_no int, entry string")
+    rows = [(l, i, f"{l}{i}", f"u{l}{i}", t, 60.0, 1, None) for l, n, t in (("full", 4, "good"), ("emptied", 3, "bad"), ("short", 1, "good")) for i in range(n)]
+    catalog = spark.createDataFrame(rows, "listing string, pos int, video_id string, url string, title string, duration double, view_count long, ts long")
+    got = cat.expand_queue(queue, catalog, "1,3", "views", "good").collect()
+    assert sorted((r["line_no"], r["rank"]) for r in got) == [(1, 1), (1, 3), (4, 1)]
+    told = cat.queue_problems(queue, catalog, "1,3", "good").collect()
+    assert sorted(tuple(r) for r in told) == [(2, "emptied", 0, "empty"), (3, "short", 1, "short")]

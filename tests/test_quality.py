@@ -183,3 +183,15 @@ def test_tree_total(spark):
     samples = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None), ("f", 8.0), ("g", 16.0)], "pid string, rss double")
     got = {r["pid"]: r["total"] for r in telemetry.tree_total(samples, edges, "pid", "ppid", "rss").collect()}
     assert got == {"a": 27.0, "b": 10.0, "c": None, "d": None, "e": None, "f": 8.0, "g": 16.0}
+
+
+def test_unknown_rule_kind(spark):
+    df = spark.createDataFrame([("x",)], "proxy string")
+    with pytest.raises(ValueError, match="unknown kind"):
+        q.validate_rows(df, {"proxy": {"kind": "proxy"}})
+
+
+def test_parents_in_a_circle(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "node int, parent int")
+    with pytest.raises(ValueError, match="circle"):
+        telemetry.ancestors(edges, "node", "parent")

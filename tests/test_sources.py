@@ -154,3 +154,36 @@ def test_batch_state(spark, scratch):
     again, completed = stores.read_batch_state(spark, out)
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, entries.collect()), key=repr)
     assert [r["url"] for r in completed.collect()] == ["u1"]
+
+
+def test_interval_cache_keeps_every_source(spark, scratch):
+    path, config = f"{scratch}/cache", {"threshold": -30, "min_silence": 2.0, "margin": 0.5}
+    put = lambda rows, heads: stores.write_interval_cache(
+        spark.createDataFrame(rows, "source string, source_size long, start_us long, end_us long"),
+        path,
+        config,
+        spark.createDataFrame(heads, "source string, source_size long, probe_us long"),
+    )
+    put([("a", 10, 0, 5), ("a", 10, 7, 9)], [("a", 10, 20), ("empty", 3, 8)])
+    put([("b", 5, 1, 2)], [("b", 5, None)])
+    put([("b", 6, 3, 4)], [("b", 6, 9)])
+    asked = spark.createDataFrame([("a", 10), ("empty", 3), ("b", 5), ("c", 1)], "source string, source_size long")
+    asked = asked.withColumn("source_mtime", F.lit("2020-01-01").cast("timestamp"))
+    heads = {r["source"]: r["probe_us"] for r in stores.cached_sources(spark, path, asked, config).collect()}
+    assert heads == {"a": 20, "empty": 8}
+    got = stores.read_interval_cache(spark, path, asked, config).collect()
+    assert sorted((r["source"], r["start_us"], r["end_us"]) for r in got) == [("a", 0, 5), ("a", 7, 9)]
+    grown = asked.withColumn("source_size", F.when(F.col("source") == "b", 6).otherwise(F.col("source_size")))
+    got = stores.read_interval_cache(spark, path, grown, config).filter("source = 'b'").collect()
+    assert [(r["start_us"], r["end_us"]) for r in got] == [(3, 4)]
+
+
+def test_batch_state_merges(spark, scratch):
+    path = f"{scratch}/state"
+    entries = lambda rows: spark.createDataFrame(rows, "batch string, pos int, title string, url string")
+    done = lambda rows: spark.createDataFrame(rows, "batch string, url string")
+    stores.write_batch_state(entries([("x", 1, "t", "u1"), ("y", 1, "t", "u9")]), done([("x", "u1")]), path, merge=True)
+    stores.write_batch_state(entries([("x", 1, "t", "u1"), ("x", 2, "t", "u2")]), done([("x", "u2")]), path, merge=True)
+    kept, completed = stores.read_batch_state(spark, path)
+    assert sorted((r["batch"], r["url"]) for r in kept.collect()) == [("x", "u1"), ("x", "u2"), ("y", "u9")]
+    assert sorted(tuple(r) for r in completed.collect()) == [("x", "u1"), ("x", "u2")]

@@ -174,3 +174,25 @@ def test_listing_urls(spark):
     }
     both = each(spark, ["v123"], lambda c: urls.entry_url(c, F.lit("twitch")))
     assert both == ["https://www.twitch.tv/videos/123"]
+
+
+def test_unreadable_authorities_are_hidden(spark):
+    cases = {
+        "https://[broken": "https://<redacted>",
+        "http://u:p@[bad/secret?t=1": "http://<redacted>",
+        "http://bad]/x": "http://<redacted>",
+        "http://[nothex]:80/x?q": "http://<redacted>",
+        "http://u:p@[::1]:80/x?q": "http://<redacted>@::1:80/x?<redacted>",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = {r["url"]: r["r"] for r in df.withColumn("r", urls.redact_url(F.col("url"))).collect()}
+    assert got == cases
+
+
+def test_known_secrets_in_every_form(spark):
+    said = "failed https%3A%2F%2Fuser%3Apa%2520ss%40host%2Fv via https://user:pa ss@host/v and https://user:pa%20ss@host/v end"
+    df = spark.createDataFrame([(said,), ("nothing",), (None,)], "t string")
+    secret = "https://user:pa%20ss@host/v"
+    got = [r["r"] for r in df.withColumn("r", urls.redact_text(F.col("t"), [secret, ""])).collect()]
+    assert "pa" not in got[0].replace("path", "") and got[0].count("<redacted>@host/v") == 3
+    assert got[1:] == ["nothing", None]
