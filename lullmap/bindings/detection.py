@@ -28,7 +28,7 @@ from lullmap.operators import envelope as env
 from lullmap.operators import intervals as iv
 from lullmap.operators import quiet as qt
 from lullmap.operators import summary, sweep
-from lullmap.plans.blocks import pick_blocks
+from lullmap.plans.blocks import interval_blocks, pick_blocks
 
 MARGIN = HOUR
 IV = "SELECT user_id, start_us, end_us FROM "
@@ -48,6 +48,7 @@ def quiet_plan(spark, sf, min_len=MIN_LEN, close=True):
 def cut_plan(spark, sf, min_len=MIN_LEN, margin=MARGIN):
     """``quiet_plan`` with the margin applied, and the keep intervals."""
     rows, ends, quiet, blocks = quiet_plan(spark, sf, min_len)
+    quiet, blocks = interval_blocks(quiet, USER, "start_us", blocks)
     cut = iv.apply_margin(quiet, USER, margin, ends, blocks)
     return rows, ends, cut, iv.keep_intervals(cut, ends, USER, blocks=blocks), blocks
 

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullmap.operators.intervals import END, START
-from lullmap.plans.blocks import Blocks, carry, islands, ordered, pick_blocks
+from lullmap.operators.intervals import END, KEEP_FLOOR_US, START, apply_margin, cut_plan
+from lullmap.plans.blocks import Blocks, carry, interval_blocks, islands, ordered, pick_blocks, upto
 
 # Accepted ranges and defaults of the detector.
 THRESHOLD_DB = (-60.0, -5.0)
@@ -41,37 +41,50 @@ def quiet_runs(
     """Maximal runs of ``quiet`` rows; a run ends where the next loud row is.
 
     A run still open after the last row is closed at the series end from ``ends``
-    (keys, or some of them, and ``end_us``), and dropped without one.
+    (keys, or some of them, and ``end_us``), and dropped without one. Rows are exchanged
+    once, by series and piece, and read once.
     """
     lean = df.select(*keys, *dict.fromkeys([ts, *order]), F.coalesce(quiet, F.lit(False)).alias("__q"))
     cut = blocks.assign(lean, keys, order)
-    cut = carry(
-        cut,
-        keys,
-        blocks,
-        {"first": F.min(ts), "last": F.max_by("__q", F.struct(*order))},
-        {"__prev_in": ("lag", "last"), "__next_in": ("lead", "first")},
-    )
     w = ordered(keys, blocks, order)
-    cut = cut.withColumns(
-        {
-            "__prev": F.coalesce(F.lag("__q").over(w), F.col("__prev_in").cast("boolean"), F.lit(False)),
-            "__next": F.coalesce(F.lead(ts).over(w), F.col("__next_in").cast("long")),
-        }
-    )
-    runs = islands(
-        cut,
-        keys,
-        order,
-        blocks,
-        opens=F.col("__q") & ~F.col("__prev"),
-        aggs={
-            START: ("min", F.col(ts)),
-            END: ("max", F.col("__next")),
-            "__open": ("max", F.col("__next").isNull()),
-        },
-        keep=F.col("__q"),
+    seen = {"__prev": F.lag("__q").over(w), "__next": F.lead(ts).over(w)}
+    opens = F.col("__q") & ~F.coalesce("__prev", F.lit(False))
+    parts = (
+        cut.withColumns(seen)
+        .withColumn("__group", F.sum(opens.cast("int")).over(upto(w)))
+        # The first row of a piece stays even if loud: it ends a run of the piece before.
+        .filter(F.col("__q") | F.col("__prev").isNull())
+        .groupBy(*keys, *blocks.cols, "__group")
+        .agg(
+            F.min(ts).alias(START),
+            F.max("__next").alias(END),
+            F.bool_or("__q").alias("__q"),
+            F.bool_or(F.col("__prev").isNull()).alias("__head"),
+            F.bool_or(F.col("__q") & F.col("__next").isNull()).alias("__open"),
+        )
     )
+    columns = [*keys, START, END, "__open"]
+    if not blocks.cols:
+        runs = parts.filter("__q").select(columns)
+    else:
+        # Only runs that touch an edge of their piece meet those of other pieces: two a piece.
+        w = Window.partitionBy(*keys).orderBy(*blocks.cols, "__group")
+        goes_on = F.col("__head") & F.col("__q") & F.coalesce(F.lag("__open").over(w), F.lit(False))
+        after = F.lead(START).over(w)
+        edges = parts.filter("__head OR __open").withColumns({"__on": goes_on, "__after": after})
+        chain = F.sum(F.when(F.col("__on"), 0).otherwise(1)).over(upto(w))
+        stitched = (
+            edges.withColumn("__chain", chain)
+            .filter("__q")
+            .groupBy(*keys, "__chain")
+            .agg(
+                F.min(START).alias(START),
+                F.max(F.when(F.col("__open"), F.col("__after")).otherwise(F.col(END))).alias(END),
+                F.bool_or(F.col("__open") & F.col("__after").isNull()).alias("__open"),
+            )
+        )
+        inner = parts.filter("__q AND NOT __head AND NOT __open")
+        runs = inner.select(columns).unionByName(stitched.select(columns))
     if ends is None:
         return runs.filter(~F.col("__open")).drop("__open")
     known = [k for k in keys if k in ends.columns]
@@ -107,6 +120,31 @@ def detect_quiet(
     return runs.filter(F.col(END) - F.col(START) >= min_len_us)
 
 
+def plan_cut(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    value: str,
+    threshold: float,
+    min_len_us: int,
+    margin_us: int,
+    ends: DataFrame,
+    floor_us: int = KEEP_FLOOR_US,
+    order: Sequence[str] | None = None,
+    blocks: Blocks | None = None,
+) -> tuple[DataFrame, Blocks]:
+    """From rows to quiet and keep parts, with the pieces that suit the intervals.
+
+    Detection works on pieces of the rows. Its intervals are few: where the rows had to be
+    split they are stored and measured by themselves, so that the steps after it are plain
+    windows unless the intervals of one series are too many as well.
+    """
+    blocks = blocks or pick_blocks(df, keys, ts)
+    quiet = detect_quiet(df, keys, ts, value, threshold, min_len_us, ends, order, blocks)
+    quiet, own = interval_blocks(quiet, keys, START, blocks)
+    return cut_plan(apply_margin(quiet, keys, margin_us, ends, own), ends, keys, floor_us, own), own
+
+
 def detect_quiet_db(
     df: DataFrame,
     keys: Sequence[str],

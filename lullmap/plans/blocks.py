@@ -128,6 +128,18 @@ def pick_blocks(
     return RangeBlocks(max(2 * slots, -(-2 * total // rows_per_task)))
 
 
+def interval_blocks(iv: DataFrame, keys: Sequence[str], ts: str, rows: Blocks) -> tuple[DataFrame, Blocks]:
+    """Intervals made from rows cut as ``rows`` says, and how to cut the intervals.
+
+    A series whose rows fit a task has fewer intervals. Otherwise the intervals are written
+    once to the checkpoint folder and measured there.
+    """
+    if not rows.cols:
+        return iv, rows
+    held = pinned(iv)
+    return held, pick_blocks(held, keys, ts)
+
+
 def ordered(keys: Sequence[str], blocks: Blocks, order: Sequence[Column | str]):
     """Window over the rows of one series piece in order."""
     return Window.partitionBy(*keys, *blocks.cols).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lullmap.bindings.common import HOUR, ORDER, USER, samples, user_ends
 from lullmap.operators import apply, envelope, quality, summary, sweep, telemetry
 from lullmap.operators.intervals import apply_margin, cut_plan
-from lullmap.operators.quiet import detect_quiet
+from lullmap.operators.quiet import detect_quiet, plan_cut
 from lullmap.plans.blocks import RangeBlocks, TimeBlocks, WholeSeries, positions
 from lullmap.sources import lines
 
@@ -158,3 +158,40 @@ def test_ema_weights(spark, alpha):
     got = {r["t"]: r["smoothed"] for r in telemetry.ema(df, ["k"], ["t"], "v", alpha, blocks=WholeSeries()).collect()}
     for i, want in enumerate(spec.ema(values, alpha)):
         assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("cut", CUTS)
+def test_split_chain(spark, rows, cut):
+    """Detection, margin, plan and new times of split rows: same result, and few exchanges."""
+    ends = user_ends(rows)
+
+    def chain(blocks):
+        plan, own = plan_cut(rows, USER, "t", "value", 60.0, HOUR, HOUR // 2, ends, order=ORDER, blocks=blocks)
+        kept = plan.filter("part = 'keep'").drop("part")
+        return apply.retime(rows, kept, USER, "t", blocks=own)
+
+    assert rounded(chain(cut)) == rounded(chain(WholeSeries()))
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange " in line and "Reused" not in line for line in plan.split("\n"))
+
+
+def test_exchanges_of_the_split_chain(spark, rows):
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        ends = user_ends(rows)
+        quiet = detect_quiet(rows, USER, "t", "value", 60.0, HOUR, ends, ORDER, TimeBlocks(60 * HOUR))
+        # Rows once, edge runs once, runs and ends to meet.
+        assert exchanges(quiet) <= 4
+        plan, own = plan_cut(rows, USER, "t", "value", 60.0, HOUR, HOUR // 2, ends, order=ORDER, blocks=TimeBlocks(60 * HOUR))
+        assert own == WholeSeries() and exchanges(plan) <= 4
+        kept = plan.filter("part = 'keep'").drop("part")
+        assert exchanges(apply.retime(rows, kept, USER, "t", blocks=own)) <= 7
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
