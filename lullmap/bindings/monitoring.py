@@ -365,6 +365,37 @@ def stream_quiet(spark, sf):
     return run_through(stream_quiet(event_stream(spark, sf), USER, "ts", "value", THRESHOLD, MIN_LEN))
 
 
+@query(
+    "stream_resume",
+    with_(
+        S,
+        sql_quiet(close=False),
+        then=f"SELECT user_id, start_us + {ORIGIN} AS start_us, end_us + {ORIGIN} AS end_us FROM quiet",
+    ),
+)
+def stream_resume(spark, sf):
+    """The first half of the time as a table, the rest as a stream that goes on from there."""
+    from lullmap.operators.quiet import quiet_runs
+    from lullmap.plans.blocks import pick_blocks
+    from lullmap.streaming.detect import stream_quiet
+
+    rows = samples(spark, sf)
+    middle = rows.agg(F.call_function("div", F.min("t") + F.max("t"), F.lit(2)).alias("m")).first()["m"]
+    first = rows.filter(F.col("t") <= middle)
+    unseen = 1 << 60
+    ends = first.groupBy("user_id").agg(F.max("t").alias("last_us"), F.lit(unseen).alias("end_us"))
+    runs = quiet_runs(first, USER, "t", F.abs("value") < THRESHOLD, ORDER, ends.drop("last_us"), pick_blocks(first, USER, "t"))
+    closed = runs.filter((F.col("end_us") < unseen) & (F.col("end_us") - F.col("start_us") >= MIN_LEN))
+    begun = runs.filter(F.col("end_us") == unseen).select("user_id", (F.col("start_us") + ORIGIN).alias("start_us"))
+    state = ends.join(begun, "user_id", "left").select(
+        "user_id", "start_us", (F.col("last_us") + ORIGIN).alias("last_us"), F.lit(None).cast("long").alias("end_us")
+    )
+    later = event_stream(spark, sf).filter(F.unix_micros("ts") > middle + ORIGIN)
+    out = run_through(stream_quiet(later, USER, "ts", "value", THRESHOLD, MIN_LEN, initial_state=state))
+    moved = closed.select("user_id", (F.col("start_us") + ORIGIN).alias("start_us"), (F.col("end_us") + ORIGIN).alias("end_us"))
+    return moved.unionByName(out)
+
+
 @query(
     "stream_sessions",
     with_(

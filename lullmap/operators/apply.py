@@ -18,6 +18,8 @@ from lullmap.plans.blocks import (
     int_div,
     ordered,
     pick_blocks,
+    range_rows,
+    spread_join,
 )
 
 # Target rates a plan may ask for; "source" leaves the cadence alone.
@@ -103,7 +105,7 @@ def shift_origin(
     df: DataFrame, offsets: DataFrame, keys: Sequence[str], columns: Sequence[str], sign: int = 1
 ) -> DataFrame:
     """Move time columns by each series' ``offset_us``; negative or missing ones count as 0."""
-    moved = df.join(offsets.select(*keys, F.col("offset_us").alias("__off")), list(keys), "left")
+    moved = spread_join(df, offsets.select(*keys, F.col("offset_us").alias("__off")), keys, "left")
     off = F.greatest(F.lit(0), F.coalesce("__off", F.lit(0))) * sign
     return moved.withColumns({c: F.col(c) + off for c in columns}).drop("__off")
 
@@ -137,16 +139,15 @@ def resample(
     cut = cut.withColumn("__next", nxt)
     until = F.coalesce("__next", F.col(ts) + 1)
     if ends is not None:
-        cut = cut.join(ends.select(*keys, F.col(END).alias("__limit")), list(keys), "left")
+        limit = ends.select(*keys, F.col(END).alias("__limit"))
+        cut = spread_join(cut, limit, keys, "left") if blocks.cols else cut.join(limit, list(keys), "left")
         until = F.coalesce("__next", "__limit", F.col(ts) + 1)
     step = F.lit(step_us)
     first = floor_div(F.col(ts) * ticks_per_step - 1, step) + 1
     last = floor_div(until * ticks_per_step - 1, step)
-    return (
-        cut.select(*keys, value, first.alias("__first"), last.alias("__last"))
-        .filter(F.col("__first") <= F.col("__last"))
-        .select(*keys, F.explode(F.sequence("__first", "__last")).alias("tick"), value)
-        .select(*keys, floor_div(F.col("tick") * step_us, F.lit(ticks_per_step)).alias("tick_us"), value)
+    held = cut.select(*keys, value, first.cast("long").alias("__a"), last.cast("long").alias("__b"))
+    return range_rows(held, F.col("__a"), F.col("__b"), "tick").select(
+        *keys, floor_div(F.col("tick") * step_us, F.lit(ticks_per_step)).alias("tick_us"), value
     )
 
 
@@ -173,12 +174,9 @@ def pad_or_trim(
     one cell the last counts. Both sides meet on (segment, cell).
     """
     cell = floor_div(F.col(ts), F.lit(step_us))
-    cells = segments.filter(F.col("length_us") >= step_us).select(
-        *keys,
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), int_div(F.col("length_us"), F.lit(step_us)) - 1)
-        ).alias("cell"),
-    )
+    long = segments.filter(F.col("length_us") >= step_us)
+    last = int_div(F.col("length_us"), F.lit(step_us)) - 1
+    cells = range_rows(long, F.lit(0).cast("long"), last.cast("long"), "cell").select(*keys, "cell")
     filled = df.groupBy(*keys, cell.alias("cell")).agg(
         F.max_by(value, F.struct(*order)).alias(value)
     )
@@ -208,7 +206,7 @@ def concat_parts(
     passed = F.coalesce(F.sum("length_us").over(before(ordered(keys, blocks, part_order))), F.lit(0))
     offsets = cut.select(*keys, part, (passed + F.col("__len_in")).cast("long").alias("__off"))
     return (
-        df.join(offsets, [*keys, part])
+        spread_join(df, offsets, [*keys, part])
         .withColumn("new_ts_us", F.col(ts) + F.col("__off"))
         .drop("__off")
     )

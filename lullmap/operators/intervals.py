@@ -22,6 +22,7 @@ from lullmap.plans.blocks import (
     islands,
     ordered,
     pick_blocks,
+    spread_join,
 )
 
 START, END = "start_us", "end_us"
@@ -311,7 +312,7 @@ def view_buckets(
         *keys, F.col(END).alias("__total"), F.col("n_peaks").cast("long").alias("__n")
     )
     return (
-        peaks.join(spread, list(keys))
+        spread_join(peaks, spread, keys)
         .filter((from_us < to_us) & (F.col("bucket") >= lo) & (F.col("bucket") < hi))
         .drop("__total", "__n")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lullmap.operators.intervals import END, KEEP_FLOOR_US, START, apply_margin, cut_plan
-from lullmap.plans.blocks import Blocks, carry, interval_blocks, islands, ordered, pick_blocks, upto
+from lullmap.plans.blocks import Blocks, carry, interval_blocks, islands, ordered, pick_blocks, spread_join, upto
 
 # Accepted ranges and defaults of the detector.
 THRESHOLD_DB = (-60.0, -5.0)
@@ -207,9 +207,7 @@ def below_threshold_runs(
     than columns. A series thereby holds at most ``width`` rows before any ordering.
     """
     n = F.col("__n")
-    sized = peaks.join(
-        peaks.groupBy(*keys).agg((F.max("bucket") + 1).cast("long").alias("__n")), list(keys)
-    )
+    sized = spread_join(peaks, peaks.groupBy(*keys).agg((F.max("bucket") + 1).cast("long").alias("__n")), keys)
     # Column x shows peaks [x*n div width, max(that + 1, (x+1)*n div width)).
     first = F.call_function("div", F.col("bucket") * width, n)
     lo = F.greatest(F.lit(0), first - 1)

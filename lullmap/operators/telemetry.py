@@ -19,6 +19,7 @@ from lullmap.plans.blocks import (
     int_div,
     ordered,
     pick_blocks,
+    spread_join,
 )
 from lullmap.plans.scratch import pinned
 
@@ -337,8 +338,7 @@ def stall_report(
     us = lambda seconds: F.lit(round(seconds * 1e6))
     start, from_us = F.col("start_us"), F.col("from_us")
     bounded = (
-        between.unionByName(opening)
-        .join(runs.select(*keys, "start_us", "seen_us"), list(keys))
+        spread_join(between.unionByName(opening), runs.select(*keys, "start_us", "seen_us"), keys)
         .withColumn("to_us", F.coalesce("to_us", "seen_us"))
     )
     silent = F.col("to_us") - from_us

@@ -207,6 +207,34 @@ def positions(
     return cut.withColumn(name, pos).drop("__n_before", *blocks.cols)
 
 
+# Tasks over which the rows of one series are dealt when they meet what is known of the series.
+SPREAD = 32
+# Whole numbers of one array when a range becomes rows.
+RANGE_STEP = 4096
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", spread: int = SPREAD) -> DataFrame:
+    """Join rows to a table of one row per key, without gathering a key in one task.
+
+    Rows are dealt by a hash of their columns; the rows of ``per_key``, few beside them, are
+    repeated for each share.
+    """
+    hashable = [n for n, t in rows.dtypes if not t.startswith(("map", "variant"))]
+    share = F.pmod(F.xxhash64(*hashable), F.lit(spread)).cast("int")
+    shares = F.explode(F.array(*[F.lit(i) for i in range(spread)]))
+    copies = per_key.withColumn("__share", shares)
+    return rows.withColumn("__share", share).join(copies, [*keys, "__share"], how).drop("__share")
+
+
+def range_rows(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """A row for each whole number from ``first`` to ``last``, made in arrays of bounded size."""
+    step = F.lit(RANGE_STEP)
+    parts = F.when(first <= last, F.sequence(first, last, step.cast("long")))
+    begun = df.withColumns({"__first": first, "__last": last}).withColumn("__part", F.explode(parts))
+    within = F.sequence(F.col("__part"), F.least(F.col("__last"), F.col("__part") + RANGE_STEP - 1))
+    return begun.withColumn(name, F.explode(within)).drop("__first", "__last", "__part")
+
+
 _MERGE = {"min": F.min, "max": F.max, "sum": F.sum}
 
 

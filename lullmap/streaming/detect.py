@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,45 +23,66 @@ def _key_ddl(sdf: DataFrame, keys: Sequence[str]) -> str:
 class _QuietProcessor(StatefulProcessor):
     """Keeps, per series, where the open quiet run began and the last time seen."""
 
-    def __init__(self, keys: Sequence[str], min_len_us: int) -> None:
+    def __init__(self, keys: Sequence[str], min_len_us: int, count_late: bool, forget_us: int | None) -> None:
         self.keys, self.min_len_us = list(keys), min_len_us
+        self.count_late, self.forget_us = count_late, forget_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", OPEN_STATE)
 
-    def _rows(self, key: tuple, spans: list[tuple[int, int]]) -> pd.DataFrame:
-        kept = [(*key, s, e) for s, e in spans if e - s >= self.min_len_us]
-        return pd.DataFrame(kept, columns=[*self.keys, "start_us", "end_us"])
+    def _rows(self, key: tuple, starts, ends, late: int = 0) -> pd.DataFrame:
+        starts, ends = np.asarray(starts, "int64"), np.asarray(ends, "int64")
+        long = ends - starts >= self.min_len_us
+        out = pd.DataFrame({"start_us": starts[long], "end_us": ends[long]}, dtype="Int64")
+        if self.count_late:
+            out["late_rows"] = 0
+            if late:
+                out = pd.concat([out, pd.DataFrame({"start_us": [None], "end_us": [None], "late_rows": [late]}, dtype="Int64")])
+        for i, (name, value) in enumerate(zip(self.keys, key)):
+            out.insert(i, name, value)
+        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = self.open.get() if self.open.exists() else None
         start, last, end = state if state else (None, None, None)
         batch = pd.concat(list(rows), ignore_index=True).sort_values("row_us", kind="stable")
-        spans = []
-        for at, quiet, limit in zip(batch["row_us"], batch["row_quiet"], batch["row_end_us"]):
-            if last is not None and at < last:
-                continue  # the interval this row belongs to may be out already
-            last = int(at)
-            if pd.notna(limit):
-                end = int(limit)
-            if quiet and start is None:
-                start = last
-            elif not quiet and start is not None:
-                spans.append((start, last))
-                start = None
+        # The interval that an earlier row belongs to may be out already.
+        fresh = batch if last is None else batch[batch["row_us"] >= last]
+        late = len(batch) - len(fresh)
+        starts, ends = [], []
+        if len(fresh):
+            at, quiet = fresh["row_us"].to_numpy("int64"), fresh["row_quiet"].to_numpy(bool)
+            before = np.concatenate([[start is not None], quiet[:-1]])
+            starts, ends = at[quiet & ~before], at[~quiet & before]
+            if start is not None:
+                starts = np.concatenate([[start], starts])
+            start = int(starts[-1]) if quiet[-1] else None
+            starts = starts[: len(ends)]
+            last = int(at[-1])
+            limits = fresh["row_end_us"].dropna()
+            end = int(limits.iloc[-1]) if len(limits) else end
         self.open.update((start, last, end))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        soon = timerValues.getCurrentWatermarkInMs() + 1
         if start is not None and end is not None:
-            self.handle.registerTimer(max(end // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._rows(key, spans)
+            self.handle.registerTimer(max(end // 1000, soon))
+        if self.forget_us is not None and last is not None:
+            self.handle.registerTimer(max((last + self.forget_us) // 1000, soon))
+        yield self._rows(key, starts, ends, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.open.get() if self.open.exists() else None
-        if state and state[0] is not None and state[2] is not None and state[0] < state[2]:
-            self.open.update((None, state[1], state[2]))
-            yield self._rows(key, [(state[0], state[2])])
+        if not self.open.exists():
+            return
+        start, last, end = self.open.get()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.forget_us is not None and now >= (last + self.forget_us) // 1000:
+            self.open.clear()
+        if start is not None and end is not None and start < end and now >= end // 1000:
+            if self.open.exists():
+                self.open.update((None, last, end))
+            yield self._rows(key, [start], [end])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         row = initialState.iloc[0]
@@ -81,14 +103,18 @@ def stream_quiet(
     end: str | None = None,
     watermark: str = "1 hour",
     initial_state: DataFrame | None = None,
+    count_late: bool = False,
+    forget_after_us: int | None = None,
 ) -> DataFrame:
     """Each quiet interval as soon as it closes; ``ts`` is a TIMESTAMP column.
 
     State per series is one open run. An ``end`` column (BIGINT microseconds, null if
     unknown) closes a trailing run once the watermark passes it; without an end a trailing
     run is never emitted. Rows are put in time order within a micro-batch; a row older
-    than one already used is ignored. ``initial_state`` (keys, ``start_us``, ``last_us``,
-    ``end_us``) resumes from a table; a restarted query resumes from its checkpoint.
+    than one already used is ignored; with ``count_late`` a row without an interval tells how
+    many, in ``late_rows``. A series silent for ``forget_after_us`` of event time is forgotten.
+    ``initial_state`` (keys, ``start_us``, ``last_us``, ``end_us``) resumes from a table; a
+    restarted query resumes from its checkpoint.
     Needs the RocksDB state store provider.
     """
     quiet = F.coalesce(F.abs(value) < F.lit(threshold), F.lit(False))
@@ -100,8 +126,8 @@ def stream_quiet(
         (F.col(end).cast("long") if end else F.lit(None).cast("long")).alias("row_end_us"),
     )
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_QuietProcessor(keys, min_len_us),
-        outputStructType=T.StructType.fromDDL(f"{_key_ddl(sdf, keys)}, {QUIET_OUT}"),
+        statefulProcessor=_QuietProcessor(keys, min_len_us, count_late, forget_after_us),
+        outputStructType=T.StructType.fromDDL(f"{_key_ddl(sdf, keys)}, {QUIET_OUT}" + ", late_rows bigint" * count_late),
         outputMode="append",
         timeMode="eventTime",
         initialState=initial_state.groupBy(*keys) if initial_state is not None else None,

@@ -36,7 +36,7 @@ def emitted(spark, result, name, state):
         q.processAllAvailable()
     finally:
         q.stop()
-    return sorted(tuple(r) for r in spark.table(name).collect())
+    return sorted((tuple(r) for r in spark.table(name).collect()), key=lambda r: [(x is not None, x) for x in r])
 
 
 def test_quiet_closes_across_batches(spark, scratch):
@@ -138,3 +138,19 @@ def test_hooks(spark, scratch):
         q.stop()
         spark.streams.removeListener(listener)
     assert got == [(1, 5 * S, 10 * S)] and ("hooked", 2) in seen
+
+
+def test_late_rows_are_counted_and_series_forgotten(spark, scratch):
+    src, state = os.path.join(scratch, "in"), os.path.join(scratch, "state")
+    os.mkdir(src)
+    hour = 3600 * S
+    feed(src, 1, [(1, 20 * S, 0.1, None), (1, 40 * S, 9.0, None)])
+    feed(src, 2, [(1, 10 * S, 0.0, None), (1, 30 * S, 9.0, None), (1, 41 * S, 0.0, None)])
+    feed(src, 3, [(9, 9 * hour, 5.0, None)])
+    feed(src, 4, [(9, 9 * hour + S, 5.0, None)])
+    feed(src, 5, [(1, 9 * hour + 2 * S, 5.0, None), (9, 9 * hour + 2 * S, 5.0, None)])
+    quiet = stream_quiet(
+        stream(spark, src), ["k"], "ts", "v", 1.0, 5 * S, watermark="1 minute", count_late=True, forget_after_us=hour
+    )
+    # The run open at 41 s is forgotten with its series, so the loud row hours later ends nothing.
+    assert sorted(emitted(spark, quiet, "late_out", state), key=repr) == [(1, 20 * S, 40 * S, 0), (1, None, None, 2)]
