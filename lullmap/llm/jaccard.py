@@ -184,35 +184,44 @@ def _live_sets(docs: DataFrame, live: DataFrame, buckets: int) -> DataFrame:
         degree = _degrees(s)
         s, k, degree = s[degree > 1], k[degree > 1], degree[degree > 1]
         s = (s << np.uint64(16)) | np.uint64(group.column("bucket")[0].as_py() & 0xFFFF)
-        order = np.argsort(k, kind="stable")
-        s, k, degree = s[order], k[order], degree[order]
-        key, at = np.unique(k, return_index=True)
-        edges = np.append(at, len(k))
-        cut = [(s[a:b].tobytes(), degree[a:b].astype("<i8").tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-        return pa.table([pa.array(key), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["key", "s", "degree"])
-
-    def ordered(group: pa.Table) -> pa.Table:
-        n = group.column("n")[0].as_py()
-        s = np.concatenate([np.frombuffer(p.as_buffer(), "<u8") for p in group.column("s")])
-        degree = np.concatenate([np.frombuffer(p.as_buffer(), "<i8") for p in group.column("degree")])
-        order = np.lexsort((s, degree))
-        s = s[order]
-        # Of the n + 1 - 3/4 n rarest shingles, those that only this set holds come first.
-        prefix = max(0, n + (-NUM * n // DEN) + 1 - (n - len(s)))
-        if prefix == 0:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))], ["key", "n", "s", "prefix"])
-        return pa.table(
-            [group.column("key").slice(0, 1), group.column("n").slice(0, 1), pa.array([s.tobytes()], pa.binary()),
-             pa.array([s[:prefix].view(np.int64).tolist()], pa.list_(pa.int64()))],
-            ["key", "n", "s", "prefix"],
-        )
+        place = k % buckets
+        order = np.argsort(place, kind="stable")
+        parts, at = np.unique(place[order], return_index=True)
+        cut = np.append(at, len(k))
+        rows = [order[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        packed = [np.array([len(r)], "<i8").tobytes() + b"".join(c[r].astype(t).tobytes() for c, t in ((k, "<i8"), (s, "<u8"), (degree, "<i8"))) for r in rows]
+        return pa.table([pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], ["part", "payload"])
+
+    def ordered(shingles: pa.Table, sizes: pa.Table) -> pa.Table:
+        k, s, degree = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for p in shingles.column("payload"):
+            raw = p.as_buffer()
+            m = int(np.frombuffer(raw, "<i8", 1)[0])
+            for out, kind, at in ((k, "<i8", 8), (s, "<u8", 8 + 8 * m), (degree, "<i8", 8 + 16 * m)):
+                out.append(np.frombuffer(raw, kind, m, at))
+        k, s, degree = (np.concatenate(c) for c in (k, s, degree))
+        order = np.lexsort((s, degree, k))
+        k, s = k[order], s[order]
+        keys, at = np.unique(k, return_index=True)
+        cut = np.append(at, len(k))
+        size = dict(zip(sizes.column("key").to_pylist(), sizes.column("n").to_pylist()))
+        rows = []
+        for key, a, b in zip(keys.tolist(), cut[:-1], cut[1:]):
+            n = size[key]
+            # Of the n + 1 - 3/4 n rarest shingles, those that only this set holds come first.
+            prefix = n + (-NUM * n // DEN) + 1 - (n - (b - a))
+            if prefix > 0:
+                rows.append((key, n, s[a:b].tobytes(), s[a : a + prefix].view(np.int64)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        columns = zip(*rows) if rows else ([], [], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["key", "n", "s", "prefix"])
 
     few = live.count() <= BROADCAST_IDS
     ids = live.select(F.col("rep").alias("doc_id"))
     text = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    parts = text.select("text").mapInArrow(emit, "bucket long, payload binary").groupBy("bucket").applyInArrow(count, "key long, s binary, degree binary")
-    parts = parts.join(F.broadcast(live.select("key", "n")) if few else live.select("key", "n"), "key")
-    return parts.groupBy("key").applyInArrow(ordered, "key long, n long, s binary, prefix array<long>")
+    parts = text.select("text").mapInArrow(emit, "bucket long, payload binary").groupBy("bucket").applyInArrow(count, "part long, payload binary")
+    sizes = live.select(F.pmod("key", F.lit(buckets)).alias("part"), "key", "n")
+    return parts.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(ordered, "key long, n long, s binary, prefix array<long>")
 
 
 class Trie:
