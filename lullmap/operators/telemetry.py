@@ -25,6 +25,8 @@ from lullmap.plans.scratch import pinned
 
 # Fixed values of the progress model.
 EMA_ALPHA = 0.25
+# Rows of one chunk of a linear recurrence at most.
+CHUNK_ROWS = 1 << 16
 ETA_MIN_FRACTION, TOTAL_ETA_MIN_FRACTION = 0.01, 0.02
 THROTTLE_US = SECOND // 2
 DOWNLOAD_SPAN, QUIET_SPAN_CACHED, QUIET_SPAN_LONG = 0.05, 0.10, 0.35
@@ -76,18 +78,13 @@ def ema(
     Negative samples count as 0 and a null repeats the last average. Averages are kept
     apart per ``reset`` value (such as a phase).
 
-    The recurrence is linear, so it is summed rather than stepped through: samples are
-    taken in chunks of ``size``, each with its own weighted sum, and a chunk sees the two
-    before it. ``size`` is chosen such that anything older weighs less than 1e-60.
+    The recurrence is linear, so it is summed rather than stepped through, see ``_recurrence``.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
     group = [*keys, *reset]
     blocks = blocks or pick_blocks(df, group, order[0])
-    decay = 1.0 - alpha
-    size = 1 if decay == 0 else max(1, math.ceil(-30 * math.log(10) / math.log(decay)))
-    sample = F.greatest(F.lit(0.0), F.when(F.col(value).isNotNull(), F.col(value).cast("double")))
-    sample = F.when(F.col(value).isNotNull(), sample)
+    sample = F.when(F.col(value).isNotNull(), F.greatest(F.lit(0.0), F.col(value).cast("double")))
 
     # Index the non-null samples; a null shares the index of the sample before it.
     cut = blocks.assign(df, group, order)
@@ -96,31 +93,45 @@ def ema(
     cut = cut.withColumn("__i", (seen + F.col("__n_in")).cast("long") - 1)
     if blocks.cols:
         cut = cut.drop("__n_in", *blocks.cols)
-    cut = cut.withColumn("__chunk", int_div(F.greatest(F.lit(0), F.col("__i")), F.lit(size)))
-    cut = cut.withColumn("__r", F.col("__i") - F.col("__chunk") * size)
-
-    # In a chunk: decay^r * sum(weight * x * decay^-k). The first sample has weight 1.
+    # The first sample has weight 1.
     weight = F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    term = sample * weight if decay == 0 else sample * weight * F.pow(F.lit(decay), -F.col("__k"))
-    cut = cut.withColumn("__k", F.when(F.col(value).isNotNull(), F.col("__r").cast("double")))
-    grown = F.pow(F.lit(decay), F.col("__r").cast("double"))
+    cut = _recurrence(cut.withColumn("__x", sample * weight), group, order, "__i", "__x", 1.0 - alpha, "__s")
+    return cut.withColumn(out, F.when(F.col("__i") >= 0, F.col("__s"))).drop("__i", "__x", "__s", "__n_in")
+
+
+def _recurrence(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], index: str, term: str, decay: float, out: str
+) -> DataFrame:
+    """Add ``out``: ``s = decay * s + term`` along a dense index; rows without a term repeat it.
+
+    Rows are taken in chunks of ``width``, each with its own weighted sum. Where anything more
+    than two chunks back weighs less than 1e-60, a chunk sees the two before it. Otherwise what
+    the chunks hand on is a recurrence of its own, with a row for each chunk and a steeper decay.
+    """
+    size = 1 if decay == 0 else max(1, math.ceil(-30 * math.log(10) / math.log(decay)))
+    width = min(size, CHUNK_ROWS)
+    cut = df.withColumn("__chunk", int_div(F.greatest(F.lit(0), F.col(index)), F.lit(width)))
+    cut = cut.withColumn("__r", F.col(index) - F.col("__chunk") * width)
+    # In a chunk: decay^r * sum(term * decay^-r).
+    r = F.col("__r").cast("double")
+    scaled = F.col(term) if decay == 0 else F.col(term) * F.pow(F.lit(decay), -r)
     chunk = Window.partitionBy(*group, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("__own", grown * F.sum(term).over(chunk))
+    cut = cut.withColumn("__own", F.pow(F.lit(decay), r) * F.sum(scaled).over(chunk))
 
-    # What the two chunks before hand on, at their last sample.
-    full = F.lit(decay**size)
-    handed = (
-        cut.filter(F.col("__k") == size - 1)
-        .select(*group, (F.col("__chunk") + 1).alias("__chunk"), F.col("__own").alias("__h1"))
+    handed = cut.filter(F.col(term).isNotNull() & (F.col("__r") == width - 1)).select(
+        *group, F.col("__chunk").alias("__i"), F.col("__own").alias("__h")
     )
-    earlier = handed.select(*group, (F.col("__chunk") + 1).alias("__chunk"), F.col("__h1").alias("__h2"))
     on = [*group, "__chunk"]
-    joined = cut.join(handed, on, "left").join(earlier, on, "left")
-    brought = F.coalesce("__h1", F.lit(0.0)) + full * F.coalesce("__h2", F.lit(0.0))
-    s = F.col("__own") + F.pow(F.lit(decay), F.col("__r") + 1) * brought
-    return joined.withColumn(out, F.when(F.col("__i") >= 0, s)).drop(
-        "__i", "__chunk", "__r", "__k", "__own", "__h1", "__h2", "__n_in"
-    )
+    later = lambda by, name, of: handed.select(*group, (F.col("__i") + by).alias("__chunk"), F.col(of).alias(name))
+    if size <= width:
+        joined = cut.join(later(1, "__h1", "__h"), on, "left").join(later(2, "__h2", "__h"), on, "left")
+        brought = F.coalesce("__h1", F.lit(0.0)) + F.lit(decay**width) * F.coalesce("__h2", F.lit(0.0))
+    else:
+        handed = _recurrence(handed, group, ["__i"], "__i", "__h", decay**width, "__s")
+        joined = cut.join(later(1, "__h1", "__s"), on, "left").withColumn("__h2", F.lit(None))
+        brought = F.coalesce("__h1", F.lit(0.0))
+    s = F.col("__own") + F.pow(F.lit(decay), r + 1) * brought
+    return joined.withColumn(out, s).drop("__chunk", "__r", "__own", "__h1", "__h2")
 
 
 def eta(

@@ -195,3 +195,18 @@ def test_exchanges_of_the_split_chain(spark, rows):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.02, 0.0005])
+def test_ema_of_small_chunks(spark, monkeypatch, alpha):
+    """Chunks shorter than the memory of the average hand on what all before them say."""
+    monkeypatch.setattr(telemetry, "CHUNK_ROWS", 8)
+    rng = random.Random(1)
+    raw = [rng.choice([None, rng.uniform(0, 100)]) for _ in range(700)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(raw)], "k int, at long, v double").repartition(5)
+    got = {r["at"]: r["smoothed"] for r in telemetry.ema(df, ["k"], ["at"], "v", alpha, blocks=WholeSeries()).collect()}
+    s = None
+    for i, v in enumerate(raw):
+        if v is not None:
+            s = v if s is None else s + alpha * (v - s)
+        assert got[i] == (None if s is None else pytest.approx(s, rel=1e-9)), i
