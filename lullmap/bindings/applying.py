@@ -164,3 +164,17 @@ def merge_then_trim(spark, sf):
     kept = merge_intervals(spans(spark, sf).filter(F.col("start_us") % 3 == 0), USER, touch=True)
     rows = samples(spark, sf).select("user_id", "event_id", "t")
     return apply.interval_join(rows, kept, USER, "t", "left_semi", 12 * HOUR)
+
+
+@query(
+    "resample_rate",
+    """WITH v AS (SELECT vec_id, unnest(range(0, len(embedding))) * 20000 AS t, unnest(embedding)::DOUBLE AS value FROM embeddings),
+    k AS (SELECT vec_id, unnest(range(0, max(t) * 24 // 1000000 + 1)) AS k FROM v GROUP BY vec_id)
+    SELECT k.vec_id, k * 1000000 // 24 AS tick_us, arg_max(value, t) AS value
+    FROM k JOIN v ON k.vec_id = v.vec_id AND t * 24 <= k * 1000000 GROUP BY k.vec_id, k""",
+)
+def resample_rate(spark, sf):
+    """Every vector as fifty samples a second, at twenty-four."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    rows = rows.select("vec_id", (F.col("i").cast("long") * 20_000).alias("t"), F.col("v").cast("double").alias("value"))
+    return apply.resample_rate(rows, ["vec_id"], "t", "value", "24")

@@ -335,14 +335,42 @@ LEFT JOIN (SELECT user_id, count(*) AS kc, sum(end_us - start_us) AS ku FROM kee
 @query("cut_summary", with_(*sql_cut(), then=SUMMARY))
 def cut_summary(spark, sf):
     """The flagship: what would be cut from every series, and what would be left."""
+    result = planned_summary(spark, sf)
+    return result.withColumns({c: F.round(c, 4) for c in ("quiet_pct", "keep_pct")})
+
+
+def planned_summary(spark, sf):
     rows, ends, quiet, blocks = quiet_plan(spark, sf)
     cut = iv.apply_margin(quiet, USER, MARGIN, ends, blocks)
     plan = iv.cut_plan(cut, ends, USER, blocks=blocks)
     series = rows.groupBy("user_id").agg(
         F.max("t").alias("end_us"), (F.count(F.lit(1)) * 1_000_003).alias("size_bytes")
     )
-    result = summary.plan_summary(plan, series, USER)
-    return result.withColumns({c: F.round(c, 4) for c in ("quiet_pct", "keep_pct")})
+    return summary.plan_summary(plan, series, USER)
+
+
+def sql_clock(us):
+    s = f"({us} // 1000000)"
+    return f"""CASE WHEN {s} >= 86400 THEN ({s} // 86400) || ':' ELSE '' END || printf('%02d:%02d:%02d', {s} % 86400 // 3600, {s} % 3600 // 60, {s} % 60)"""
+
+
+def sql_bytes(b):
+    steps = [f"WHEN {b} < {1024.0 ** (i + 1)} THEN printf('%.1f {u}', {b}::DOUBLE / {1024.0 ** i})" for i, u in enumerate(("B", "KB", "MB", "GB", "TB"))]
+    return f"CASE {' '.join(steps)} END"
+
+
+@query(
+    "cut_report",
+    with_(
+        *sql_cut(),
+        then=f"""SELECT user_id, {sql_clock('duration_us')} AS duration_text, {sql_clock('quiet_us')} AS quiet_text,
+          {sql_clock('keep_us')} AS keep_text, {sql_bytes('size_bytes')} AS size_text FROM ({SUMMARY})""",
+    ),
+)
+def cut_report(spark, sf):
+    """The summary as text for people."""
+    told = summary.cut_report(planned_summary(spark, sf))
+    return told.select("user_id", "duration_text", "quiet_text", "keep_text", "size_text")
 
 
 GRID = [
