@@ -14,6 +14,7 @@ from lullmap.bindings.common import (
     query,
     samples,
     sql_merge,
+    table,
     user_ends,
     with_,
 )
