@@ -202,7 +202,9 @@ def test_repeats(docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
-def test_repeats_of_shifted_passages(spark):
+@pytest.mark.parametrize("share", [3, 4096])
+def test_repeats_of_shifted_passages(spark, monkeypatch, share):
+    monkeypatch.setattr(suffixes, "SHARE_BLOCKS", share)
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abc", k=rng.randrange(1, 4)))
     parts = [" ".join(word() for _ in range(rng.choice([12, 20, 40]))) for _ in range(12)]
