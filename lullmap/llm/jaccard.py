@@ -130,9 +130,9 @@ def _first_pass(docs: DataFrame, buckets: int) -> DataFrame:
                 sets, start = shingle_sets(data, offsets)
                 keys, size = set_keys(sets, start), np.diff(start)
                 n = end - at
-                # Members travel with the shuffle, in buckets of their own.
+                # Members travel with the shuffle, in buckets of their own, copies too dealt over all.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets + keys % buckets, pa.int64()), *_blank(n, pa.binary()), ids.slice(at, n), pa.array(size), pa.array(keys)], names
+                    [pa.array(buckets + (at + np.arange(n)) % buckets, pa.int64()), *_blank(n, pa.binary()), ids.slice(at, n), pa.array(size), pa.array(keys)], names
                 )
                 new = np.zeros(n, bool)
                 for d in np.flatnonzero(size):
