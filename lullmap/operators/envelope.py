@@ -77,19 +77,18 @@ def dominant_frequency(
         "__j",
         F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v"),
     )
-    types = dict(placed.dtypes)
-    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    held = F.sort_array(F.collect_list(F.struct("__j", "__v")))
+    windows = placed.groupBy(*keys, "__w").agg(F.transform(held, lambda x: x["__v"]).alias("__v"))
 
-    def spectrum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values("__j")["__v"].to_numpy()
-        n = len(v) if key[-1] == 0 else window
-        power = np.abs(np.fft.rfft(v * np.hanning(len(v)), n))[1:] ** 2
-        out = pd.DataFrame({"__n": n, "__k": np.arange(1, len(power) + 1), "__p": power})
-        for k, given in zip(keys, key):
-            out[k] = given
-        return out[[*keys, "__n", "__k", "__p"]]
+    @F.pandas_udf("struct<n: bigint, p: array<double>>")
+    def spectrum(place: pd.Series, values: pd.Series) -> pd.DataFrame:
+        sizes = [len(v) if w == 0 else window for w, v in zip(place, values)]
+        power = [np.abs(np.fft.rfft(v * np.hanning(len(v)), n))[1:] ** 2 for v, n in zip(values, sizes)]
+        return pd.DataFrame({"n": sizes, "p": power})
 
-    powers = placed.groupBy(*keys, "__w").applyInPandas(spectrum, f"{named}, __n bigint, __k bigint, __p double")
+    told = windows.withColumn("__s", spectrum("__w", "__v"))
+    powers = told.select(*keys, F.col("__s.n").alias("__n"), F.posexplode("__s.p").alias("__k", "__p"))
+    powers = powers.withColumn("__k", (F.col("__k") + 1).cast("long"))
     summed = powers.groupBy(*keys, "__n", "__k").agg(F.sum("__p").alias("__p"))
     best = F.max_by(F.col("__k") * F.lit(float(rate)) / F.col("__n"), F.struct("__p", -F.col("__k")))
     return summed.groupBy(*keys).agg(best.alias("frequency"))
