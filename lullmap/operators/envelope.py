@@ -87,7 +87,7 @@ def dominant_frequency(
         return pd.DataFrame({"n": sizes, "p": power})
 
     told = windows.withColumn("__s", spectrum("__w", "__v"))
-    powers = told.select(*keys, F.col("__s.n").alias("__n"), F.posexplode("__s.p").alias("__k", "__p"))
+    powers = told.select(*keys, F.col("__s.n").alias("__n"), F.posexplode_outer("__s.p").alias("__k", "__p"))
     powers = powers.withColumn("__k", (F.col("__k") + 1).cast("long"))
     summed = powers.groupBy(*keys, "__n", "__k").agg(F.sum("__p").alias("__p"))
     best = F.max_by(F.col("__k") * F.lit(float(rate)) / F.col("__n"), F.struct("__p", -F.col("__k")))
