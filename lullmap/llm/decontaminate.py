@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 
 from lullmap.llm.common import mixed, query, slices, table, text_arrays, text_of, words
 
-# Positions of a window of words that count (1) and that are ignored (0).
-MASKS = ("111111", "1110111", "1101111", "1111011", "11011011", "101110011")
-# Items shorter than the masks are sought as they are, down to this many words.
+# Positions of a window of words that count (1) and that are ignored (0). Wherever a quarter of 12
+# to 23 words is substituted one of them hits, and a longer overlap holds one of 12 to 23 words.
+MASKS = (
+    "111111", "1110111", "1101111", "1111011", "11011011", "101110011",
+    "1110001011", "1101010011", "11001001011", "110000101011", "11110101",
+)
+# What items of so many words need besides, to be hit wherever a quarter of them is substituted.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    7: ("1111101", "1011111"),
+    8: ("11111", "11100011", "11001101", "101111", "10110011", "1101011"),
+    9: ("11000111", "1011101"),
+}
+# Items are sought down to this many words.
 LEAST_WORDS = 5
 # An overlap has so many words, or all of a shorter item, and this share of them equal.
 OVERLAP_WORDS, SIMILARITY = 12, 0.75
@@ -56,19 +68,20 @@ class Index:
     def of(item_ids: list, texts: list[str]) -> Index:
         data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
         own = [words(d, np.array([0, len(d)]), _APART)[2] if len(d) else np.empty(0, np.uint64) for d in data]
-        shortest = max(map(len, MASKS))
-        masks = list(MASKS) + ["1" * k for k in range(LEAST_WORDS, shortest) if any(len(w) == k for w in own)]
+        lengths = {len(w) for w in own}
+        short = [(m, k) for k, more in SHORT_MASKS.items() if k in lengths for m in more]
         hashes, items, places = [], [], []
-        for salt, mask in enumerate(masks):
+        for salt, (mask, length) in enumerate([*((m, None) for m in MASKS), *short]):
             for i, w in enumerate(own):
-                if salt >= len(MASKS) and len(w) != len(mask):
+                if len(w) < LEAST_WORDS or length not in (None, len(w)):
                     continue
                 s = _seeds(w, mask, salt)
                 hashes.append(s)
-                items.append(np.full(len(s), i))
-                places.append(np.arange(len(s)))
-        join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        hashes, items, places = join(hashes, np.uint64), join(items, np.int64), join(places, np.int64)
+                items.append(np.full(len(s), i, np.int32))
+                places.append(np.arange(len(s), dtype=np.int32))
+        masks = [*MASKS, *(m for m, _ in short)]
+        join = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.empty(0, t)
+        hashes, items, places = join(hashes, np.uint64), join(items, np.int32), join(places, np.int32)
         order = np.argsort(hashes, kind="stable")
         bits = np.zeros(1 << _TABLE_BITS, bool)
         bits[hashes >> np.uint64(64 - _TABLE_BITS)] = True
@@ -102,18 +115,31 @@ class Index:
             own, end = self.words[item], int(first[doc + 1])
             low, high = max(0, int(first[doc]) - shift), min(len(own), end - shift)
             equal = own[low:high] == h[shift + low : shift + high]
-            a, b = best_stretch(equal)
-            matched = int(equal[a:b].sum())
-            if b - a >= min(len(own), OVERLAP_WORDS) and matched >= SIMILARITY * (b - a):
-                yield doc, item, shift + low + a - int(first[doc]), low + a, b - a, matched
+            if stretch := best_stretch(equal, min(len(own), OVERLAP_WORDS)):
+                a, b = stretch
+                yield doc, item, shift + low + a - int(first[doc]), low + a, b - a, int(equal[a:b].sum())
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch where equal words, each counting 1, outweigh the others, each counting -2."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(gain.argmax())
-    return int(sums[: end + 1].argmin()), end
+def best_stretch(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """Of the stretches of ``least`` words or more, ``SIMILARITY`` of them equal, that of most equal words.
+
+    Unequal words at its ends are left off as far as ``least`` words remain.
+    """
+    percent = round(100 * SIMILARITY)
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # For every end the first start from which enough words are equal.
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    got = np.where(np.arange(len(sums)) - start >= least, count - count[start], -1)
+    end = int(got.argmax())
+    if got[end] < 0:
+        return None
+    a, b = int(start[end]), end
+    while b - a > least and not equal[b - 1]:
+        b -= 1
+    while b - a > least and not equal[a]:
+        a += 1
+    return a, b
 
 
 def indexes(benchmark: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
@@ -148,12 +174,13 @@ def _scanned(index: Index) -> Callable[[pa.RecordBatch, int], Iterator[tuple]]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES) -> DataFrame:
-    """Benchmark passages in documents: doc_id, item_id and the longest overlap of the two, as
-    start in the document and in the item, length and equal words, counted in words.
+    """Benchmark passages in documents: doc_id, item_id and the overlap of most equal words of the
+    two, as start in the document and in the item, length and equal words, counted in words.
 
-    An overlap begins with a hit of one of ``MASKS`` and is then verified word by word; it has
-    ``OVERLAP_WORDS`` words or a whole shorter item, ``SIMILARITY`` of them equal. Words are
-    lower-cased; punctuation parts them. Items of fewer than ``LEAST_WORDS`` words tell nothing.
+    An overlap has ``OVERLAP_WORDS`` words or a whole shorter item, ``SIMILARITY`` of them equal.
+    Each holds a hit of one of ``MASKS`` or ``SHORT_MASKS``, from which it is verified word by
+    word. Words are lower-cased; punctuation parts them. Items of fewer than ``LEAST_WORDS`` words
+    tell nothing.
 
     Documents are scanned where they lie, once per block of the benchmark, and only overlaps
     are shuffled. Null and empty texts overlap nothing; ids may be null or repeated, and rows

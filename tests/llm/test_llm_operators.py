@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import sys
 import zlib
@@ -329,6 +330,51 @@ def test_overlaps(spark, none):
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_hit_every_overlap():
+    """However a quarter of the words is substituted; one of 24 words or more holds a shorter one."""
+    for n in range(decontaminate.LEAST_WORDS, 2 * decontaminate.OVERLAP_WORDS):
+        equal = np.array([sum(1 << i for i in range(n) if i not in c) for c in itertools.combinations(range(n), n // 4)])
+        hit = np.zeros(len(equal), bool)
+        for mask in (*decontaminate.MASKS, *decontaminate.SHORT_MASKS.get(n, ())):
+            for at in range(n - len(mask) + 1):
+                own = sum(1 << at + i for i, c in enumerate(mask) if c == "1")
+                hit |= equal & own == own
+        assert hit.all(), n
+
+
+def test_overlaps_of_every_alignment(spark):
+    """Copies with substituted words, at the ends too, against all alignments and all stretches."""
+    rng = random.Random(4)
+    word = lambda k: f"w{rng.randrange(k)}"
+    items = [(i, [word(10_000) for _ in range(n)]) for i, n in enumerate([4, 5, 6, 7, 8, 9, 10, 11, 12, 12, 13, 14, 15, 16, 20, 24, 28, 40])]
+    rows = [(0, items[8][1][:-1] + ["zz"]), (1, ["zz"] + items[9][1][1:]), (2, items[10][1][:11] + ["zz"] + items[10][1][12:])]
+    for d in range(3, 150):
+        own = list(rng.choice(items)[1])
+        for i in rng.sample(range(len(own)), rng.randint(0, len(own) // 4 + 1)):
+            own[i] = "zz"
+        rows.append((d, [word(50) for _ in range(rng.randrange(9))] + own[rng.randrange(2) :] + [word(50) for _ in range(rng.randrange(9))]))
+    want = {}
+    for (d, text), (i, item) in itertools.product(rows, items):
+        least = min(len(item), 12)
+        for shift in range(least - len(item), len(text) - least + 1) if least >= 5 else ():
+            low, high = max(0, -shift), min(len(item), len(text) - shift)
+            count = [0, *itertools.accumulate(item[j] == text[shift + j] for j in range(low, high))]
+            for a in range(len(count)):
+                for b in range(a + least, len(count)):
+                    if 4 * (count[b] - count[a]) >= 3 * (b - a):
+                        want[d, i] = max(want.get((d, i), 0), count[b] - count[a])
+    assert {(0, 8), (1, 9), (2, 10)} <= set(want) and len({i for _, i in want}) == len(items) - 1
+    docs = brute.frame(spark, [(d, " ".join(t), "en") for d, t in rows])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = decontaminate.overlaps(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): r.n_equal for r in found} == want
+    texts, items = dict(rows), dict(items)
+    for r in found:
+        pairs = list(zip(texts[r.doc_id][r.doc_start :][: r.n_words], items[r.item_id][r.item_start :][: r.n_words]))
+        assert len(pairs) == r.n_words >= min(len(items[r.item_id]), 12) and sum(x == y for x, y in pairs) == r.n_equal
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == set(texts) - {d for d, _ in want}
+
+
 # Secrets
 
 
