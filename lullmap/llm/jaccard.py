@@ -207,7 +207,9 @@ def _live_sets(docs: DataFrame, live: DataFrame, buckets: int) -> DataFrame:
         size = dict(zip(sizes.column("key").to_pylist(), sizes.column("n").to_pylist()))
         rows = []
         for key, a, b in zip(keys.tolist(), cut[:-1], cut[1:]):
-            n = size[key]
+            # Texts are fetched by id, so some are of sets that have no link.
+            if (n := size.get(key)) is None:
+                continue
             # Of the n + 1 - 3/4 n rarest shingles, those that only this set holds come first.
             prefix = n + (-NUM * n // DEN) + 1 - (n - (b - a))
             if prefix > 0:
@@ -216,9 +218,12 @@ def _live_sets(docs: DataFrame, live: DataFrame, buckets: int) -> DataFrame:
         columns = zip(*rows) if rows else ([], [], [], [])
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["key", "n", "s", "prefix"])
 
-    few = live.count() <= BROADCAST_IDS
-    ids = live.select(F.col("rep").alias("doc_id"))
-    text = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    count_ids, count_null = live.agg(F.count("rep"), F.count_if(F.col("rep").isNull())).first()
+    ids = live.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"))
+    every = docs.select("doc_id", text_of(F.col("text")).alias("text"))
+    text = every.join(F.broadcast(ids) if count_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    if count_null:
+        text = text.unionByName(every.filter("doc_id IS NULL"))
     parts = text.select("text").mapInArrow(emit, "bucket long, payload binary").groupBy("bucket").applyInArrow(count, "part long, payload binary")
     sizes = live.select(F.pmod("key", F.lit(buckets)).alias("part"), "key", "n")
     return parts.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(ordered, "key long, n long, s binary, prefix array<long>")
@@ -380,8 +385,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = first.filter("n IS NOT NULL").select("doc_id", "n", "key")
     shared = first.filter("shared IS NOT NULL").groupBy("key").agg(F.sum("shared").alias("shared"))
     classes = members.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"))
-    # A document stands for its set by its id, so sets of null ids only are grouped by key alone.
-    live = stored(classes.join(shared, "key").filter(f"{DEN} * shared >= {NUM} * n AND rep IS NOT NULL"), "live")
+    # A document stands for its set by its id; for sets of null ids only, all texts without an id do.
+    live = stored(classes.join(shared, "key").filter(f"{DEN} * shared >= {NUM} * n"), "live")
     sets = stored(_live_sets(docs, live, buckets), "sets")
     held = sets.select("key", F.explode("prefix").alias("p"))
     stars = held.join(held.groupBy("p").agg(F.min("key").alias("center"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "p")

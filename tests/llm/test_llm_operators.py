@@ -163,6 +163,18 @@ def test_groups_of_edited_copies(spark, monkeypatch, most):
     _check_groups(spark, rows, made)
 
 
+def test_groups_of_unusual_ids(spark):
+    """Near copies whose id is null, and ids of two texts of which one links."""
+    make = lambda name, *changed: [f"{name}{i}" if i not in changed else f"x{name}{i}" for i in range(40)]
+    rows = [
+        (1, make("a")), (None, make("a", 12)), (2, make("a", 12, 27)), (None, make("b")), (None, make("b", 20)),
+        (3, make("c")), (4, make("c", 20)), (4, make("c")[:5] + make("d")), (None, make("c")[:6] + make("e")), (5, make("f")),
+    ]
+    rows = [(d, " ".join(t)) for d, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _check_groups(spark, rows, jaccard.near_groups(frame))
+
+
 def test_trie_links_like_pairs():
     rng = random.Random(2)
     for _ in range(30):
