@@ -1,9 +1,21 @@
 """Operators for preparing training data, and the queries that apply them to the test tables."""
 
-from lullmap.llm import chat, decontaminate, exact_dedup, jaccard, packing, quality, secrets, sharding, suffixes, toxicity
+from lullmap.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    suffixes,
+    toxicity,
+    winnowing,
+)
 from lullmap.llm.common import ORACLES, QUERIES
 
 __all__ = [
     "ORACLES", "QUERIES", "chat", "decontaminate", "exact_dedup", "jaccard", "packing", "quality", "secrets", "sharding",
-    "suffixes", "toxicity",
+    "suffixes", "toxicity", "winnowing",
 ]
