@@ -98,6 +98,22 @@ def hash_of(key: Column) -> Column:
     return F.shiftright(key + place_of(key), 32).cast("int")
 
 
+def packed(keys: Column, data: Column) -> Column:
+    """A fingerprint of ``data`` in six bytes a k-gram instead of eight, to be moved; long texts take eight."""
+    far = F.length(data) > 0xFFFF
+    places = F.transform(keys, place_of)
+    return F.struct(
+        F.transform(keys, hash_of).alias("hashes"),
+        F.when(~far, F.transform(places, lambda p: (p - 0x8000).cast("smallint"))).alias("near"),
+        F.when(far, F.transform(places, lambda p: p.cast("int"))).alias("far"),
+    )
+
+
+def unpacked(moved: Column) -> Column:
+    near = F.transform(moved["near"], lambda p: p.cast("int") + 0x8000)
+    return F.zip_with(moved["hashes"], F.coalesce(near, moved["far"]), lambda h, p: F.shiftleft(h.cast("long"), 32) - p)
+
+
 def hashes(keys: Column) -> Column:
     """The different hashes of a fingerprint."""
     return F.array_distinct(F.transform(keys, hash_of))
@@ -157,16 +173,19 @@ def edit_trail(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataF
     base = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5(named)))
     known = base.groupBy("key", "doc_id").agg(F.max(F.length("text")).alias("n"))
     places = ring(known, "doc_id", "key", "n")
-    base = base.withColumn("keys", fingerprint(F.col("text").cast("binary"), gram, window))
+    data = F.col("text").cast("binary")
+    base = base.withColumn("keys", fingerprint(data, gram, window)).withColumn("moved", packed(F.col("keys"), data)).drop("keys")
     quarter = F.call_function("div", F.col("before_n"), F.lit(4)).cast("int")
     sent = base.join(places, "key").select(
         F.col("before_key").alias("key"),
         F.substring("text", F.lit(1), quarter).alias("start"),
-        hashes(F.col("keys")).alias("next_hashes"),
+        F.array_distinct("moved.hashes").alias("next_hashes"),
+        F.col("doc_id").alias("next_id"),
     )
-    sent = sent.groupBy("key").agg(F.first("start").alias("start"), F.first("next_hashes").alias("next_hashes"))
-    both = base.join(sent, "key").withColumn("n_chars", F.length("text"))
+    first = [F.first(c).alias(c) for c in ("start", "next_hashes", "next_id")]
+    both = base.join(sent.groupBy("key").agg(*first), "key").withColumn("n_chars", F.length("text"))
     kept = F.substring("text", F.lit(1), F.col("n_chars") - F.call_function("div", "n_chars", F.lit(4)).cast("int"))
+    both = both.withColumn("keys", unpacked(F.col("moved")))
     both = both.withColumns({"kept": F.octet_length(kept), "edited": F.concat(kept, "start")})
     both = both.withColumn("edited_keys", after_edit(F.col("keys"), F.col("edited").cast("binary"), F.col("kept"), gram, window))
     own = F.col("own")
@@ -178,6 +197,7 @@ def edit_trail(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataF
         told(F.col("edited_keys")).alias("edited_fingerprint"),
         likeness(own, hashes(F.col("edited_keys"))).alias("near_edited"),
         likeness(own, F.col("next_hashes")).alias("near_next"),
+        "next_id",
     )
 
 
