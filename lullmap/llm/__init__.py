@@ -6,6 +6,7 @@ from lullmap.llm import (
     exact_dedup,
     jaccard,
     packing,
+    phrases,
     quality,
     secrets,
     sharding,
@@ -16,6 +17,6 @@ from lullmap.llm import (
 from lullmap.llm.common import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "chat", "decontaminate", "exact_dedup", "jaccard", "packing", "quality", "secrets", "sharding",
+    "ORACLES", "QUERIES", "chat", "decontaminate", "exact_dedup", "jaccard", "packing", "phrases", "quality", "secrets", "sharding",
     "suffixes", "toxicity", "winnowing",
 ]
