@@ -1,6 +1,7 @@
 """Operators for preparing training data, and the queries that apply them to the test tables."""
 
 from lullmap.llm import (
+    alignment,
     chat,
     decontaminate,
     exact_dedup,
@@ -17,6 +18,6 @@ from lullmap.llm import (
 from lullmap.llm.common import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "chat", "decontaminate", "exact_dedup", "jaccard", "packing", "phrases", "quality", "secrets", "sharding",
+    "ORACLES", "QUERIES", "alignment", "chat", "decontaminate", "exact_dedup", "jaccard", "packing", "phrases", "quality", "secrets", "sharding",
     "suffixes", "toxicity", "winnowing",
 ]
