@@ -179,7 +179,8 @@ def edit_trail(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataF
     sent = base.join(places, "key").select(
         F.col("before_key").alias("key"),
         F.substring("text", F.lit(1), quarter).alias("start"),
-        F.array_distinct("moved.hashes").alias("next_hashes"),
+        # All of ``moved`` and of ``base`` is read here, as below, so that both read one exchange.
+        hashes(unpacked(F.col("moved"))).alias("next_hashes"),
         F.col("doc_id").alias("next_id"),
     )
     first = [F.first(c).alias(c) for c in ("start", "next_hashes", "next_id")]
