@@ -103,9 +103,11 @@ def gallop(wanted: np.ndarray, held: np.ndarray, hint: np.ndarray) -> np.ndarray
     halves that range. All searches step together; those that are through drop out.
     """
     n = len(held)
+    if not n:
+        return np.zeros(len(wanted), np.int64)
     low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), n, np.int64)
-    at = np.minimum(hint, n - 1) if n else hint
-    below = held[at] < wanted if n else np.zeros(len(wanted), bool)
+    at = np.minimum(hint, n - 1)
+    below = held[at] < wanted
     low[below], high[~below] = at[below] + 1, at[~below]
     for side, sign in ((np.flatnonzero(below), 1), (np.flatnonzero(~below), -1)):
         step = 1
