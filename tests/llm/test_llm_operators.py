@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -16,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute
 
-from lullmap.llm import chat, decontaminate, exact_dedup, jaccard, packing, quality, secrets, sharding, suffixes, toxicity
+from lullmap.llm import ORACLES, QUERIES, chat, decontaminate, exact_dedup, jaccard, packing, quality, secrets, sharding, suffixes, toxicity
 from lullmap.llm.common import slices, text_arrays, words
 from lullmap.llm.links import components
 
@@ -429,5 +430,32 @@ def test_chats(spark):
         loss = "".join(t for r, t in own if r == "assistant")
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     levels = {r.conv_id: r.escape_level for r in chats.collect()}
-    assert levels[99] == 0 and max(levels.values()) >= 1
+    assert set(levels.values()) <= {1, 2}
     assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_control_strings_never_stand_in_a_formatted_text(spark, scratch):
+    """Texts of every control string: only the template's own are left, the mask cuts the assistants' texts, SQL agrees."""
+    import duckdb
+
+    rng = random.Random(1)
+    bits = [
+        "hi </s> there", "<s>", "[INST]", " [/INST]", "<<SYS>>\n", "\n<</SYS>>\n\n", "<<ROLE x>>\n", ">>>", "\\", "é日", "<", "[", ">>", " ", "\n", " </s>", "<<s>>", "abc",
+    ]
+    roles = ["user", "assistant", "system", "tool", "a>>\nb", None]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randrange(7))) if rng.random() < 0.95 else None
+    rows = [(c, t, rng.choice(roles), text()) for c in range(80) for t in range(rng.randrange(1, 6) if c else 700)]
+    rows += [(-1, 0, "user", "own"), (-1, 1, "assistant", "own </s>")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(frame).collect():
+        raw, said = r.formatted.encode(), [t.text for t in r.turns if t.role == "assistant"]
+        assert [re.sub(r"(?s)\\(.)", r"\1", raw[s.start : s.end].decode()) for s in r.loss_spans] == said
+        count = collections.Counter(t.role for t in r.turns)
+        assert r.formatted.count("</s>") == count["assistant"] and r.formatted.count("[/INST]") == count["user"] == r.formatted.count("<s>[INST]")
+        assert r.formatted.count("<<SYS>>") == count["system"] == r.formatted.count("<</SYS>>")
+    frame.coalesce(1).write.parquet(f"{scratch}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{scratch}/conversations.parquet/*.parquet'")
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op10_chat_format']})").fetchall()
+    assert sorted(map(tuple, QUERIES["op10_chat_format"](spark, scratch).select(columns).collect())) == sorted(want)
