@@ -15,16 +15,16 @@ SCOPE = 200
 BASE = {
     "assign": (
         r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2, 12, None,
+        2, 12,
     ),
-    "access": (r"AKIA[A-Z0-9]+", 0, 18, None),
-    "hex": (r"[0-9a-f]{16,}", 0, 16, None),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 # Weak parts: reported only beside complementary ones.
 WEAK = {
-    "id": (r"""(?i)(user|username|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3, None),
-    "endpoint": (r"""(https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+""", 0, 10, None),
-    "opaque": (r"[A-Za-z0-9/+_-]{32,}", 0, 32, 64),
+    "id": (r"""(?i)(user|username|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
+    "endpoint": (r"""(https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+""", 0, 10),
+    "opaque": (r"[A-Za-z0-9/+_-]{32,}", 0, 32),
 }
 KINDS = [*BASE, *WEAK]
 WHO, WHAT = ["access", "id"], ["assign", "hex", "opaque"]
@@ -32,11 +32,11 @@ WHO, WHAT = ["access", "id"], ["assign", "hex", "opaque"]
 
 def _matches(text: Column, kind: str) -> Column:
     """Matches of a kind in order: characters before each since the last, its length, whether it counts."""
-    pattern, group, least, most = (BASE | WEAK)[kind]
+    pattern, group, least = (BASE | WEAK)[kind]
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     counted = whole if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
-    ok = lambda n: (n >= least) if most is None else (n >= least) & (n <= most)
+    ok = lambda n: n >= least
     found = F.transform(
         F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), counted.alias("part")),
         lambda m: F.struct(
@@ -136,9 +136,9 @@ def report(scanned: DataFrame) -> DataFrame:
 def _sql() -> str:
     each = []
     for i, kind in enumerate(KINDS):
-        pattern, group, least, most = (BASE | WEAK)[kind]
+        pattern, group, least = (BASE | WEAK)[kind]
         p = pattern.replace("'", "''")
-        ok = f"length(part) >= {least}" + (f" AND length(part) <= {most}" if most else "")
+        ok = f"length(part) >= {least}"
         each.append(f"""SELECT doc_id, {i} AS kind, start, start + length(hit) AS e FROM (
           SELECT doc_id, hit, part, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY pos) - length(hit) AS start FROM (
             SELECT doc_id, generate_subscripts(hits, 1) AS pos, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[:len(hits)]) AS gap

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from lullmap.llm.common import held_out, query, table, text_of
 
-# Labelled rows that lexicon and weights are learnt from at most, and terms kept at most.
+# Labelled rows that lexicon and weights are learnt from at most; they bound terms and phrases too.
 TRAIN_ROWS = 20_000
-TERMS = 4_000
 CUT = 0.5
 # Letters of a word stem, and toxic documents that a term must stand in.
 STEM = range(3, 9)
@@ -97,7 +96,11 @@ class Lexicon:
         return out
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """Weight, weight against length, and number of different terms; a repeated one counts twice."""
+        """Weight, weight against length, and number of different terms.
+
+        A repeated term counts twice at most, weight ends at 60 and number at 12: beyond that
+        a document is toxic as it is, and the score levels off.
+        """
         folded = fold(text)
         often = Counter(t for _, _, t in self.hits(folded))
         weight = sum(self.weights[t] * min(n, 2) for t, n in often.items())
@@ -110,7 +113,7 @@ class Lexicon:
 
 
 def phrases(folded: str, start: int, end: int) -> list[str]:
-    """The word in [start, end) with its left and with its right neighbour."""
+    """The word in [start, end) with its left and with its right neighbour, looked for within 40 characters."""
     word = folded[start:end]
     left = _WORD.findall(folded[max(0, start - 40) : start])
     right = _WORD.findall(folded[end : end + 40])
@@ -179,9 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     """Learn terms, exception phrases and weights from at most ``most`` rows not held out.
 
     The rows are those of smallest hashed id. Terms are counted by Spark; what reaches the
-    driver is at most ``TERMS`` terms and phrases and three numbers per row. Labels with a null
-    id or label are left out; of repeated ids the largest label counts, and of repeated
-    documents one.
+    driver is three numbers per row and the terms and phrases that ``LEAST_DOCS`` of these rows
+    share and their labels tell apart. Labels with a null id or label are left out; of repeated
+    ids the largest label counts, and of the texts of one id the first in byte order.
     """
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -191,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
         .limit(most)
     )
     rows = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("y").alias("y")).cache()
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).cache()
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -200,14 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
         return Lexicon(model=(float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     likely = _counted(rows, terms_of, LEAST_DOCS).filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_WEIGHT))
-    likely = likely.orderBy(F.desc(odds * F.sqrt("toxic")), "term").limit(TERMS).collect()
+    likely = likely.orderBy("term").collect()
     lexicon = Lexicon(chosen([tuple(r) for r in likely], toxic, clean))
 
     def around(text: str) -> set[str]:
         folded = fold(text)
         return {p for s, e, _ in lexicon.hits(folded) for p in phrases(folded, s, e)}
 
-    fine = _counted(rows, around, 3).filter("clean >= 3 AND toxic * 4 <= clean").orderBy(F.desc("clean"), "term").limit(TERMS).collect()
+    fine = _counted(rows, around, 3).filter("clean >= 3 AND toxic * 4 <= clean").collect()
     lexicon.exceptions = frozenset(r["term"] for r in fine)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
