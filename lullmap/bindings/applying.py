@@ -22,14 +22,13 @@ from lullmap.bindings.detection import SPANS, cut_plan, spans, sql_cut
 from lullmap.operators import apply
 from lullmap.operators.intervals import merge_intervals
 
-BIN = 2 * DAY
 INSIDE = "s.user_id = k.user_id AND s.t >= k.start_us AND s.t < k.end_us"
 
 
 @query("trim", with_(*sql_cut(), then=f"SELECT s.* FROM s JOIN keep k ON {INSIDE}"))
 def trim(spark, sf):
     rows, _, _, keep, _ = cut_plan(spark, sf)
-    return apply.trim(rows, keep, USER, "t", BIN)
+    return apply.trim(rows, keep, USER, "t")
 
 
 @query(
@@ -43,7 +42,7 @@ def trim(spark, sf):
 )
 def retime(spark, sf):
     rows, _, _, keep, blocks = cut_plan(spark, sf)
-    return apply.retime(rows, keep, USER, "t", bin_us=BIN, blocks=blocks)
+    return apply.retime(rows, keep, USER, "t", blocks=blocks)
 
 
 @query(
@@ -57,7 +56,7 @@ def retime(spark, sf):
 )
 def interval_join(spark, sf):
     rows = samples(spark, sf).select("user_id", "event_id", "t")
-    return apply.interval_join(rows, spans(spark, sf), USER, "t", "inner", 6 * HOUR)
+    return apply.interval_join(rows, spans(spark, sf), USER, "t", "inner")
 
 
 @query(
@@ -69,7 +68,7 @@ def interval_join(spark, sf):
 )
 def interval_join_left(spark, sf):
     rows, _, _, keep, _ = cut_plan(spark, sf)
-    return apply.interval_join(rows.select("user_id", "event_id", "t"), keep, USER, "t", "left", BIN)
+    return apply.interval_join(rows.select("user_id", "event_id", "t"), keep, USER, "t", "left")
 
 
 @query(
@@ -82,7 +81,7 @@ def interval_join_left(spark, sf):
 def interval_join_anti(spark, sf):
     rows, _, _, keep, _ = cut_plan(spark, sf)
     slim = rows.select("user_id", "event_id", "t")
-    return apply.interval_join(slim, keep, USER, "t", "left_anti", BIN)
+    return apply.interval_join(slim, keep, USER, "t", "left_anti")
 
 
 @query(
@@ -164,7 +163,7 @@ def merge_then_trim(spark, sf):
     """Semi join against merged intervals of any origin."""
     kept = merge_intervals(spans(spark, sf).filter(F.col("start_us") % 3 == 0), USER, touch=True)
     rows = samples(spark, sf).select("user_id", "event_id", "t")
-    return apply.interval_join(rows, kept, USER, "t", "left_semi", 12 * HOUR)
+    return apply.interval_join(rows, kept, USER, "t", "left_semi")
 
 
 @query(

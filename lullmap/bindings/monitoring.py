@@ -335,10 +335,10 @@ def event_stream(spark, sf):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_through(result, mode="append"):
+def run_through(result, mode="append", saved=None):
     """Process all that is there, and read back what was emitted."""
     spark = result.sparkSession
-    out, saved = new_folder(spark, "stream-out"), new_folder(spark, "stream-state")
+    out, saved = new_folder(spark, "stream-out"), saved or new_folder(spark, "stream-state")
     (
         result.writeStream.format("parquet")
         .option("path", out)
@@ -374,26 +374,26 @@ def stream_quiet(spark, sf):
     ),
 )
 def stream_resume(spark, sf):
-    """The first half of the time as a table, the rest as a stream that goes on from there."""
-    from lullmap.operators.quiet import quiet_runs
-    from lullmap.plans.blocks import pick_blocks
+    """A stream over the first half of the time stops; what it stored lets another go on over all rows."""
+    from lullmap.sources.stores import read_interval_cache
+    from lullmap.streaming import resume
     from lullmap.streaming.detect import stream_quiet
 
+    detect = lambda rows, **more: stream_quiet(rows, USER, "ts", "value", THRESHOLD, MIN_LEN, **more)
     rows = samples(spark, sf)
     middle = rows.agg(F.call_function("div", F.min("t") + F.max("t"), F.lit(2)).alias("m")).first()["m"]
-    first = rows.filter(F.col("t") <= middle)
-    unseen = 1 << 60
-    ends = first.groupBy("user_id").agg(F.max("t").alias("last_us"), F.lit(unseen).alias("end_us"))
-    runs = quiet_runs(first, USER, "t", F.abs("value") < THRESHOLD, ORDER, ends.drop("last_us"), pick_blocks(first, USER, "t"))
-    closed = runs.filter((F.col("end_us") < unseen) & (F.col("end_us") - F.col("start_us") >= MIN_LEN))
-    begun = runs.filter(F.col("end_us") == unseen).select("user_id", (F.col("start_us") + ORIGIN).alias("start_us"))
-    state = ends.join(begun, "user_id", "left").select(
-        "user_id", "start_us", (F.col("last_us") + ORIGIN).alias("last_us"), F.lit(None).cast("long").alias("end_us")
-    )
-    later = event_stream(spark, sf).filter(F.unix_micros("ts") > middle + ORIGIN)
-    out = run_through(stream_quiet(later, USER, "ts", "value", THRESHOLD, MIN_LEN, initial_state=state))
-    moved = closed.select("user_id", (F.col("start_us") + ORIGIN).alias("start_us"), (F.col("end_us") + ORIGIN).alias("end_us"))
-    return moved.unionByName(out)
+    cache, saved = new_folder(spark, "probes"), new_folder(spark, "stream-state")
+    config = {"threshold": THRESHOLD, "min_silence": MIN_LEN / 1e6, "margin": 0.0}
+    closed = run_through(detect(event_stream(spark, sf).filter(F.unix_micros("ts") <= middle + ORIGIN)), saved=saved)
+    resume.store_probes(closed, resume.open_runs(spark, saved, USER), cache, config, F.col("user_id").cast("string"))
+
+    asked = rows.select(F.col("user_id").cast("string").alias("source")).distinct()
+    asked = asked.select("source", F.lit(None).cast("long").alias("source_size"), F.timestamp_micros(F.lit(ORIGIN)).alias("source_mtime"))
+    known = resume.stored_runs(spark, cache, asked, config, {"user_id": F.col("source").cast("long")})
+    later = resume.after_probe(event_stream(spark, sf), known, USER, "ts")
+    before = read_interval_cache(spark, cache, asked, config)
+    before = before.select(F.col("source").cast("long").alias("user_id"), "start_us", "end_us")
+    return before.unionByName(run_through(detect(later, initial_state=known)))
 
 
 @query(

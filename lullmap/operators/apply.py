@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lullmap.operators.intervals import END, SPAN, START
+from lullmap.operators.intervals import END, SPAN, START, merge_intervals
 from lullmap.plans.blocks import (
-    DAY,
     SECOND,
     Blocks,
     before,
@@ -21,56 +20,137 @@ from lullmap.plans.blocks import (
     range_rows,
     spread_join,
 )
+from lullmap.plans.scratch import pinned
 
 # Target rates a plan may ask for; "source" leaves the cadence alone.
 RATES = ("source", "24", "25", "30", "50", "60")
 
 
+# Bits of the radix that interval lengths are rounded up to, and of the widest cells there are.
+RADIX_BITS, WIDEST_BITS = 4, 60
+# Bits of the shares that the rows of one cell as wide as all intervals together are dealt over.
+SHARE_BITS = 5
+# Ends of the time before the first and after the last interval of a series.
+NEVER, FOREVER = -(1 << 61), 1 << 61
+
+
+def _bits(length: Column) -> Column:
+    """Exponent of the cells an interval of that length lies in at most two of."""
+    exact = F.length(F.bin(length - 1)) + (RADIX_BITS - 1)
+    return F.least(int_div(exact, F.lit(RADIX_BITS)).cast("int") * RADIX_BITS, F.lit(WIDEST_BITS))
+
+
+def interval_cells(iv: DataFrame, levels: dict[int, int]) -> DataFrame:
+    """A row for each power-of-two cell that an interval touches, with ``__bits``, ``__cell`` and ``__share``.
+
+    Cells are at least as long as the interval, so there are two at most, each repeated for the
+    shares (``levels``: exponent to number) in which the rows of so wide a cell are dealt.
+    """
+    at = lambda c: F.call_function("shiftright", c, F.col("__bits"))
+    shares = F.element_at(F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]), F.col("__bits"))
+    return (
+        iv.withColumn("__bits", _bits(F.col(END) - F.col(START)))
+        .withColumn("__cell", F.explode(F.sequence(at(F.col(START)), at(F.col(END) - 1))))
+        .withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    )
+
+
+def _levels(iv: DataFrame) -> dict[int, int]:
+    """Exponents of the cells in use, and in how many shares the rows of a cell are dealt.
+
+    Only a cell about as wide as the time of all intervals can hold most rows of a series;
+    intervals of that length are few.
+    """
+    met = iv.groupBy(_bits(F.col(END) - F.col(START)).alias("b")).agg(F.min(START), F.max(END)).collect()
+    if not met:
+        return {}
+    span = max(r[2] for r in met) - min(r[1] for r in met)
+    return {r["b"]: 1 << max(0, min(SHARE_BITS, SHARE_BITS + r["b"] - span.bit_length())) for r in met}
+
+
+def _complement(iv: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The time of each series of ``iv`` outside all its intervals, from ``NEVER`` to ``FOREVER``."""
+    blocks = pick_blocks(iv, keys, START)
+    merged = merge_intervals(iv.select(*keys, *SPAN), keys, touch=True, blocks=blocks)
+    first = merged.groupBy(*keys).agg(F.lit(NEVER).alias(START), F.min(START).alias(END))
+    cut = blocks.assign(merged, keys, SPAN)
+    cut = carry(cut, keys, blocks, {"first": F.min(START)}, {"__next_in": ("lead", "first")})
+    after = F.coalesce(F.lead(START).over(ordered(keys, blocks, SPAN)), F.col("__next_in").cast("long"), F.lit(FOREVER))
+    between = cut.select(*keys, F.col(END).alias(START), after.alias(END))
+    return first.unionByName(between).filter(F.col(START) < F.col(END))
+
+
 def interval_join(
     rows: DataFrame,
     iv: DataFrame,
     keys: Sequence[str],
     ts: str,
     how: str = "inner",
-    bin_us: int = DAY,
 ) -> DataFrame:
     """Join rows to the intervals of their series that contain their time.
 
-    ``how`` is inner, left, left_semi or left_anti. Both sides meet on (series, time bin),
-    so a long series is spread over many tasks and a row is only compared with intervals
-    near it. A row lies in exactly one bin and each interval once in a bin, hence no match
-    is found twice. Columns of ``iv`` besides the keys are added; choose ``bin_us`` near
-    the usual interval length.
+    ``how`` is inner, left, left_semi or left_anti. An interval lies in the one or two cells of
+    the least power of 16 that is not shorter; a row looks into one cell of every width in use,
+    which is measured. So a year and a second stand in one table as they are: neither is cut
+    into days, and a row meets only intervals within some lengths of its time. Rows without a
+    match are found by the intervals' complement, so that nothing is looked up twice.
+
+    Empty intervals match nothing, rows without a time neither. Columns of ``iv`` besides the
+    keys are added. The intervals, few beside the rows, are written to the checkpoint folder.
     """
-    width = F.lit(bin_us)
-    binned = iv.filter(F.col(START) < F.col(END)).withColumn(
-        "__bin",
-        F.explode(F.sequence(floor_div(F.col(START), width), floor_div(F.col(END) - 1, width))),
-    )
-    spans = binned.select(
+    iv = pinned(iv.filter(F.col(START) < F.col(END)))
+    outer = how in ("left", "left_anti")
+    if how == "left_semi":
+        iv = merge_intervals(iv.select(*keys, *SPAN), keys, touch=True)
+    levels = _levels(iv)
+    if how == "left_anti":
+        iv = iv.select(*keys, *SPAN)
+    iv = iv.withColumn("__kind", F.lit("match"))
+    if outer:
+        gaps = _complement(iv, keys).withColumn("__kind", F.lit("gap"))
+        # Rows of a known series find the mark; those of others find nothing at the widest level.
+        mark = iv.select(*keys).distinct().withColumns(
+            {START: F.lit(NEVER), END: F.lit(FOREVER), "__kind": F.lit("known")}
+        )
+        more = pinned(gaps.unionByName(mark))
+        levels |= {b: max(n, levels.get(b, 1)) for b, n in _levels(more).items()} | {WIDEST_BITS: 1 << SHARE_BITS}
+        iv = iv.unionByName(more, allowMissingColumns=True)
+    if not levels:
+        return rows.join(iv.drop("__kind", *keys), F.lit(False), "inner")
+    spans = interval_cells(iv, levels).select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
-        "__bin",
-        *[F.col(c).alias(f"__iv_{c}" if c in SPAN else c) for c in iv.columns if c not in keys],
+        *[F.col(c).alias(f"__iv{c}") for c in ("__bits", "__cell", "__share")],
+        "__kind",
+        *[F.col(c).alias(f"__iv_{c}" if c in SPAN else c) for c in iv.columns if c not in keys and c != "__kind"],
     )
-    left = rows.withColumn("__row_bin", floor_div(F.col(ts), width))
-    on = [left[k] == spans[f"__k_{k}"] for k in keys] + [
-        left["__row_bin"] == spans["__bin"],
-        left[ts] >= spans[f"__iv_{START}"],
-        left[ts] < spans[f"__iv_{END}"],
-    ]
-    joined = left.join(spans, on, how).drop("__row_bin")
-    if how in ("left_semi", "left_anti"):
-        return joined
-    return joined.drop("__bin", *[f"__k_{k}" for k in keys]).withColumnsRenamed(
-        {f"__iv_{c}": c for c in SPAN}
+    hashable = [n for n, t in rows.dtypes if not t.startswith(("map", "variant"))]
+    probes = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")) for b, n in sorted(levels.items())])
+    left = rows.withColumn("__probe", F.explode(probes)).select(
+        *rows.columns,
+        F.col("__probe.b").alias("__bits"),
+        F.call_function("shiftright", F.col(ts), F.col("__probe.b")).alias("__cell"),
+        F.pmod(F.xxhash64(*hashable), F.col("__probe.n")).cast("int").alias("__share"),
     )
+    on = [left[k] == spans[f"__k_{k}"] for k in keys]
+    on += [left[c] == spans[f"__iv{c}"] for c in ("__bits", "__cell", "__share")]
+    on += [left[ts] >= spans[f"__iv_{START}"], left[ts] < spans[f"__iv_{END}"]]
+    joined = left.join(spans, on, "left" if outer else "inner")
+    if outer:
+        alone = F.col("__kind").isNull() & (F.col("__bits") == WIDEST_BITS)
+        joined = joined.filter((F.col("__kind") != "known") | alone)
+    if how == "left_anti":
+        joined = joined.filter(F.col("__kind").isNull() | (F.col("__kind") == "gap"))
+    if how in ("left_semi", "left_anti"):
+        return joined.select(*rows.columns)
+    met = F.col("__kind") == "match"
+    own = {f"__iv_{c}": F.when(met, F.col(f"__iv_{c}")) for c in SPAN} if outer else {}
+    dropped = ["__bits", "__cell", "__share", "__kind", *[f"__k_{k}" for k in keys], *[f"__iv{c}" for c in ("__bits", "__cell", "__share")]]
+    return joined.withColumns(own).drop(*dropped).withColumnsRenamed({f"__iv_{c}": c for c in SPAN})
 
 
-def trim(
-    rows: DataFrame, keep: DataFrame, keys: Sequence[str], ts: str, bin_us: int = DAY
-) -> DataFrame:
-    """Only the rows inside the keep intervals (which do not overlap)."""
-    return interval_join(rows, keep.select(*keys, *SPAN), keys, ts, "left_semi", bin_us)
+def trim(rows: DataFrame, keep: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Only the rows inside the keep intervals."""
+    return interval_join(rows, keep.select(*keys, *SPAN), keys, ts, "left_semi")
 
 
 def keep_offsets(keep: DataFrame, keys: Sequence[str], blocks: Blocks | None = None) -> DataFrame:
@@ -91,11 +171,10 @@ def retime(
     keys: Sequence[str],
     ts: str,
     out: str = "new_ts_us",
-    bin_us: int = DAY,
     blocks: Blocks | None = None,
 ) -> DataFrame:
     """Trim, and close the removed gaps: ``out`` is the time on the shortened timeline."""
-    placed = interval_join(rows, keep_offsets(keep, keys, blocks), keys, ts, "inner", bin_us)
+    placed = interval_join(rows, keep_offsets(keep, keys, blocks), keys, ts, "inner")
     return placed.withColumn(out, F.col(ts) - F.col(START) + F.col("offset_us")).drop(
         *SPAN, "offset_us"
     )

@@ -26,6 +26,11 @@ BATCH_SCHEMA = T.StructType(
         T.StructField("dry_run", T.BooleanType()),
     ]
 )
+CACHE_SCHEMA = (
+    "source string, source_size long, probe_us long, begun_us long, start_us long, end_us long, "
+    + ", ".join(f"{c} double" for c in CONFIG_FIELDS)
+    + ", cached_at timestamp, written string, config_hash string"
+)
 STATE_SCHEMA = "kind string, batch string, pos int, title string, url string, version int, dry_run boolean, saved_at long"
 
 
@@ -43,15 +48,16 @@ def write_interval_cache(
     """Add detected intervals (``source``, ``source_size``, ``start_us``, ``end_us``) under a config.
 
     ``sources`` (``source``, ``source_size`` and optionally ``probe_us``, how far detection
-    got) lists what was looked at, so that a source without a quiet moment is known too; left
-    out, it is the sources of the intervals. Each source of a call gets a head row and its
-    intervals; of several calls the newest counts, and what other calls stored stays.
+    got, and ``begun_us``, the start of a run still open there) lists what was looked at, so
+    that a source without a quiet moment is known too; left out, it is the sources of the
+    intervals. Each source of a call gets a head row and its intervals; of several calls the
+    newest counts, and what other calls stored stays, see ``compact_interval_cache``.
     """
-    fields = ["source", "source_size", "probe_us"]
+    fields = ["source", "source_size", "probe_us", "begun_us"]
     heads = intervals if sources is None else sources
-    if "probe_us" not in heads.columns:
-        heads = heads.withColumn("probe_us", F.lit(None).cast("long"))
-    heads = heads.groupBy(*fields[:2]).agg(F.max("probe_us").alias("probe_us"))
+    unknown = [c for c in fields[2:] if c not in heads.columns]
+    heads = heads.withColumns({c: F.lit(None).cast("long") for c in unknown})
+    heads = heads.groupBy(*fields[:2]).agg(F.max(F.struct(*fields[2:])).alias("h")).select(*fields[:2], "h.*")
     rows = heads.select(*fields, *[F.lit(None).cast("long").alias(c) for c in ("start_us", "end_us")]).unionByName(
         intervals.select("source", "source_size", "start_us", "end_us"), allowMissingColumns=True
     )
@@ -66,18 +72,31 @@ def write_interval_cache(
     stamped.write.mode("append").partitionBy("config_hash").parquet(path)
 
 
+def compact_interval_cache(spark: SparkSession, path: str, to: str) -> None:
+    """Write to ``to`` the newest write of every source and config in ``path``, and nothing else."""
+    stored = _stored(spark, path)
+    heads = stored.filter(F.col("start_us").isNull())
+    newest = heads.groupBy("config_hash", "source").agg(F.max(F.struct("cached_at", "written")).alias("h"))
+    newest = newest.select("config_hash", "source", "h.written")
+    stored.join(newest, ["config_hash", "source", "written"], "left_semi").write.partitionBy("config_hash").parquet(to)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+
+
 def cached_sources(
     spark: SparkSession, path: str, requests: DataFrame, config: dict[str, float]
 ) -> DataFrame:
     """Heads of the ``requests`` (``source``, ``source_size``, ``source_mtime``) that hit.
 
-    ``source``, ``source_size``, ``probe_us``, ``cached_at`` and ``written``. The config
+    ``source``, ``source_size``, ``probe_us``, ``begun_us``, ``cached_at`` and ``written``. The config
     selects one partition, so other parameter sets are not read. Only the newest write of a
     source can be hit: it replaces older ones, whatever size they had.
     """
     wanted = config_hash(*(config[c] for c in CONFIG_FIELDS))
-    stored = spark.read.parquet(path).filter((F.col("config_hash") == wanted) & F.col("start_us").isNull())
-    head = F.struct("cached_at", "written", "source_size", "probe_us", *CONFIG_FIELDS)
+    stored = _stored(spark, path).filter((F.col("config_hash") == wanted) & F.col("start_us").isNull())
+    head = F.struct("cached_at", "written", "source_size", "probe_us", "begun_us", *CONFIG_FIELDS)
     newest = stored.groupBy("source").agg(F.max(head).alias("h")).select("source", "h.*")
     asked = requests.withColumns({c: F.lit(float(config[c])) for c in CONFIG_FIELDS})
     hits = cache_hits(asked, newest).select("source").distinct()
@@ -89,7 +108,7 @@ def read_interval_cache(
 ) -> DataFrame:
     """Cached intervals of the ``requests`` that hit, as ``cached_sources`` tells them."""
     wanted = config_hash(*(config[c] for c in CONFIG_FIELDS))
-    stored = spark.read.parquet(path).filter((F.col("config_hash") == wanted) & F.col("start_us").isNotNull())
+    stored = _stored(spark, path).filter((F.col("config_hash") == wanted) & F.col("start_us").isNotNull())
     hits = cached_sources(spark, path, requests, config)
     return stored.select("source", "written", "start_us", "end_us").join(hits, ["source", "written"])
 

@@ -86,7 +86,7 @@ def test_retime(rows):
     keep = rows.filter(F.col("event_id") % 4 == 0).select(
         "user_id", F.col("t").alias("start_us"), (F.col("t") + 1000).alias("end_us")
     )
-    same(lambda b: apply.retime(rows, keep, USER, "t", bin_us=3 * HOUR, blocks=b))
+    same(lambda b: apply.retime(rows, keep, USER, "t", blocks=b))
 
 
 def test_starts_agree(rows):

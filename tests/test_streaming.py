@@ -154,3 +154,47 @@ def test_late_rows_are_counted_and_series_forgotten(spark, scratch):
     )
     # The run open at 41 s is forgotten with its series, so the loud row hours later ends nothing.
     assert sorted(emitted(spark, quiet, "late_out", state), key=repr) == [(1, 20 * S, 40 * S, 0), (1, None, None, 2)]
+
+
+@pytest.mark.parametrize("stop", [1, 2, 3])
+def test_resume_from_stored_probes(spark, scratch, stop):
+    """Stopped after any batch, written to the cache, gone on from there by a new query: as in one go."""
+    from lullmap.operators.quiet import detect_quiet
+    from lullmap.sources.stores import compact_interval_cache, read_interval_cache
+    from lullmap.streaming import resume
+
+    batches = [
+        [(1, 0, 5.0, None), (1, 10 * S, 0.1, None), (2, 3 * S, 9.0, None), (3, 1 * S, 0.1, None)],
+        [(1, 20 * S, 0.1, None), (1, 30 * S, 9.0, None), (1, 31 * S, 0.1, None), (3, 29 * S, 0.2, None)],
+        [(1, 45 * S, 9.0, None), (2, 33 * S, 0.1, None), (3, 40 * S, 9.0, None), (1, 46 * S, 0.1, None)],
+        [(1, 60 * S, 9.0, None), (2, 50 * S, 7.0, None), (4, 48 * S, 0.1, None), (4, 60 * S, 9.0, None)],
+    ]
+    early, full = os.path.join(scratch, "early"), os.path.join(scratch, "full")
+    os.mkdir(early), os.mkdir(full)
+    for n, rows in enumerate(batches):
+        feed(full, n, rows)
+        if n < stop:
+            feed(early, n, rows)
+    detect = lambda folder, **more: stream_quiet(stream(spark, folder), ["k"], "ts", "v", 1.0, 5 * S, **more)
+    state, cache = os.path.join(scratch, "state"), os.path.join(scratch, "cache")
+    config = {"threshold": 1.0, "min_silence": 5.0, "margin": 0.0}
+    first = spark.createDataFrame(emitted(spark, detect(early), f"early_{stop}", state), "k long, start_us long, end_us long")
+    name = F.col("k").cast("string")
+    runs = resume.open_runs(spark, state, ["k"])
+    assert {r.k: r.last_us for r in runs.collect()}[1] == max(t for b in batches[:stop] for k, t, *_ in b if k == 1)
+    resume.store_probes(first.limit(0), runs, cache, config, name)
+    resume.store_probes(first, runs, cache, config, name)
+    small = os.path.join(scratch, "small")
+    compact_interval_cache(spark, cache, small)
+    assert spark.read.parquet(small).count() == runs.count() + first.count() < spark.read.parquet(cache).count()
+
+    asked = spark.createDataFrame([(str(k), None) for k in range(1, 5)], "source string, source_size long")
+    asked = asked.withColumn("source_mtime", F.timestamp_micros(F.lit(0)))
+    known = resume.stored_runs(spark, small, asked, config, {"k": F.col("source").cast("long")})
+    rows = resume.after_probe(stream(spark, full), known, ["k"], "ts")
+    later = stream_quiet(rows, ["k"], "ts", "v", 1.0, 5 * S, initial_state=known)
+    got = emitted(spark, later, f"later_{stop}", os.path.join(scratch, "other"))
+    before = read_interval_cache(spark, small, asked, config)
+    got += [(int(r.source), r.start_us, r.end_us) for r in before.collect()]
+    whole = spark.createDataFrame([r[:3] for b in batches for r in b], "k long, at long, v double")
+    assert sorted(got) == sorted((r.k, r.start_us, r.end_us) for r in detect_quiet(whole, ["k"], "at", "v", 1.0, 5 * S).collect())
