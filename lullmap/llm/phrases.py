@@ -22,7 +22,9 @@ UNKNOWN = "und"
 # Bits of a table of hashes that may be frequent; more hashes only make it less sharp.
 TABLE_BITS = 26
 # Bytes of phrases in one trie; a trie has no more nodes than that.
-TRIE_BYTES = 1 << 24
+TRIE_BYTES = 1 << 23
+# Tries that a task walks its texts through in one pass.
+TRIES_AT_ONCE = 4
 # Different hashes that a task holds before it hands on what it has counted.
 HELD = 1 << 22
 
@@ -59,17 +61,17 @@ class Words:
         inside[self.after] = False
         self.buffer[inside] = _LOWER[data[~_APART[data]]]
         self.buffer[self.after] = np.where(self.same, 0x20, 0x0A)
+        self.made = {1: (self.hash, np.ones(len(self.hash), bool))}
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``k`` words from each place, and where they lie in one piece."""
-        n = max(len(self.hash) - k + 1, 0)
-        h, whole = self.hash[:n].copy(), np.ones(n, bool)
-        for i in range(1, k):
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += self.hash[i : i + n]
-            mixed(h)
-            whole &= self.same[i - 1 : i - 1 + n]
-        return h, whole
+        if k not in self.made:
+            h, whole = self.grams(k - 1)
+            n = max(len(self.hash) - k + 1, 0)
+            h = h[:n] * np.uint64(0x9E3779B97F4A7C15)
+            h += self.hash[k - 1 :]
+            self.made[k] = mixed(h), whole[:n] & self.same[k - 2 : k - 2 + n]
+        return self.made[k]
 
 
 def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def possible(found: Words, k: int, tables: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of phrases of ``k`` words all of whose tabled parts may be frequent, and their hashes."""
     h, fits = found.grams(k)
-    n = len(h)
+    n, fits = len(h), fits.copy()
     for part, bits in tables.items():
         if part <= k:
             own = in_table(bits, found.grams(part)[0])
@@ -165,15 +167,17 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
             frequent.append(got)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.uint64)
+        # Hashes told before, by their low bits; one that displaced another is told again, no harm.
+        seen = np.zeros(HELD, np.uint64)
+        slot = lambda h: (h & np.uint64(HELD - 1)).astype(np.int64)
         for batch in batches:
             for found, langs in found_words(batch):
                 for k in range(2, most + 1):
                     place, h = possible(found, k, tables)
-                    h, first = np.unique(h, return_index=True)
-                    new = ~np.isin(h, seen)
-                    h, place = h[new], place[first[new]]
-                    seen = np.union1d(seen, h) if len(seen) < HELD else h
+                    new = seen[slot(h)] != h
+                    h, first = np.unique(h[new], return_index=True)
+                    place = place[new][first]
+                    seen[slot(h)] = h
                     raw = found.buffer.tobytes()
                     phrase = [raw[a:b] for a, b in zip(found.begin[place].tolist(), found.after[place + k - 1].tolist())]
                     lang = [langs[t] for t in found.text[place].tolist()]
@@ -275,7 +279,7 @@ def _placed(parent: np.ndarray, code: np.ndarray, nodes: int) -> tuple[np.ndarra
     States of many children find room first, at places drawn at random until all their
     children fit; states of one child take what is left.
     """
-    room = 2 * nodes + 1024
+    room = 3 * nodes // 2 + 1024
     base, check = np.zeros(room + 256, np.int32), np.full(room + 256, -1, np.int32)
     used = np.zeros(room + 256, bool)
     used[0] = True
@@ -318,8 +322,8 @@ def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BY
     """lang, phrase, f: how often each wanted phrase stands in the texts, overlaps included.
 
     The phrases are dealt by hash into as many tries as keep each within ``trie_bytes`` of
-    text. Tries are built by tasks, a trie is broadcast, and every task walks its texts
-    through it and hands on the counts of its shard, which are summed.
+    text. Tries are built by tasks, a few at once are broadcast, and every task walks its texts
+    through them and hands on the counts of its shard, which are summed.
     """
     spark = texts.sparkSession
     size = F.octet_length("phrase") + F.octet_length("lang") + 2
@@ -338,33 +342,37 @@ def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BY
 
     built = stored(wanted.groupBy("block").applyInArrow(build, "block int, base binary, check binary, size long"), "tries")
     parts = []
-    for i in range(tries):
-        row = built.filter(F.col("block") == i).first()
-        if row is None:
-            continue
-        sent = spark.sparkContext.broadcast((bytes(row["base"]), bytes(row["check"]), row["size"]))
-        shards = texts.mapInArrow(_walker(sent), "number int, f long").groupBy("number").agg(F.sum("f").alias("f"))
-        parts.append(stored(shards.withColumn("block", F.lit(i)), "counts"))
-        sent.unpersist()
+    for first in range(0, tries, TRIES_AT_ONCE):
+        sent = []
+        for i in range(first, min(first + TRIES_AT_ONCE, tries)):
+            for row in built.filter(F.col("block") == i).collect():
+                sent.append(spark.sparkContext.broadcast((i, bytes(row["base"]), bytes(row["check"]), row["size"])))
+        shards = texts.mapInArrow(_walker(sent), "block int, number int, f long")
+        parts.append(stored(shards.groupBy("block", "number").agg(F.sum("f").alias("f")), "counts"))
+        for own in sent:
+            own.unpersist()
     if not parts:
         return wanted.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
     return wanted.join(functools.reduce(DataFrame.union, parts), ["block", "number"]).select("lang", "phrase", "f")
 
 
-def _walker(sent):
+def _walker(sent: list):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, check, size = sent.value
-        trie = Trie(np.frombuffer(base, np.int32), np.frombuffer(check, np.int32))
-        sums = np.zeros(size, np.int64)
-        roots: dict[str, int] = {}
+        tries = []
+        for block, base, check, size in (b.value for b in sent):
+            trie = Trie(np.frombuffer(base, np.int32), np.frombuffer(check, np.int32))
+            tries.append((block, trie, np.zeros(size, np.int64), {}))
         for batch in batches:
             for found, langs in found_words(batch):
-                for x in set(langs) - roots.keys():
-                    roots[x] = trie.walk(x.encode() + b"\n")
-                state = np.array([roots[x] for x in langs], np.int64)[found.text]
-                trie.count(found.buffer, found.begin, state, sums)
-        number = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(sums[number])], ["number", "f"])
+                for _, trie, sums, roots in tries:
+                    for x in set(langs) - roots.keys():
+                        roots[x] = trie.walk(x.encode() + b"\n")
+                    state = np.array([roots[x] for x in langs], np.int64)[found.text]
+                    trie.count(found.buffer, found.begin, state, sums)
+        for block, _, sums, _ in tries:
+            number = np.flatnonzero(sums)
+            cols = [np.full(len(number), block, np.int32), number.astype(np.int32), sums[number]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["block", "number", "f"])
 
     return walk
 
