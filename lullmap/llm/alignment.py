@@ -274,7 +274,7 @@ def align(docs: DataFrame, files: Files, pairs: int = PAIRS) -> DataFrame:
     bounded by the vocabularies; their counts are broadcast ``pairs`` at a time, and every such
     block adds what it knows of each document's links.
     """
-    rows = stored(tokenized(docs, files), "token_ids")
+    rows = stored(tokenized(docs, files), "token_ids", compression="zstd")
     counts = stored(pair_counts(rows, files), "pairs")
     blocks = max(-(-counts.count() // pairs), 1)
     block = F.pmod(F.xxhash64("key"), F.lit(blocks))
@@ -284,7 +284,7 @@ def align(docs: DataFrame, files: Files, pairs: int = PAIRS) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(tuple(own[c].to_numpy() for c in ("key", "n", "best")))
         out = out.mapInArrow(_adder(sent, files), out.schema)
         if i + 1 < blocks:
-            out = stored(out, "aligned")
+            out = stored(out, "aligned", compression="zstd")
             sent.unpersist()
     return out.drop("ids_a", "ids_b")
 
