@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -21,7 +22,7 @@ from lullmap.plans.blocks import (
     pick_blocks,
     spread_join,
 )
-from lullmap.plans.scratch import pinned
+from lullmap.plans.scratch import pinned, written
 
 # Fixed values of the progress model.
 EMA_ALPHA = 0.25
@@ -450,6 +451,70 @@ def ancestors(edges: DataFrame, node: str, parent: str) -> DataFrame:
     return pairs
 
 
+# Live nodes of a tree that one task finishes by itself.
+FINISHED_AT_ONCE = 50_000
+
+
+def _held(df: DataFrame) -> DataFrame:
+    return written(df, "tree")
+
+
+def _contracted(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round on (node, parent): leaves (node, parent), spliced (node, child, parent) and what stays.
+
+    A node of one child leaves a chain when its hash exceeds those of both neighbours, so no
+    two neighbours go at once and about a third of a chain does. One whose child is a leaf
+    stays, as it takes up the leaf's sum.
+    """
+    kids = live.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node"))
+    kids = kids.agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("child"))
+    known = _held(live.join(kids, "node", "left"))
+    leaves = known.filter("n IS NULL").select("node", "parent")
+    h = F.xxhash64
+    lone = known.filter("n = 1 AND parent IS NOT NULL AND parent <> node")
+    lone = lone.filter((h("node") > h("parent")) & (h("node") > h("child"))).select("node", "child", "parent")
+    above = leaves.filter("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
+    spliced = _held(lone.join(above, "node", "left_anti"))
+    stays = known.filter("n IS NOT NULL").select("node", "parent").join(spliced.select("node"), "node", "left_anti")
+    moved = spliced.select(F.col("child").alias("node"), F.col("parent").alias("__up"))
+    stays = stays.join(moved, "node", "left").select("node", F.coalesce("__up", "parent").alias("parent"))
+    return leaves, spliced, stays
+
+
+def _circle(nodes: list) -> ValueError:
+    return ValueError(f"nodes whose parents run in a circle, such as {sorted(nodes)[:5]}")
+
+
+def _finished(sums: DataFrame, live: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Totals of the last live nodes, few enough for a task, apart for every ``by``."""
+    parent = {r["node"]: r["parent"] for r in live.collect()}
+    left = dict.fromkeys(parent, 0)
+    for p in parent.values():
+        if p is not None:
+            left[p] += 1
+    order = [n for n, k in left.items() if not k]
+    for n in order:
+        p = parent[n]
+        if p is not None:
+            left[p] -= 1
+            if not left[p]:
+                order.append(p)
+    if len(order) < len(parent):
+        raise _circle([n for n, k in left.items() if k])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = dict(zip(rows["node"], rows["total"]))
+        for n in order:
+            if n in total and parent[n] is not None:
+                total[parent[n]] = total[parent[n]] + total[n] if parent[n] in total else total[n]
+        out = pd.DataFrame({"node": list(total), "total": list(total.values())})
+        for c in by:
+            out[c] = rows[c].iloc[0]
+        return out[list(rows.columns)]
+
+    return sums.groupBy(*by).applyInPandas(add, sums.schema)
+
+
 def tree_total(
     samples: DataFrame,
     edges: DataFrame,
@@ -457,19 +522,56 @@ def tree_total(
     parent: str,
     metric: str,
     by: Sequence[str] = (),
+    finished_at_once: int = FINISHED_AT_ONCE,
 ) -> DataFrame:
     """Sum of a metric over each node and all its descendants.
 
-    Members without a sample are skipped; a node without a sample of its own gets null.
+    Members without a sample are skipped; a node without a sample of its own gets null. A node
+    has one parent at most; several, or parents that run in a circle, are errors.
+
+    The tree is contracted in rounds of as many rows as nodes are left: leaves fold their sums
+    into their parents, and chains are thinned by nodes whose total is that of their only
+    child and their own. At most ``finished_at_once`` nodes are then summed up by one task for
+    each ``by``, and the thinned-out nodes get their totals in reverse order.
     """
+    tree = edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct()
+    above = tree.select(F.col("parent").alias("node")).filter("node IS NOT NULL")
+    tree = tree.unionByName(above, allowMissingColumns=True).groupBy("node").agg(
+        F.max("parent").alias("parent"), F.count_distinct("parent").alias("n")
+    )
+    live = _held(tree)
+    torn = [r["node"] for r in live.filter("n > 1").limit(5).collect()]
+    if torn:
+        raise ValueError(f"nodes of several parents, such as {torn}")
+    live = live.select("node", "parent")
     measured = samples.filter(F.col(metric).isNotNull()).withColumnRenamed(node, "node")
-    pairs = ancestors(edges, node, parent)
-    own = F.max(F.when(F.col("node") == F.col("ancestor"), F.lit(True)))
-    return (
-        measured.join(pairs, "node")
-        .groupBy("ancestor", *by)
-        .agg(F.sum(metric).alias("__sum"), own.alias("__own"))
-        .select(
-            F.col("ancestor").alias(node), *by, F.when(F.col("__own"), F.col("__sum")).alias("total")
-        )
+    measured = measured.join(live.select("node"), "node", "left_semi")
+    own = _held(measured.groupBy("node", *by).agg(F.sum(metric).alias("total")))
+    sums, done, rounds = own, [], []
+    left = live.count()
+    while left > finished_at_once:
+        leaves, spliced, stays = _contracted(live)
+        live, before = _held(stays), left
+        left = live.count()
+        if left == before:
+            raise _circle([r["node"] for r in live.limit(5).collect()])
+        ended = _held(sums.join(leaves, "node"))
+        done.append(ended.select(sums.columns))
+        kept = _held(sums.join(spliced.select("node", "parent"), "node"))
+        rounds.append((spliced.select("node", "child"), kept.select(sums.columns)))
+        # The sums of both go to the parent; what is below a spliced node comes to it later.
+        up = ended.unionByName(kept).filter("parent IS NOT NULL").drop("node").withColumnRenamed("parent", "node")
+        stay = sums.join(live.select("node"), "node", "left_semi").unionByName(up.select(sums.columns))
+        sums = _held(stay.groupBy("node", *by).agg(F.sum("total").cast(own.schema["total"].dataType).alias("total")))
+    done.append(_held(_finished(sums, live, by)))
+    for spliced, kept in reversed(rounds):
+        totals = functools.reduce(DataFrame.unionByName, done)
+        below = totals.withColumnRenamed("node", "child").join(spliced, "child").select(kept.columns)
+        both = kept.unionByName(below).groupBy("node", *by)
+        done.append(_held(both.agg(F.sum("total").cast(own.schema["total"].dataType).alias("total"))))
+    totals = functools.reduce(DataFrame.unionByName, done)
+    mark = own.select("node", *by, F.lit(True).alias("__own"))
+    on = [totals["node"] == mark["node"], *[totals[c].eqNullSafe(mark[c]) for c in by]]
+    return totals.join(mark, on, "left").select(
+        totals["node"].alias(node), *[totals[c] for c in by], F.when(F.col("__own"), F.col("total")).alias("total")
     )

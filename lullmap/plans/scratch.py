@@ -38,3 +38,10 @@ def pinned(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of its own, for results that meet themselves again in later joins."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

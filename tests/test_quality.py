@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,48 @@ def test_tree_total(spark):
     assert got == {"a": 27.0, "b": 10.0, "c": None, "d": None, "e": None, "f": 8.0, "g": 16.0}
 
 
+def plain_totals(parent, metric):
+    total = {}
+    for n, x in metric.items():
+        seen = n
+        while seen is not None:
+            total[seen] = total.get(seen, 0) + x
+            seen = parent.get(seen)
+    return {n: t if n in metric else None for n, t in total.items()}
+
+
+@pytest.mark.parametrize("kind", ["bushy", "chain", "mixed"])
+def test_tree_total_by_rounds(spark, kind):
+    """Contracted to a handful of nodes: bushy trees, chains, chains with leaves, sums per group."""
+    rng = random.Random(kind)
+    above = {"bushy": lambda i: rng.randrange(i), "chain": lambda i: i - 1, "mixed": lambda i: i - 1 if i % 3 else rng.randrange(i)}[kind]
+    parent = {i: above(i) if i % 150 else None for i in range(300)}
+    rows = [(i, g, rng.randrange(100)) for i in range(300) for g in ("a", "b", None) if rng.random() < 0.6]
+    edges = spark.createDataFrame(list(parent.items()), "pid long, up long")
+    samples = spark.createDataFrame(rows, "pid long, g string, m long")
+    got = telemetry.tree_total(samples, edges, "pid", "up", "m", ["g"], finished_at_once=12).collect()
+    for g in ("a", "b", None):
+        assert {r.pid: r.total for r in got if r.g == g} == plain_totals(parent, {i: m for i, h, m in rows if h == g})
+
+
+def test_tree_total_of_a_long_chain(spark):
+    """100,000 nodes in a row: rounds of as many rows as are left, no pairs."""
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("pid"), F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    got = telemetry.tree_total(spark.range(n).select(F.col("id").alias("pid"), F.lit(1).alias("m")), edges, "pid", "up", "m", finished_at_once=40_000)
+    assert got.filter(F.col("total") != n - F.col("pid")).count() == 0 and got.count() == n
+
+
+@pytest.mark.parametrize("at_once", [0, 100])
+def test_tree_total_refuses_circles_and_two_parents(spark, at_once):
+    samples = spark.createDataFrame([(1, 1.0)], "node int, m double")
+    edges = [(1, 2), (2, 3), (3, 1), (4, None), (5, 1), (6, 6)]
+    with pytest.raises(ValueError, match="circle"):
+        telemetry.tree_total(samples, spark.createDataFrame(edges, "node int, parent int"), "node", "parent", "m", finished_at_once=at_once)
+    with pytest.raises(ValueError, match="several"):
+        telemetry.tree_total(samples, spark.createDataFrame([(1, 2), (1, 3)], "node int, parent int"), "node", "parent", "m")
+
+
 def test_unknown_rule_kind(spark):
     df = spark.createDataFrame([("x",)], "proxy string")
     with pytest.raises(ValueError, match="unknown kind"):
