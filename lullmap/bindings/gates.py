@@ -136,8 +136,7 @@ def starts_agree(spark, sf):
         of = rows.filter(F.col("event_type") == kind)
         return of.groupBy("user_id", day.alias("d")).agg(F.min("t").alias("start_us"))
 
-    other = first("view").filter(F.col("start_us") < 240 * HOUR)
-    return q.starts_agree(first("click"), other, USER, rows, 30 * HOUR, 240 * HOUR, 24 * HOUR)
+    return q.starts_agree(first("click"), first("view"), USER, rows, 30 * HOUR, 240 * HOUR, 24 * HOUR)
 
 
 FIELDS = ["method", "priority"]

@@ -149,10 +149,9 @@ def stall_report(spark, sf):
     runs = rows.groupBy("user_id").agg(
         (F.max("t") + F.col("user_id") % 40 * HOUR).alias("seen_us"),
     ).withColumn("start_us", F.col("user_id") % 3 * (6 * HOUR))
-    events = rows.filter(F.col("t") >= F.col("user_id") % 3 * (6 * HOUR))
     hours = 3600.0
     return tel.stall_report(
-        events, runs, USER, "t", 8 * hours, 36 * hours, 400 * hours, 20 * hours, 30 * hours
+        rows, runs, USER, "t", 8 * hours, 36 * hours, 400 * hours, 20 * hours, 30 * hours
     )
 
 

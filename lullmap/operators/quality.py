@@ -150,11 +150,13 @@ def starts_agree(
     """Do two detections of the same series start the same intervals?
 
     Counts must match and, rank by rank, starts must lie within ``tol_us``. With a
-    ``horizon_us`` the last ``pad_us`` before it are ignored on side ``a``. Series of
-    ``series`` without intervals on either side agree.
+    ``horizon_us`` what starts from there on is ignored on side ``b``, and on side ``a`` the
+    last ``pad_us`` before it too. Series of ``series`` without intervals on either side agree.
     """
-    if horizon_us is not None and pad_us < horizon_us:
-        a = a.filter(F.col(start) < horizon_us - max(0, pad_us))
+    if horizon_us is not None:
+        b = b.filter(F.col(start) < horizon_us)
+        if pad_us < horizon_us:
+            a = a.filter(F.col(start) < horizon_us - max(0, pad_us))
 
     def ranked(side: DataFrame, name: str) -> DataFrame:
         cut = blocks or pick_blocks(side, keys, start)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lullmap.operators.intervals import END, START, apply_margin, cut_plan
 from lullmap.operators.quiet import quiet_runs
 from lullmap.operators.summary import plan_totals
-from lullmap.plans.blocks import Blocks, carry, ordered, pick_blocks
+from lullmap.plans.blocks import Blocks, carry, interval_blocks, ordered, pick_blocks
 
 
 def parameter_sweep(
@@ -62,6 +62,9 @@ def parameter_sweep(
         turns, [*keys, "step"], ts, F.col("__level") <= F.col("step"), order, ends, blocks
     )
 
+    # Intervals are few beside the rows: those of split rows are cut as they need it themselves.
+    runs, blocks = interval_blocks(runs, [*keys, "step"], START, blocks)
+
     # The grid as a literal array, so that repeating by it needs no join.
     points = F.array(
         *[

@@ -333,8 +333,11 @@ def stall_report(
 
     ``runs`` holds keys, ``start_us`` and ``seen_us`` (observed until); ``ts`` is BIGINT
     microseconds. Silences are measured from the run start to the first event, between
-    events, and from the last event to ``seen_us``; limits are exceeded strictly.
+    events, and from the last event to ``seen_us``; limits are exceeded strictly. Events
+    before the start of their run, or of no run, do not count.
     """
+    begun = runs.select(*keys, F.col("start_us").alias("__from"))
+    events = spread_join(events.select(*keys, ts), begun, keys).filter(F.col(ts) >= F.col("__from")).drop("__from")
     blocks = blocks or pick_blocks(events, keys, ts)
     cut = blocks.assign(events.select(*keys, ts), keys, [ts])
     cut = carry(cut, keys, blocks, {"first": F.min(ts)}, {"__next_in": ("lead", "first")})

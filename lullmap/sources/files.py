@@ -1,4 +1,4 @@
-"""Byte sources read in ranges: PCM audio and the identity of files.
+"""Byte sources read in ranges: PCM audio.
 
 Files are listed by Spark and their bytes read inside tasks through Arrow's file systems,
 so neither a file's size nor their number passes through the driver, and a very large
@@ -7,7 +7,6 @@ file is read by many tasks.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -16,10 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Samples per peak, full scale, and bytes hashed at either end of a file.
+# Samples per peak and full scale.
 PEAK_SAMPLES, FULL_SCALE, SAMPLE_BYTES = 256, 32768.0, 2
-HEAD_TAIL_BYTES = 1 << 20
-UNREADABLE = "unreadable"
 
 RANGE_PEAKS = 65_536
 FORMAT_EXTENSIBLE, FORMAT_PCM = 0xFFFE, 1
@@ -117,31 +114,3 @@ def read_pcm(spark: SparkSession, path: str, range_peaks: int = RANGE_PEAKS) ->
         )
     )
     return _spread(ranges, "source", "at").mapInPandas(peaks, "source string, bucket bigint, peak double")
-
-
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Identity of files: ``path``, ``size``, ``mtime``, ``head_tail_hash``.
-
-    The hash is SHA-256 of the first and the last 1 MiB, which is all that is read; a
-    small file is hashed twice over. A file that cannot be read gets a marker.
-    """
-
-    def identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes = []
-            for name, size in zip(batch["path"], batch["size"]):
-                try:
-                    with _opened(name) as stream:
-                        edge = min(size, HEAD_TAIL_BYTES)
-                        head, tail = stream.read_at(edge, 0), stream.read_at(edge, size - edge)
-                    hashes.append(hashlib.sha256(head + tail).hexdigest())
-                except OSError:
-                    hashes.append(UNREADABLE)
-            yield batch.assign(head_tail_hash=hashes)
-
-    files = _listed(spark, path).select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
-    )
-    return _spread(files, "path").mapInPandas(
-        identify, "path string, size bigint, mtime timestamp, head_tail_hash string"
-    )

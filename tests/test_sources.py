@@ -1,4 +1,3 @@
-import hashlib
 import json
 import os
 import struct
@@ -114,17 +113,6 @@ def test_read_pcm(spark, scratch):
             assert [peaks[i] for i in range(22)] == want
 
 
-def test_file_inventory(spark, scratch):
-    small, large = b"abc", os.urandom(3 << 20)
-    put(scratch, "s", small), put(scratch, "l", large)
-    got = {os.path.basename(r["path"]): (r["size"], r["head_tail_hash"]) for r in files.file_inventory(spark, scratch).collect()}
-    edge = 1 << 20
-    assert got == {
-        "s": (3, hashlib.sha256(small + small).hexdigest()),
-        "l": (3 << 20, hashlib.sha256(large[:edge] + large[-edge:]).hexdigest()),
-    }
-
-
 def test_interval_cache(spark, scratch):
     path = os.path.join(scratch, "cache")
     config = {"threshold": -30, "min_silence": 2, "margin": 0.5}
