@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lullmap.bindings.common import (
@@ -395,6 +396,35 @@ def stream_resume(spark, sf):
     return before.unionByName(run_through(detect(later, initial_state=known)))
 
 
+@query(
+    "stream_hooks",
+    with_(
+        S,
+        sql_quiet(close=False),
+        then=f"SELECT user_id, start_us + {ORIGIN} AS start_us, end_us + {ORIGIN} AS end_us FROM quiet",
+    ),
+)
+def stream_hooks(spark, sf):
+    """Quiet intervals through a hook per batch, whose first try fails after it has written."""
+    from lullmap.streaming.detect import stream_quiet
+    from lullmap.streaming.hooks import read_once, written_once
+
+    folder, saved = new_folder(spark, "stream-once"), new_folder(spark, "stream-state")
+    quiet = stream_quiet(event_stream(spark, sf), USER, "ts", "value", THRESHOLD, MIN_LEN)
+
+    def fail(batch, number):
+        raise RuntimeError("not this time")
+
+    for hook in (fail, None):
+        q = written_once(quiet, folder, "quiet", hook).option("checkpointLocation", saved).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if hook is None:
+                raise
+    return read_once(spark, folder, quiet.schema).drop("query", "batch")
+
+
 @query(
     "stream_sessions",
     with_(

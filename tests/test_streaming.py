@@ -198,3 +198,41 @@ def test_resume_from_stored_probes(spark, scratch, stop):
     got += [(int(r.source), r.start_us, r.end_us) for r in before.collect()]
     whole = spark.createDataFrame([r[:3] for b in batches for r in b], "k long, at long, v double")
     assert sorted(got) == sorted((r.k, r.start_us, r.end_us) for r in detect_quiet(whole, ["k"], "at", "v", 1.0, 5 * S).collect())
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_batches_are_written_once(spark, scratch, late):
+    """A hook fails in the second batch, before or after it is stored; the restarted query has no row twice."""
+    from pyspark.errors import StreamingQueryException
+
+    from lullmap.streaming.hooks import read_once, written_once
+
+    src, state, out = (os.path.join(scratch, x) for x in ("in", "state", "out"))
+    os.mkdir(src)
+    for n in range(3):
+        feed(src, n, [(k, n * S, float(k), None) for k in range(5)])
+    rows = stream(spark, src).select("k", "at")
+    tries = []
+
+    def hook(batch, number):
+        tries.append((number, batch.count()))
+        if number == 1 and [n for n, _ in tries].count(1) == 1:
+            raise RuntimeError("stopped here")
+
+    for expected in (True, False):
+        q = written_once(rows, out, "q", hook).option("checkpointLocation", state).start()
+        try:
+            q.processAllAvailable()
+            assert not expected
+        except StreamingQueryException:
+            assert expected
+            got = read_once(spark, out, rows.schema)
+            assert sorted({r.batch for r in got.collect()}) == [0]
+        finally:
+            q.stop()
+        if late:
+            # What a try that never came to its ledger left behind is not read.
+            spark.range(3).selectExpr("id AS k", "id AS at").write.parquet(f"{out}/rows/query=q/batch=7{int(expected)}")
+    assert tries == [(0, 5), (1, 5), (1, 5), (2, 5)]
+    got = sorted((r.k, r.at) for r in read_once(spark, out, rows.schema).collect())
+    assert got == sorted((k, n * S) for n in range(3) for k in range(5))
