@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ UNKNOWN = "und"
 # Bits of a table of hashes that may be frequent; more hashes only make it less sharp.
 TABLE_BITS = 26
 # Bytes of phrases in one trie; a trie has no more nodes than that.
-TRIE_BYTES = 1 << 23
+TRIE_BYTES = 1 << 22
 # Tries that a task walks its texts through in one pass.
 TRIES_AT_ONCE = 4
 # Different hashes that a task holds before it hands on what it has counted.
@@ -79,13 +80,13 @@ def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def possible(found: Words, k: int, tables: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def possible(found: Words, k: int, tables: dict[int, Broadcast]) -> tuple[np.ndarray, np.ndarray]:
     """Places of phrases of ``k`` words all of whose tabled parts may be frequent, and their hashes."""
     h, fits = found.grams(k)
     n, fits = len(h), fits.copy()
     for part, bits in tables.items():
         if part <= k:
-            own = in_table(bits, found.grams(part)[0])
+            own = in_table(bits.value, found.grams(part)[0])
             for i in range(k - part + 1):
                 fits &= own[i : i + n]
     place = np.flatnonzero(fits)
@@ -128,7 +129,7 @@ def found_words(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
         yield Words(data, offsets, langs[at:end]), langs[at:end]
 
 
-def counted(texts: DataFrame, k: int, tables: dict[int, np.ndarray]) -> DataFrame:
+def counted(texts: DataFrame, k: int, tables: dict[int, Broadcast]) -> DataFrame:
     """key, n: how often a hash of ``k`` words stands in the texts, where its parts may be frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
     tables, frequent = {}, []
     for k in range(1, most + 1):
         got = stored(counted(texts, k, tables).filter(F.col("n") >= least).select("key"), "frequent")
-        tables[k] = bit_table(got)
+        tables[k] = texts.sparkSession.sparkContext.broadcast(bit_table(got))
         if k > 1:
             frequent.append(got)
 
@@ -187,6 +188,8 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
     keys = functools.reduce(DataFrame.union, frequent)
     told = texts.mapInArrow(tell, "key long, lang string, phrase string").join(keys, "key", "left_semi")
     phrases = stored(told.select("lang", "phrase").distinct(), "told")
+    for table_ in tables.values():
+        table_.destroy()
     own = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
     return phrases.union(own).distinct()
 
@@ -346,11 +349,12 @@ def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BY
         sent = []
         for i in range(first, min(first + TRIES_AT_ONCE, tries)):
             for row in built.filter(F.col("block") == i).collect():
-                sent.append(spark.sparkContext.broadcast((i, bytes(row["base"]), bytes(row["check"]), row["size"])))
+                sent.append(spark.sparkContext.broadcast((i, row["base"], row["check"], row["size"])))
+            row = None
         shards = texts.mapInArrow(_walker(sent), "block int, number int, f long")
         parts.append(stored(shards.groupBy("block", "number").agg(F.sum("f").alias("f")), "counts"))
         for own in sent:
-            own.unpersist()
+            own.destroy()
     if not parts:
         return wanted.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
     return wanted.join(functools.reduce(DataFrame.union, parts), ["block", "number"]).select("lang", "phrase", "f")
