@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullmap.plans.blocks import Blocks, pick_blocks, positions
+from lullmap.plans.blocks import Blocks, pick_blocks, positions, spread_join
 
 # Fixed values of the catalogue model.
 SORTS = ("date", "duration", "views")
@@ -147,7 +147,7 @@ def select_positions(
     return picked.filter(fits.isNull()).filter(wanted).drop("__reached", "__all")
 
 
-def catalog_order(df: DataFrame, key: str, by: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+def catalog_order(df: DataFrame, key: str, by: Sequence[str], blocks: Blocks) -> tuple[DataFrame, list[Column]]:
     """Order columns of a sort key; dates may need a look at the whole listing first."""
     if key not in SORTS:
         raise ValueError(f"unknown sort {key!r}, expected one of {SORTS}")
@@ -157,7 +157,7 @@ def catalog_order(df: DataFrame, key: str, by: Sequence[str]) -> tuple[DataFrame
         return df, [F.desc_nulls_last("view_count"), F.asc("pos")]
     dated = df.groupBy(*by).agg(F.max(F.col("ts").isNotNull()).alias("__dated"))
     number = F.regexp_extract("video_id", r"^v?(\d+)$", 1)
-    return df.join(dated, list(by)), [
+    return spread_join(df, dated, by) if blocks.cols else df.join(dated, list(by)), [
         F.when(F.col("__dated"), F.col("ts")).desc_nulls_last(),
         # Without dates a higher number is newer; ids that are no number come first, as listed.
         F.when(~F.col("__dated") & (number != ""), number.cast("double")).desc_nulls_first(),
@@ -172,8 +172,8 @@ def sort_catalog(
 
     Adds ``rank``, the 1-based place in the listing; equal rows keep their ``pos`` order.
     """
-    ready, order = catalog_order(df, key, by)
     blocks = blocks or pick_blocks(df, by)
+    ready, order = catalog_order(df, key, by, blocks)
     return positions(ready, by, order, blocks, "rank").drop("__dated")
 
 
@@ -249,7 +249,7 @@ def expand_queue(
     """
     shown = glob_filter(catalog, "title", glob) if glob else catalog
     shown = meta_filter(shown, min_duration, since)
-    ready, order = catalog_order(shown, sort, ["listing"])
+    ready, order = catalog_order(shown, sort, ["listing"], pick_blocks(shown, ["listing"]))
     picks = select_positions(ready, spec, order, ["listing"], strict=False)
     listings = catalog.select(F.col("listing").alias("entry")).distinct()
     expanded = queue.join(
