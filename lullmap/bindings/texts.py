@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lullmap.bindings.common import query, table
-from lullmap.functions import urls
 from lullmap.operators import text
 
 CANONICAL = r"""c AS (SELECT page_id, url, regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
