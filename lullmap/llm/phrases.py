@@ -186,8 +186,9 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
                     yield pa.RecordBatch.from_arrays(cols, ["key", "lang", "phrase"])
 
     keys = functools.reduce(DataFrame.union, frequent)
-    told = texts.mapInArrow(tell, "key long, lang string, phrase string").join(keys, "key", "left_semi")
-    phrases = stored(told.select("lang", "phrase").distinct(), "told")
+    # What tasks tell alike is one row before it meets the frequent hashes.
+    told = texts.mapInArrow(tell, "key long, lang string, phrase string").distinct()
+    phrases = stored(told.join(keys, "key", "left_semi").select("lang", "phrase").distinct(), "told")
     for table_ in tables.values():
         table_.destroy()
     own = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
