@@ -52,6 +52,9 @@ class Words:
         self.text = np.repeat(np.arange(len(langs)), np.diff(first))
         self.per_text = np.diff(first)
         self.hash = h + np.array([_salt(x) for x in langs], np.uint64)[self.text]
+        # A class of each text, the same wherever the text lies.
+        sums = np.append(np.uint64(0), np.cumsum(self.hash))
+        self.owner = (mixed(sums[first[1:]] - sums[first[:-1]]) >> np.uint64(48)).astype(np.int32)
         piece = np.cumsum(_BREAK[data])[start] + self.text if len(start) else np.empty(0, np.int64)
         self.same = np.append(piece[1:] == piece[:-1], False)[: len(start)]
         size = end - start + 1
@@ -94,31 +97,37 @@ def possible(found: Words, k: int, tables: dict[int, Broadcast]) -> tuple[np.nda
 
 
 class Tally:
-    """Counts of hashes, kept sorted and small."""
+    """Counts of hashes and the class of a text that holds each, kept sorted and small."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, h: np.ndarray) -> None:
-        own = np.unique(h, return_counts=True)
+    def add(self, h: np.ndarray, owner: np.ndarray) -> None:
+        keys, first, counts = np.unique(h, return_index=True, return_counts=True)
+        own = keys, counts, owner[first]
         self.parts.append(own)
         self.size += len(own[0])
         if self.size > 2 * HELD:
             self.parts = [self.total()]
             self.size = len(self.parts[0][0])
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, place = np.unique(np.concatenate([h for h, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(place, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        keys, counts, owners = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        if not len(first):
+            return keys, counts, owners
+        return keys[first], np.add.reduceat(counts[order], first), owners[order[first]]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        keys, counts = self.total()
+        keys, counts, owners = self.total()
         for i in range(0, len(keys), 100_000):
-            part = [pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])]
-            yield pa.RecordBatch.from_arrays(part, ["key", "n"])
+            part = [keys[i : i + 100_000].view(np.int64), counts[i : i + 100_000], owners[i : i + 100_000]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, part)), ["key", "n", "owner"])
         self.__init__()
 
 
@@ -130,18 +139,26 @@ def found_words(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
 
 
 def counted(texts: DataFrame, k: int, tables: dict[int, Broadcast]) -> DataFrame:
-    """key, n: how often a hash of ``k`` words stands in the texts, where its parts may be frequent."""
+    """key, n, owner: how often a hash of ``k`` words stands in the texts, where its parts may be
+    frequent, and the class of a text that holds it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
             for found, _ in found_words(batch):
-                tally.add(possible(found, k, tables)[1])
+                place, h = possible(found, k, tables)
+                tally.add(h, found.owner[found.text[place]])
                 if tally.size > HELD:
                     yield from tally.rows()
         yield from tally.rows()
 
-    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(count, "key long, n long, owner int")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
+
+
+def owned(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The hashes with the class of a text in their upper bits."""
+    return h ^ (owner.astype(np.uint64) << np.uint64(48))
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -158,14 +175,18 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
     """lang, phrase: every phrase of two to ``most`` words that stands ``least`` times, and its words.
 
     Level by level: a phrase is counted only where all its parts may be frequent, by a hash of
-    64 bits, so that its count is never too low and no frequent phrase is left out.
+    64 bits, so that its count is never too low and no frequent phrase is left out. The words of
+    a frequent hash are told by the texts of one class that holds it, not by every task.
     """
     tables, frequent = {}, []
     for k in range(1, most + 1):
-        got = stored(counted(texts, k, tables).filter(F.col("n") >= least).select("key"), "frequent")
+        got = stored(counted(texts, k, tables).filter(F.col("n") >= least).select("key", "owner"), "frequent")
         tables[k] = texts.sparkSession.sparkContext.broadcast(bit_table(got))
         if k > 1:
             frequent.append(got)
+    keys = functools.reduce(DataFrame.union, frequent)
+    told_by = keys.select(F.col("key").bitwiseXOR(F.shiftleft(F.col("owner").cast("long"), 48)).alias("key"))
+    tellers = texts.sparkSession.sparkContext.broadcast(bit_table(told_by))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Hashes told before, by their low bits; one that displaced another is told again, no harm.
@@ -175,7 +196,7 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
             for found, langs in found_words(batch):
                 for k in range(2, most + 1):
                     place, h = possible(found, k, tables)
-                    new = seen[slot(h)] != h
+                    new = in_table(tellers.value, owned(h, found.owner[found.text[place]])) & (seen[slot(h)] != h)
                     h, first = np.unique(h[new], return_index=True)
                     place = place[new][first]
                     seen[slot(h)] = h
@@ -185,11 +206,10 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
                     cols = [pa.array(h.view(np.int64)), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string())]
                     yield pa.RecordBatch.from_arrays(cols, ["key", "lang", "phrase"])
 
-    keys = functools.reduce(DataFrame.union, frequent)
     # What tasks tell alike is one row before it meets the frequent hashes.
     told = texts.mapInArrow(tell, "key long, lang string, phrase string").distinct()
     phrases = stored(told.join(keys, "key", "left_semi").select("lang", "phrase").distinct(), "told")
-    for table_ in tables.values():
+    for table_ in [*tables.values(), tellers]:
         table_.destroy()
     own = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
     return phrases.union(own).distinct()
