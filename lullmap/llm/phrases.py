@@ -97,37 +97,41 @@ def possible(found: Words, k: int, tables: dict[int, Broadcast]) -> tuple[np.nda
 
 
 class Tally:
-    """Counts of hashes and the class of a text that holds each, kept sorted and small."""
+    """Counts of hashes and, where told, the class of a text that holds each, kept sorted and small."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, owner: np.ndarray) -> None:
-        keys, first, counts = np.unique(h, return_index=True, return_counts=True)
-        own = keys, counts, owner[first]
+    def add(self, h: np.ndarray, owner: np.ndarray | None = None) -> None:
+        if owner is None:
+            own = np.unique(h, return_counts=True)
+        else:
+            keys, first, counts = np.unique(h, return_index=True, return_counts=True)
+            own = keys, counts, owner[first]
         self.parts.append(own)
         self.size += len(own[0])
         if self.size > 2 * HELD:
             self.parts = [self.total()]
             self.size = len(self.parts[0][0])
 
-    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def total(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
-        keys, counts, owners = (np.concatenate(x) for x in zip(*self.parts))
+        keys, counts, *owners = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         if not len(first):
-            return keys, counts, owners
-        return keys[first], np.add.reduceat(counts[order], first), owners[order[first]]
+            return keys, counts, *owners
+        return keys[first], np.add.reduceat(counts[order], first), *(x[order[first]] for x in owners)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        keys, counts, owners = self.total()
+        columns = self.total()
+        keys = columns[0].view(np.int64)
         for i in range(0, len(keys), 100_000):
-            part = [keys[i : i + 100_000].view(np.int64), counts[i : i + 100_000], owners[i : i + 100_000]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, part)), ["key", "n", "owner"])
+            part = [x[i : i + 100_000] for x in (keys, *columns[1:])]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, part)), ["key", "n", "owner"][: len(part)])
         self.__init__()
 
 

@@ -90,6 +90,19 @@ def test_double_array_trie_holds_what_it_was_given():
     assert phrases.Trie.of([], np.empty(0)).walk(b"a") == -1
 
 
+@pytest.mark.parametrize("owned", [False, True])
+def test_tally_counts_with_and_without_owners(owned):
+    tally, rng = phrases.Tally(), np.random.default_rng(4)
+    parts = [rng.integers(0, 50, n).astype(np.uint64) for n in (200, 0, 90)]
+    for h in parts:
+        tally.add(h, *[(h * 2).astype(np.int32)] * owned)
+    got = [r for batch in tally.rows() for r in batch.to_pylist()]
+    keys, n = np.unique(np.concatenate(parts), return_counts=True)
+    own = [{"owner": 2 * k} if owned else {} for k in keys.tolist()]
+    assert got == [{"key": k, "n": m} | o for k, m, o in zip(keys.tolist(), n.tolist(), own)]
+    assert not list(tally.rows())
+
+
 def collocation_rows(rows, **more):
     return sorted(brute.collocations(rows, **more))
 
