@@ -19,6 +19,7 @@ from lullmap.plans.blocks import Blocks, carry, ordered, pick_blocks, positions
 # Fixed values of the formats.
 LISTING_SEPARATOR, LISTING_FIELDS = "::", 5
 PROGRESS_PREFIX, PROGRESS_FIELDS = "progress|", 5
+TAG_END = "\t"
 NUMBER = r"(-?\d+(?:[.,]\d+)?)"
 QUIET_START, QUIET_END = rf"silence_start:\s*{NUMBER}", rf"silence_end:\s*{NUMBER}"
 LOG_VERSION = 1
@@ -71,18 +72,34 @@ def parse_listing(
     )
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
+def file_lines(spark: SparkSession, path: str, tagged: bool = False) -> DataFrame:
     """``source``, ``line`` and two columns that order the lines of a file.
 
     A large file is read in splits by several tasks: a line's place is its split's offset
-    and, within the split, the order in which it was read.
+    and, within the split, the order in which it was read. The source is the file, or in
+    ``tagged`` files what ``write_tagged_lines`` put before each line; lines without are left out.
     """
-    return spark.read.text(path).select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("split_line"),
         F.col("value").alias("line"),
     )
+    if not tagged:
+        return lines
+    end = F.instr("line", TAG_END)
+    tag = F.url_decode(F.substring_index("line", TAG_END, 1))
+    return lines.filter(end > 0).withColumns({"source": tag, "line": F.col("line").substr(end + 1, F.length("line"))})
+
+
+def write_tagged_lines(df: DataFrame, source: str, order: Sequence[str], line: str, path: str) -> None:
+    """Lines as text files that hold many sources each, so that files follow the size and not the sources.
+
+    Every line is led by its source, URL-encoded, and a tab; the lines of a source stand in one file, by ``order``.
+    """
+    tag = F.url_encode(F.col(source).cast("string"))
+    placed = df.repartition(source).sortWithinPartitions(source, *order)
+    placed.select(F.concat(tag, F.lit(TAG_END), line).alias("value")).write.text(path)
 
 
 LINE_ORDER = ["split_start", "split_line"]
@@ -198,9 +215,11 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return parse_queue(numbered_lines(spark, path))
 
 
-def read_progress(spark: SparkSession, path: str, prefix: str = PROGRESS_PREFIX) -> DataFrame:
+def read_progress(
+    spark: SparkSession, path: str, prefix: str = PROGRESS_PREFIX, tagged: bool = False
+) -> DataFrame:
     """Transfer progress of log files, with the columns that order the lines of a file."""
-    return parse_progress(file_lines(spark, path), "line", ["source", *LINE_ORDER], prefix)
+    return parse_progress(file_lines(spark, path, tagged), "line", ["source", *LINE_ORDER], prefix)
 
 
 def read_quiet_log(

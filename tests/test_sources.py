@@ -79,6 +79,32 @@ def test_quiet_log(spark, scratch):
     assert at(ends) == at(None) + [(8_000_000, 10_000_000)]
 
 
+def test_tagged_lines_of_many_sources(spark, scratch):
+    """Files follow the size, not the sources; tags may hold anything, and other lines may hold tabs."""
+    names = [f"user {i}" for i in range(200)] + ["a\tb", "é/=%2B+", ""]
+    rows = [(n, i, f"progress|{i}|NA|{len(n)}|1|\t2" if i % 2 else f"x\ty{i}") for n in names for i in range(9, -1, -1)]
+    path = os.path.join(scratch, "tagged")
+    lines.write_tagged_lines(spark.createDataFrame(rows, "name string, i int, line string"), "name", ["i"], "line", path)
+    assert sum(f.startswith("part") for f in os.listdir(path)) <= 8
+    put(path, "other.txt", "progress|1|2|3|4|5\n")
+    got = {}
+    for r in lines.file_lines(spark, path, tagged=True).orderBy(*lines.LINE_ORDER).collect():
+        got.setdefault(r["source"], []).append(r["line"])
+    assert got == {n: [line for m, _, line in reversed(rows) if m == n] for n in names}
+    found = lines.read_progress(spark, path, tagged=True).orderBy(*lines.LINE_ORDER).collect()
+    assert [r["downloaded_bytes"] for r in found if r["source"] == "a\tb"] == [1.0, 3.0, 5.0, 7.0, 9.0]
+
+
+@pytest.mark.parametrize("name", ["read_progress"])
+def test_logs_of_many_users_take_few_files(spark, sf, monkeypatch, name):
+    from lullmap.bindings import QUERIES, sourcing
+
+    made = []
+    monkeypatch.setattr(sourcing, "new_folder", lambda *a, own=sourcing.new_folder: made.append(own(*a)) or made[-1])
+    QUERIES[name](spark, sf)
+    assert sum(f.startswith("part") for _, _, names in os.walk(made[0]) for f in names) <= 8
+
+
 def test_json_logs(spark, scratch):
     put(scratch, "l.json", '{"ts": "t", "level": "INFO", "msg": "m", "v": 1, "bytes": 5}\nnot json\n')
     rows = lines.read_json_logs(spark, scratch).orderBy("level").collect()
