@@ -223,10 +223,10 @@ def read_progress(
 
 
 def read_quiet_log(
-    spark: SparkSession, path: str, ends: DataFrame | None = None
+    spark: SparkSession, path: str, ends: DataFrame | None = None, tagged: bool = False
 ) -> DataFrame:
-    """Intervals of detector logs, keyed by ``source`` file."""
-    return parse_quiet_log(file_lines(spark, path), ["source"], LINE_ORDER, "line", ends)
+    """Intervals of detector logs, keyed by ``source``: the file, or the tag of the lines."""
+    return parse_quiet_log(file_lines(spark, path, tagged), ["source"], LINE_ORDER, "line", ends)
 
 
 def read_json_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -95,7 +95,16 @@ def test_tagged_lines_of_many_sources(spark, scratch):
     assert [r["downloaded_bytes"] for r in found if r["source"] == "a\tb"] == [1.0, 3.0, 5.0, 7.0, 9.0]
 
 
-@pytest.mark.parametrize("name", ["read_progress"])
+def test_tagged_quiet_log(spark, scratch):
+    marks = ["silence_end: 1", "silence_start: 2", "frame", "silence_end: 3,5", "silence_start: 4"]
+    rows = [(f"s{k}", i, m) for k in range(50) for i, m in enumerate(marks)]
+    path = os.path.join(scratch, "tagged")
+    lines.write_tagged_lines(spark.createDataFrame(rows, "name string, i int, line string"), "name", ["i"], "line", path)
+    got = sorted(map(tuple, lines.read_quiet_log(spark, path, tagged=True).collect()))
+    assert got == sorted((f"s{k}", 2_000_000, 3_500_000) for k in range(50))
+
+
+@pytest.mark.parametrize("name", ["read_progress", "read_quiet_log"])
 def test_logs_of_many_users_take_few_files(spark, sf, monkeypatch, name):
     from lullmap.bindings import QUERIES, sourcing
 
