@@ -1,9 +1,9 @@
-"""Stable names for series and artifacts as column expressions."""
+"""Stable names for series and artifacts as columns."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -53,30 +53,38 @@ def _short(c: Column) -> Column:
     return F.substring(F.sha1(c), 1, HASH_LEN)
 
 
-def _safe(folded: Column, empty: str) -> Column:
-    kept = F.regexp_replace(F.regexp_replace(folded, UNSAFE, "_"), EDGES, "")
-    named = F.when(kept == "", F.lit(empty)).otherwise(kept)
-    return F.when(named.rlike(RESERVED), F.concat(F.lit("_"), named)).otherwise(named)
+def _canonical(df: DataFrame, raw: str, folded: str, out: str, empty: str, longest: int) -> DataFrame:
+    """Add a safe name of ``folded``, with a hash of ``raw`` when anything changed or the name is too long.
 
-
-def _capped(name: Column, longest: int) -> Column:
-    cut = F.concat(F.substring(name, 1, longest - HASH_LEN - 1), F.lit("_"), _short(name))
-    return F.when(F.length(name) > longest, cut).otherwise(name)
-
-
-def canonical_namespace(folded: Column) -> Column:
-    """Safe site name of an already folded text, hashed when anything was replaced."""
-    safe = _safe(folded, EMPTY_NAMESPACE)
-    marked = F.when(safe != folded, F.concat(safe, F.lit("_"), _short(folded))).otherwise(safe)
-    return _capped(marked, NAMESPACE_MAX)
-
-
-def canonical_stem(raw: Column, folded: Column) -> Column:
-    """Safe id of a text, hashed from the original when case or characters changed."""
-    safe = _safe(folded, EMPTY_STEM)
-    changed = (folded != raw) | (safe != folded)
-    marked = F.when(changed, F.concat(safe, F.lit("_"), _short(raw))).otherwise(safe)
-    return _capped(marked, STEM_MAX)
+    Each step is a column that the next ones use several times: nested in one expression, the
+    patterns would be copied for every use, more than compiled code can hold.
+    """
+    kept, named, safe, marked = map(F.col, ("__kept", "__named", "__safe", "__marked"))
+    steps = {
+        "__kept": F.regexp_replace(F.regexp_replace(folded, UNSAFE, "_"), EDGES, ""),
+        "__named": F.when(kept == "", F.lit(empty)).otherwise(kept),
+        "__safe": F.when(named.rlike(RESERVED), F.concat(F.lit("_"), named)).otherwise(named),
+        "__marked": F.when(
+            (F.col(folded) != F.col(raw)) | (safe != F.col(folded)), F.concat(safe, F.lit("_"), _short(F.col(raw)))
+        ).otherwise(safe),
+        out: F.when(
+            F.length(marked) > longest,
+            F.concat(F.substring(marked, 1, longest - HASH_LEN - 1), F.lit("_"), _short(marked)),
+        ).otherwise(marked),
+    }
+    for name, step in steps.items():
+        df = df.withColumn(name, step)
+    return df.drop("__kept", "__named", "__safe", "__marked")
+
+
+def canonical_namespace(df: DataFrame, folded: str, out: str) -> DataFrame:
+    """Add the safe site name of an already folded text, hashed when anything was replaced."""
+    return _canonical(df, folded, folded, out, EMPTY_NAMESPACE, NAMESPACE_MAX)
+
+
+def canonical_stem(df: DataFrame, raw: str, folded: str, out: str) -> DataFrame:
+    """Add the safe id of a text, hashed from the original when case or characters changed."""
+    return _canonical(df, raw, folded, out, EMPTY_STEM, STEM_MAX)
 
 
 def strip_run_suffix(c: Column) -> Column:

@@ -51,12 +51,17 @@ def with_identity(
     """Add the stable identity of a name: run suffix removed, made safe, namespaced."""
     stem = df.withColumn("__stem", names.strip_run_suffix(F.col(name)))
     stem = names.fold_non_ascii(stem, "__stem", "__folded", idna=False)
-    key = names.canonical_stem(F.col("__stem"), F.col("__folded"))
-    site: Column = F.lit(None).cast("string")
+    # Both are folded first: Spark joins all projections below a Python step into one expression.
     if namespace:
         stem = names.fold_non_ascii(stem, namespace, "__site", idna=True)
-        site = F.when(F.col(namespace) != "", names.canonical_namespace(F.col("__site")))
-    return stem.withColumn(out, names.identity_key(site, key)).drop("__stem", "__folded", "__site")
+    stem = names.canonical_stem(stem, "__stem", "__folded", "__key")
+    site: Column = F.lit(None).cast("string")
+    if namespace:
+        stem = names.canonical_namespace(stem, "__site", "__space")
+        site = F.when(F.col(namespace) != "", F.col("__space"))
+    return stem.withColumn(out, names.identity_key(site, F.col("__key"))).drop(
+        "__stem", "__folded", "__key", "__site", "__space"
+    )
 
 
 def identity_collisions(df: DataFrame, name: str, namespace: str | None = None) -> DataFrame:
@@ -77,10 +82,11 @@ def identity_collisions(df: DataFrame, name: str, namespace: str | None = None)
 def artifact_keys(df: DataFrame, path: str, out: str = "artifact") -> DataFrame:
     """Add ``<stem>_<hash>`` of a file path; equal stems in different folders stay apart."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
-    staged = df.withColumn("__stem", names.strip_run_suffix(stem))
+    staged = df.withColumn("__name", stem)
+    staged = staged.withColumn("__stem", names.strip_run_suffix(F.col("__name")))
     staged = names.fold_non_ascii(staged, "__stem", "__folded", idna=False)
-    key = names.canonical_stem(F.col("__stem"), F.col("__folded"))
-    return staged.withColumn(out, names.path_key(F.col(path), key)).drop("__stem", "__folded")
+    staged = names.canonical_stem(staged, "__stem", "__folded", "__key")
+    return staged.withColumn(out, names.path_key(F.col(path), F.col("__key"))).drop("__name", "__stem", "__folded", "__key")
 
 
 def with_failure_class(

@@ -84,6 +84,16 @@ def identities(spark, names, site=None):
     return [r["identity"] for r in text.with_identity(df, "name", "site").orderBy("i").collect()]
 
 
+def test_identity_applies_each_pattern_once(spark):
+    """The patterns stand once for each name in the plan: copied for every use they outgrow compiled code."""
+    df = spark.createDataFrame([("/d/a.mp4", "a b", "s")], "path string, name string, site string")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    unsafe = text.names.UNSAFE
+    assert plan(text.with_identity(df, "name", "site")).count(unsafe) == 2
+    assert plan(text.with_identity(df, "name")).count(unsafe) == 1
+    assert plan(text.artifact_keys(df, "path")).count(unsafe) == 1
+
+
 def test_identity(spark):
     import hashlib
 
