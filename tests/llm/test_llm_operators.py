@@ -242,6 +242,26 @@ def test_common_passages():
         at += len(t) + 1
 
 
+@pytest.mark.parametrize("few", [0, 4, 1 << 40])
+@pytest.mark.parametrize("least", [3, 8, 50])
+def test_common_passages_sorted_or_marked(monkeypatch, few, least):
+    """Rows of a transform are followed alike whether they are sorted, marked or both in turn."""
+    monkeypatch.setattr(suffixes, "FEW_ROWS", few)
+    rng = random.Random(least)
+    parts = ["".join(rng.choices("abc", k=60)) for _ in range(6)]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(4)))[rng.randrange(5) :].encode() for _ in range(50)] + [b"a" * 150, b""]
+    owners = np.array([rng.randrange(30) for _ in texts])
+    got, at = suffixes.common_passages(texts, owners, least), 0
+    starts = [range(max(0, len(t) - least + 1)) for t in texts]
+    held = collections.defaultdict(lambda: 99)
+    for t, o, own in zip(texts, owners, starts):
+        for i in own:
+            held[t[i : i + least]] = min(held[t[i : i + least]], o)
+    for t, own in zip(texts, starts):
+        assert [int(x) for x in got[at : at + len(own)]] == [held[t[i : i + least]] for i in own]
+        at += len(t) + 1
+
+
 # Quality and toxicity
 
 
