@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lullmap.llm.common import _LOWER, mixed, query, slices, stored, table, text_arrays, text_of, words
+from lullmap.llm.common import _LOWER, mixed, prefix_sums, query, slices, span_hash, stored, table, text_arrays, text_of
 
 LEAST = 10
 WORDS = 3
@@ -29,10 +29,13 @@ TRIES_AT_ONCE = 4
 # Different hashes that a task holds before it hands on what it has counted.
 HELD = 1 << 22
 
-_BREAK = np.zeros(256, bool)
-_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
-_APART = _BREAK.copy()
-_APART[[0x20, 0x09]] = True
+_BREAK = bytes([*b".,;:!?", *range(0x0A, 0x0E)])
+# Bytes as they stand in a phrase: A-Z lowered, what parts words a space, what parts pieces a line feed.
+_PLAIN = bytes(_LOWER).translate(bytes(0x0A if c in _BREAK else 0x20 if c == 0x09 else c for c in range(256)))
+# The bits of a word's last eight bytes or less, by their number.
+_OF_EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+# Words of more bytes are hashed together byte by byte, others in steps of eight.
+LONG_WORD = 64
 
 
 @functools.lru_cache(maxsize=4096)
@@ -40,33 +43,82 @@ def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as plain bytes, a line feed after each; start and end of the words there, first word of each text."""
+    plain = np.frombuffer(np.insert(data, offsets[1:], 0x0A).tobytes().translate(_PLAIN), np.uint8)
+    inside = (plain != 0x20) & (plain != 0x0A)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[:1].any():
+        edge = np.append(0, edge)
+    start, end = edge[::2], edge[1::2]
+    return plain, start, end, np.searchsorted(start, offsets + np.arange(len(offsets)))
+
+
+def word_hashes(plain: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word, the same wherever it stands."""
+    padded = np.append(plain, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(plain) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    which, at, left = np.flatnonzero(size <= LONG_WORD), start, size
+    if len(which) < len(size):
+        at, left = start[which], size[which]
+    own = h[which]
+    while len(which):
+        own = mixed((own ^ (eight[at] & _OF_EIGHT[np.minimum(left, 8)])) * np.uint64(0x9E3779B97F4A7C15))
+        h[which] = own
+        more = np.flatnonzero(left > 8)
+        which, at, left, own = which[more], at[more] + 8, left[more] - 8, own[more]
+    many = np.flatnonzero(size > LONG_WORD)
+    if len(many):
+        after = np.cumsum(size[many])
+        begin = after - size[many]
+        data = plain[np.arange(after[-1]) + np.repeat(start[many] - begin, size[many])]
+        h[many] = span_hash(prefix_sums(data), begin, after)
+    return h
+
+
 class Words:
-    """The words of a slice of texts: salted hashes, the piece each lies in, and a buffer of them.
+    """The words of a slice of texts: salted hashes, which are followed by one of their piece, and a buffer of them.
 
     In the buffer words stand in order, followed by a space, or by a line feed at the end of a
     piece; so a phrase is a stretch of the buffer.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: list[str]):
-        start, end, h, first = words(data, offsets, _APART)
-        self.text = np.repeat(np.arange(len(langs)), np.diff(first))
-        self.per_text = np.diff(first)
-        self.hash = h + np.array([_salt(x) for x in langs], np.uint64)[self.text]
-        # A class of each text, the same wherever the text lies.
-        sums = np.append(np.uint64(0), np.cumsum(self.hash))
-        self.owner = (mixed(sums[first[1:]] - sums[first[:-1]]) >> np.uint64(48)).astype(np.int32)
-        piece = np.cumsum(_BREAK[data])[start] + self.text if len(start) else np.empty(0, np.int64)
-        self.same = np.append(piece[1:] == piece[:-1], False)[: len(start)]
-        size = end - start + 1
-        self.after = np.cumsum(size) - 1
-        self.begin = self.after - size + 1
-        self.buffer = np.empty(int(size.sum()), np.uint8)
-        inside = np.ones(len(self.buffer), bool)
-        inside[self.after] = False
-        self.buffer[inside] = _LOWER[data[~_APART[data]]]
-        self.buffer[self.after] = np.where(self.same, 0x20, 0x0A)
+        self.plain, self.start, self.end, self.first = word_edges(data, offsets)
+        self.text = np.repeat(np.arange(len(langs)), np.diff(self.first))
+        salts = np.array([_salt(x) for x in langs], np.uint64)
+        self.hash = word_hashes(self.plain, self.start, self.end) + salts[self.text]
+        # A line feed, one ends each text too, parts the words around it.
+        after = np.searchsorted(self.start, np.flatnonzero(self.plain == 0x0A))
+        self.same = np.ones(len(self.start), bool)
+        self.same[after[after > 0] - 1] = False
         self.made = {1: (self.hash, np.ones(len(self.hash), bool))}
 
+    @functools.cached_property
+    def owner(self) -> np.ndarray:
+        """A class of each text, the same wherever the text lies."""
+        sums = np.append(np.uint64(0), np.cumsum(self.hash))
+        return (mixed(sums[self.first[1:]] - sums[self.first[:-1]]) >> np.uint64(48)).astype(np.int32)
+
+    @functools.cached_property
+    def after(self) -> np.ndarray:
+        return np.cumsum(self.end - self.start + 1) - 1
+
+    @functools.cached_property
+    def begin(self) -> np.ndarray:
+        return self.after - (self.end - self.start)
+
+    @functools.cached_property
+    def buffer(self) -> np.ndarray:
+        # Each word and the byte after it.
+        kept = (self.plain != 0x20) & (self.plain != 0x0A)
+        kept[self.end] = True
+        buffer = self.plain[kept]
+        buffer[self.after] = np.where(self.same, 0x20, 0x0A)
+        return buffer
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``k`` words from each place, and where they lie in one piece."""
         if k not in self.made:
@@ -107,8 +159,11 @@ class Tally:
         if owner is None:
             own = np.unique(h, return_counts=True)
         else:
-            keys, first, counts = np.unique(h, return_index=True, return_counts=True)
-            own = keys, counts, owner[first]
+            # Any text's class will do, so the order among equal hashes is left open.
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            own = h[first], np.diff(np.append(first, len(h))), owner[order[first]]
         self.parts.append(own)
         self.size += len(own[0])
         if self.size > 2 * HELD:
@@ -210,9 +265,10 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
                     cols = [pa.array(h.view(np.int64)), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string())]
                     yield pa.RecordBatch.from_arrays(cols, ["key", "lang", "phrase"])
 
-    # What tasks tell alike is one row before it meets the frequent hashes.
-    told = texts.mapInArrow(tell, "key long, lang string, phrase string").distinct()
-    phrases = stored(told.join(keys, "key", "left_semi").select("lang", "phrase").distinct(), "told")
+    # What tasks tell alike is one row before it meets the frequent hashes, dealt by hash for both;
+    # a phrase has one hash, so it stays one row.
+    told = texts.mapInArrow(tell, "key long, lang string, phrase string").repartition("key").distinct()
+    phrases = stored(told.join(keys, "key", "left_semi").select("lang", "phrase"), "told")
     for table_ in [*tables.values(), tellers]:
         table_.destroy()
     own = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
@@ -349,55 +405,87 @@ def _placed(parent: np.ndarray, code: np.ndarray, nodes: int) -> tuple[np.ndarra
 def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """lang, phrase, f: how often each wanted phrase stands in the texts, overlaps included.
 
-    The phrases are dealt by hash into as many tries as keep each within ``trie_bytes`` of
-    text. Tries are built by tasks, a few at once are broadcast, and every task walks its texts
-    through them and hands on the counts of its shard, which are summed.
+    The phrases are dealt by their first word into as many tries as keep each at about
+    ``trie_bytes`` of text; those of a first word with too much of that are dealt by hash over
+    all tries. Tries are built by tasks, a few at once are broadcast, and every task walks the
+    places of its texts through the trie of their word, or through all, and hands on the counts
+    of its shard, which are summed.
     """
     spark = texts.sparkSession
+    headed = stored(wanted.select("lang", "phrase").mapInArrow(_with_heads, "lang string, phrase string, head long"), "phrases")
     size = F.octet_length("phrase") + F.octet_length("lang") + 2
-    total = wanted.agg(F.sum(size)).first()[0] or 0
-    tries = -(-total // trie_bytes)
-    block = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(tries, 1))).cast("int")
-    number = (F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1).alias("number")
-    wanted = stored(wanted.withColumn("block", block).select("*", number), "phrases")
+    heads = headed.groupBy("head").agg(F.sum(size).alias("bytes"))
+    large = F.collect_list(F.when(F.col("bytes") > trie_bytes // 8, F.col("head")))
+    total, large = heads.agg(F.sum("bytes"), large).first()
+    tries = -(-(total or 0) // trie_bytes)
+    if not tries:
+        return wanted.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
+    # As numbers_of() has it.
+    block = F.pmod(F.shiftrightunsigned("head", 1), F.lit(tries))
+    if large:
+        block = F.when(F.col("head").isin(large), F.pmod(F.xxhash64("lang", "phrase"), F.lit(tries))).otherwise(block)
 
     def build(rows: pa.Table) -> pa.Table:
+        """The phrases with their numbers, and a row with their trie."""
         langs, phrases = rows["lang"].to_pylist(), rows["phrase"].to_pylist()
-        made = Trie.of([f"{x}\n{p}".encode() for x, p in zip(langs, phrases)], rows["number"].to_numpy())
-        row = [rows["block"][0].as_py(), made.base.tobytes(), made.check.tobytes(), len(rows)]
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.table([pa.array([v], t) for v, t in zip(row, types)], ["block", "base", "check", "size"])
-
-    built = stored(wanted.groupBy("block").applyInArrow(build, "block int, base binary, check binary, size long"), "tries")
+        number = np.arange(len(rows), dtype=np.int32)
+        made = Trie.of([f"{x}\n{p}".encode() for x, p in zip(langs, phrases)], number)
+        phrases = rows.select(["block", "lang", "phrase"]).append_column("number", pa.array(number))
+        row = {"block": rows["block"][:1], "number": pa.array([len(rows)], pa.int32())}
+        row |= {"base": pa.array([made.base.tobytes()], pa.binary()), "check": pa.array([made.check.tobytes()], pa.binary())}
+        return pa.concat_tables([phrases, pa.table(row)], promote_options="default").select(names)
+
+    names = ["block", "number", "lang", "phrase", "base", "check"]
+    schema = "block int, number int, lang string, phrase string, base binary, check binary"
+    built = headed.select(block.cast("int").alias("block"), "lang", "phrase").groupBy("block").applyInArrow(build, schema)
+    built = stored(built, "tries")
     parts = []
     for first in range(0, tries, TRIES_AT_ONCE):
         sent = []
         for i in range(first, min(first + TRIES_AT_ONCE, tries)):
-            for row in built.filter(F.col("block") == i).collect():
-                sent.append(spark.sparkContext.broadcast((i, row["base"], row["check"], row["size"])))
+            for row in built.filter((F.col("block") == i) & F.col("base").isNotNull()).select("base", "check", "number").collect():
+                sent.append(spark.sparkContext.broadcast((i, row["base"], row["check"], row["number"])))
             row = None
-        shards = texts.mapInArrow(_walker(sent), "block int, number int, f long")
+        shards = texts.mapInArrow(_walker(sent, tries, large), "block int, number int, f long")
         parts.append(stored(shards.groupBy("block", "number").agg(F.sum("f").alias("f")), "counts"))
         for own in sent:
             own.destroy()
-    if not parts:
-        return wanted.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
-    return wanted.join(functools.reduce(DataFrame.union, parts), ["block", "number"]).select("lang", "phrase", "f")
+    phrases = built.filter(F.col("phrase").isNotNull()).select("block", "number", "lang", "phrase")
+    return phrases.join(functools.reduce(DataFrame.union, parts), ["block", "number"]).select("lang", "phrase", "f")
+
+
+def _with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase and the hash of the phrase's first word."""
+    for batch in batches:
+        heads = [found.hash[found.first[:-1]] for found, _ in found_words(batch)]
+        head = np.concatenate(heads) if heads else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head.view(np.int64))], ["lang", "phrase", "head"])
+
 
+def numbers_of(heads: np.ndarray, tries: int, large: np.ndarray) -> np.ndarray:
+    """The trie that has the phrases of each first word; -1 where all may have some."""
+    number = ((heads >> np.uint64(1)) % np.uint64(tries)).astype(np.int64)
+    if len(large):
+        number[large[np.minimum(np.searchsorted(large, heads), len(large) - 1)] == heads] = -1
+    return number
 
-def _walker(sent: list):
+
+def _walker(sent: list, count: int, large: list[int]):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = np.sort(np.array(large, np.int64).view(np.uint64))
         tries = []
         for block, base, check, size in (b.value for b in sent):
             trie = Trie(np.frombuffer(base, np.int32), np.frombuffer(check, np.int32))
             tries.append((block, trie, np.zeros(size, np.int64), {}))
         for batch in batches:
             for found, langs in found_words(batch):
-                for _, trie, sums, roots in tries:
+                own = numbers_of(found.hash, count, spread)
+                for block, trie, sums, roots in tries:
                     for x in set(langs) - roots.keys():
                         roots[x] = trie.walk(x.encode() + b"\n")
-                    state = np.array([roots[x] for x in langs], np.int64)[found.text]
-                    trie.count(found.buffer, found.begin, state, sums)
+                    place = np.flatnonzero((own == block) | (own < 0))
+                    state = np.array([roots[x] for x in langs], np.int64)[found.text[place]]
+                    trie.count(found.buffer, found.begin[place], state, sums)
         for block, _, sums, _ in tries:
             number = np.flatnonzero(sums)
             cols = [np.full(len(number), block, np.int32), number.astype(np.int32), sums[number]]
@@ -412,30 +500,37 @@ def word_totals(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, int] = {}
         for batch in batches:
-            for found, langs in found_words(batch):
-                for x, n in zip(langs, found.per_text.tolist()):
+            langs = batch.column(0).to_pylist()
+            for at, _, data, offsets in slices(*text_arrays(batch, 1)):
+                for x, n in zip(langs[at:], np.diff(word_edges(data, offsets)[3]).tolist()):
                     sums[x] = sums.get(x, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["lang", "n"])
 
     return texts.mapInArrow(count, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def scored(counts: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, phrase, size, a, l, r, score of phrases of two words and more, by their lowest-scoring cut."""
-    sizes = counts.withColumn("w", F.split("phrase", " ")).filter(F.col("f") >= least)
-    own = sizes.filter(F.size("w") > 1).select("lang", "phrase", "w", F.col("f").alias("a"))
+def frequent(counts: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, phrase, size, a: the phrases of two words and more that stand ``least`` times."""
+    size = F.size(F.split("phrase", " "))
+    return counts.filter(F.col("f") >= least).select("lang", "phrase", size.alias("size"), F.col("f").alias("a")).filter("size > 1")
+
+
+def scored(counts: DataFrame, least: int = LEAST, phrases: DataFrame | None = None) -> DataFrame:
+    """lang, phrase, size, a, l, r, score of ``phrases``, or all frequent ones, by their lowest-scoring cut."""
+    own = (frequent(counts, least) if phrases is None else phrases).withColumn("w", F.split("phrase", " "))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    cuts = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
+    cuts = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.select(
-        "lang", "phrase", F.size("w").alias("size"), "a", "k",
-        part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.size("w") - F.col("k")).alias("right"),
+        "lang", "phrase", "size", "a", "k",
+        part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"),
     )
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).drop("left")
+    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"]).drop("right")
     # Counts below 10**15, so a product of two and a million stays below 10**37.
     wide = lambda c: F.col(c).cast("decimal(15,0)")
     score = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (wide("a") * wide("a")), wide("l") * wide("r"))
-    best = F.min(F.struct(score.cast("long").alias("score"), "k", "l", "r")).alias("b")
+    cuts = cuts.withColumn("score", score.cast("long"))
+    best = F.min(F.struct("score", "k", "l", "r")).alias("b")
     return cuts.groupBy("lang", "phrase", "size", "a").agg(best).select("lang", "phrase", "size", "a", "b.l", "b.r", "b.score")
 
 
@@ -479,9 +574,8 @@ def collocations(
     """
     lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang")
     texts = docs.select(lang, text_of(F.col("text")).alias("text"))
-    wanted = stored(candidates(texts, least, most), "candidates")
-    counts = stored(phrase_counts(texts, wanted, trie_bytes), "phrase_counts")
-    ranked = top(without_parts(scored(counts, least), most), first)
+    counts = stored(phrase_counts(texts, candidates(texts, least, most), trie_bytes), "phrase_counts")
+    ranked = top(scored(counts, least, without_parts(frequent(counts, least), most)), first)
     return ranked.join(word_totals(texts), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -1,10 +1,14 @@
 """Fingerprints, collocations and alignment against plain versions, on tables and on awkward rows."""
 
 import random
+import re
 import sys
+from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -124,6 +128,53 @@ def test_collocations_in_many_tries(spark):
         assert sorted(map(tuple, phrases.collocations(df, 3, trie_bytes=size).collect())) == collocation_rows(rows, least=3)
 
 
+def test_words_hash_alike_wherever_they_stand():
+    rng = random.Random(6)
+    vocabulary = ["a", "b", "ab", "a\x00", "a\x00\x00", "été", "日本", "x" * 8, "x" * 9, "x" * 16 + "y", "z" * phrases.LONG_WORD, "z" * 200, "z" * 199 + "y"]
+    seps = [" ", "\t", "  ", ". ", " , ", "\n", "\x0b"]
+    texts = ["", *("".join(rng.choice(vocabulary) + rng.choice(seps) for _ in range(rng.randrange(40))) for _ in range(40)), "", "Ab", "aB x", ""]
+    raw = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(t) for t in raw]))
+    found = phrases.Words(np.frombuffer(b"".join(raw), np.uint8), offsets, ["en"] * len(raw))
+    split = [[re.findall("[^ \t]+", p.lower()) for p in re.split("[.,;:!?\n-\r]", t)] for t in texts]
+    assert found.buffer.tobytes().decode() == "".join(" ".join(p) + "\n" for t in split for p in t if p)
+    words = [w for t in split for p in t for w in p]
+    assert [found.buffer[a:b].tobytes().decode() for a, b in zip(found.begin, found.after)] == words
+    assert np.diff(found.first).tolist() == [sum(map(len, t)) for t in split]
+    assert len(set(zip(words, found.hash.tolist()))) == len(set(words)) == len(set(found.hash.tolist()))
+
+
+def test_collocation_places_walk_the_trie_of_their_word_only(monkeypatch):
+    words = ["a", "b", "c", "d", "e", "f", "g", "h"]
+    text = " ".join(random.Random(2).choices(words, k=500))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})
+    heads = next(phrases.found_words(batch))[0].hash
+    one = dict(zip(text.split(), heads.tolist()))
+    pairs, tries, large = [f"{a} {b}" for a in words for b in words], 3, {"h"}
+    spread = np.array([one[w] for w in large], np.uint64)
+    dealt = phrases.numbers_of(np.array([one[p[0]] for p in pairs], np.uint64), tries, spread)
+    dealt = np.where(dealt < 0, np.arange(len(pairs)) % tries, dealt)
+    own = [[p for p, b in zip(pairs, dealt) if b == i] for i in range(tries)]
+    made = [phrases.Trie.of([f"en\n{p}".encode() for p in x], np.arange(len(x))) for x in own]
+    sent = [SimpleNamespace(value=(i, t.base.tobytes(), t.check.tobytes(), len(x))) for i, (t, x) in enumerate(zip(made, own))]
+    walked, count = [], phrases.Trie.count
+    monkeypatch.setattr(phrases.Trie, "count", lambda self, buffer, begin, *a: (walked.append(len(begin)), count(self, buffer, begin, *a)))
+    rows = [r for b in phrases._walker(sent, tries, spread.view(np.int64).tolist())([batch]) for r in b.to_pylist()]
+    got = {own[r["block"]][r["number"]]: r["f"] for r in rows}
+    assert got == Counter(f"{a} {b}" for a, b in zip(text.split(), text.split()[1:]))
+    assert sum(walked) == 500 + (tries - 1) * text.split().count("h")
+
+
+def test_collocation_phrases_meet_the_counts_of_their_parts_once(spark):
+    counts = spark.createDataFrame([("en", "a", 30), ("en", "b", 30), ("en", "a b", 20), ("en", "a b a", 12), ("en", "b a", 13)], "lang string, phrase string, f long")
+    assert [r.phrase for r in phrases.without_parts(phrases.frequent(counts)).collect()] == ["a b a"]
+    kept = phrases.without_parts(phrases.frequent(counts), covered=62)
+    plan = phrases.scored(counts, phrases=kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3
+    own = ("en", "a b", 2, 20, 30, 30, 10**6 * 400 // 900), ("en", "a b a", 3, 12, 20, 30, 10**6 * 144 // 600)
+    assert sorted(map(tuple, phrases.scored(counts, phrases=kept).collect())) == list(own)
+
+
 def test_collocation_scores_past_64_bits(spark):
     big = 3_000_000_000_000
     counts = spark.createDataFrame([("en", "a", big), ("en", "b", big + 1), ("en", "a b", big - 7)], "lang string, phrase string, f long")
