@@ -234,8 +234,9 @@ def candidates(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
     """lang, phrase: every phrase of two to ``most`` words that stands ``least`` times, and its words.
 
     Level by level: a phrase is counted only where all its parts may be frequent, by a hash of
-    64 bits, so that its count is never too low and no frequent phrase is left out. The words of
-    a frequent hash are told by the texts of one class that holds it, not by every task.
+    64 bits, so that its count is never too low. The words of a frequent hash are told by the
+    texts of one class that holds it, not by every task; so no frequent phrase is left out unless
+    another one has its hash.
     """
     tables, frequent = {}, []
     for k in range(1, most + 1):
