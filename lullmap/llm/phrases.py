@@ -98,9 +98,9 @@ class Words:
 
     @functools.cached_property
     def owner(self) -> np.ndarray:
-        """A class of each text, the same wherever the text lies."""
+        """A class of each text in 16 bits, the same wherever the text lies."""
         sums = np.append(np.uint64(0), np.cumsum(self.hash))
-        return (mixed(sums[self.first[1:]] - sums[self.first[:-1]]) >> np.uint64(48)).astype(np.int32)
+        return (mixed(sums[self.first[1:]] - sums[self.first[:-1]]) >> np.uint64(48)).astype(np.uint16)
 
     @functools.cached_property
     def after(self) -> np.ndarray:
@@ -152,42 +152,53 @@ class Tally:
     """Counts of hashes and, where told, the class of a text that holds each, kept sorted and small."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.columns: list[list[np.ndarray]] = []
         self.size = 0
 
     def add(self, h: np.ndarray, owner: np.ndarray | None = None) -> None:
         if owner is None:
-            own = np.unique(h, return_counts=True)
+            keys, counts = np.unique(h, return_counts=True)
+            own = [keys, counts.astype(np.int32)]
         else:
             # Any text's class will do, so the order among equal hashes is left open.
             order = np.argsort(h)
             h = h[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-            own = h[first], np.diff(np.append(first, len(h))), owner[order[first]]
-        self.parts.append(own)
-        self.size += len(own[0])
+            own = [h[first], np.diff(np.append(first, len(h))).astype(np.int32), owner[order[first]]]
+        self._hold(own)
         if self.size > 2 * HELD:
-            self.parts = [self.total()]
-            self.size = len(self.parts[0][0])
-
-    def total(self) -> tuple[np.ndarray, ...]:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
-        keys, counts, *owners = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        if not len(first):
-            return keys, counts, *owners
-        return keys[first], np.add.reduceat(counts[order], first), *(x[order[first]] for x in owners)
+            self._hold(self.total())
+
+    def _hold(self, own: list[np.ndarray]) -> None:
+        self.columns = self.columns or [[] for _ in own]
+        for column, x in zip(self.columns, own):
+            column.append(x)
+        self.size += len(own[0])
+
+    def total(self) -> list[np.ndarray]:
+        """What was added, which is held no longer: a column at a time, so that few are there twice."""
+        columns, self.columns, self.size = self.columns, [], 0
+        if not columns:
+            return [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        for i, parts in enumerate(columns):
+            columns[i] = np.concatenate(parts)
+            parts.clear()
+        order = np.argsort(columns[0], kind="stable")
+        columns[0] = columns[0][order]
+        first = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])[: len(order)])
+        columns[0] = columns[0][first]
+        if len(first):
+            columns[1] = np.add.reduceat(columns[1][order], first, dtype=np.int64)
+        order = order[first]
+        return [*columns[:2], *(x[order] for x in columns[2:])]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         columns = self.total()
         keys = columns[0].view(np.int64)
         for i in range(0, len(keys), 100_000):
             part = [x[i : i + 100_000] for x in (keys, *columns[1:])]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, part)), ["key", "n", "owner"][: len(part)])
-        self.__init__()
+            kinds = [pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, kinds)], ["key", "n", "owner"][: len(part)])
 
 
 def found_words(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:

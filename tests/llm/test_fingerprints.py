@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 from types import SimpleNamespace
@@ -107,6 +108,26 @@ def test_tally_counts_with_and_without_owners(owned):
     assert not list(tally.rows())
 
 
+def test_tally_sums_up_within_bounded_memory(monkeypatch):
+    rng, n = np.random.default_rng(5), 1 << 16
+    monkeypatch.setattr(phrases, "HELD", 32 * n)
+    parts = [rng.integers(0, 1 << 62, n).astype(np.uint64) for _ in range(40)]
+    owners = [(h & np.uint64(0xFFFF)).astype(np.uint16) for h in parts]
+    tally = phrases.Tally()
+    tracemalloc.start()
+    for h, owner in zip(parts, owners):
+        tally.add(h, owner)
+    rows = 0
+    for batch in tally.rows():
+        assert batch.schema.types == [pa.int64(), pa.int64(), pa.int32()]
+        assert (batch.column(0).to_numpy().view(np.uint64) & np.uint64(0xFFFF) == batch.column(2).to_numpy()).all()
+        rows += batch.num_rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(np.unique(np.concatenate(parts)))
+    assert most < 60 * n * len(parts), most / n / len(parts)
+
+
 def collocation_rows(rows, **more):
     return sorted(brute.collocations(rows, **more))
 
