@@ -1,15 +1,19 @@
-"""From raw documents to training sequences: stages of the ``llm`` operators, each stored as Parquet."""
+"""From raw documents to training sequences: stages of the ``llm`` operators, each stored as Parquet.
+
+The stages that hand texts to Python limit its batches in the session, see ``common.small_batches``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lullmap.llm import decontaminate, exact_dedup, jaccard, packing, quality
-from lullmap.llm.common import stored, table
+from lullmap.llm.common import small_batches, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -20,11 +24,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of every group that links."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a passage of the benchmark."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -32,6 +38,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut what is left into pieces of power-of-two length."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullmap.llm.common import mixed, query, slices, table, text_arrays, text_of, words
+from lullmap.llm.common import NARROW_BYTES, mixed, query, slices, table, text_arrays, text_of, words
 
 # Positions of a window of words that count (1) and that are ignored (0). Wherever a quarter of 12
 # to 23 words is substituted one of them hits, and a longer overlap holds one of 12 to 23 words.
@@ -164,7 +164,7 @@ def indexes(benchmark: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
 
 def _scanned(index: Index) -> Callable[[pa.RecordBatch, int], Iterator[tuple]]:
     def scan(batch: pa.RecordBatch, column: int) -> Iterator[tuple]:
-        for at, _, data, offsets in slices(*text_arrays(batch, column)):
+        for at, _, data, offsets in slices(*text_arrays(batch, column), NARROW_BYTES):
             if len(data):
                 _, _, h, first = words(data, offsets, _APART)
                 for doc, *rest in index.overlaps(h, first):

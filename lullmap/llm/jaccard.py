@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullmap.llm.common import free_name, mixed, query, slices, stored, table, text_arrays, text_of, words
+from lullmap.llm.common import NARROW_BYTES, free_name, mixed, query, slices, stored, table, text_arrays, text_of, words
 from lullmap.llm.links import components
 
 SHINGLE_WORDS = 5
@@ -62,6 +62,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[new], kept[start]
 
 
+def all_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of any number of texts, in slices of bounded memory."""
+    parts = [shingle_sets(d, o) for _, _, d, o in slices(data, offsets, NARROW_BYTES)] or [shingle_sets(data, offsets)]
+    sizes = [np.diff(start) for _, start in parts]
+    return np.concatenate([sets for sets, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def set_keys(sets: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A 64-bit key for each set; equal sets have equal keys."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets + np.uint64(0x632BE59BD9B4E019)))])
@@ -127,7 +134,7 @@ def _first_pass(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for at, end, data, offsets in slices(*text_arrays(batch, 1)):
-                sets, start = shingle_sets(data, offsets)
+                sets, start = all_sets(data, offsets)
                 keys, size = set_keys(sets, start), np.diff(start)
                 n = end - at
                 # Members travel with the shuffle, in buckets of their own, copies too dealt over all.
@@ -173,7 +180,7 @@ def _live_sets(docs: DataFrame, live: DataFrame, buckets: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in slices(*text_arrays(batch, 0)):
-                sets, start = shingle_sets(data, offsets)
+                sets, start = all_sets(data, offsets)
                 doc = np.repeat(np.arange(end - at), np.diff(start))
                 if rows := list(_by_bucket(sets, doc, set_keys(sets, start), buckets)):
                     bucket, payload = zip(*rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullmap.llm.common import held_out, mixed, query, slices, table, text_arrays, words
+from lullmap.llm.common import NARROW_BYTES, held_out, mixed, query, slices, table, text_arrays, words
 
 # Labelled rows that the trees are grown on at most.
 TRAIN_ROWS = 20_000
@@ -93,7 +93,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def all_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """``statistics`` of any number of texts, in slices of bounded memory."""
-    parts = [statistics(d, o) for _, _, d, o in slices(data, offsets)]
+    parts = [statistics(d, o) for _, _, d, o in slices(data, offsets, NARROW_BYTES)]
     return np.concatenate(parts) if parts else np.empty((0, len(STATISTICS)))
 
 

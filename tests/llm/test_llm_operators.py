@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -295,6 +296,33 @@ def test_statistics_do_not_depend_on_slices():
     assert np.allclose(whole, each) and np.isfinite(whole).all()
 
 
+def test_batches_take_little_memory():
+    """A step of the pipeline takes less than eight times the bytes of a batch, and slices change no result."""
+    rng = random.Random(8)
+    known = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(known, k=300)) for _ in range(2400)] + ["", "one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    data, offsets = text_arrays(batch, 0)
+    assert len(data) > 4_000_000
+    index = decontaminate.Index.of([1], [texts[7]])
+    steps = {
+        "quality": lambda: quality.all_statistics(data, offsets),
+        "jaccard": lambda: jaccard.all_sets(data, offsets),
+        "decontamination": lambda: list(decontaminate._scanned(index)(batch, 0)),
+    }
+    got = {}
+    for name, step in steps.items():
+        tracemalloc.start()
+        got[name] = step()
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(data), name
+        tracemalloc.stop()
+    assert np.array_equal(got["quality"], quality.statistics(data, offsets))
+    for a, b in zip(got["jaccard"], jaccard.shingle_sets(data, offsets)):
+        assert np.array_equal(a, b)
+    assert [len(x) for x in jaccard.all_sets(data[:0], offsets[:1])] == [0, 1]
+    assert [(doc, n) for doc, _, _, _, n, _ in got["decontamination"]] == [(7, 300)]
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(4)
     plain = lambda i: " ".join(rng.choice(["tree", "house", "and", "runs", "the", "moronic"[:4]]) for _ in range(40))

@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -15,7 +16,7 @@ import brute
 import check_oracles
 import corpus_pipeline
 
-from lullmap.llm import ORACLES, QUERIES, decontaminate, quality
+from lullmap.llm import ORACLES, QUERIES, common, decontaminate, quality
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +91,24 @@ def test_pipeline(spark, sf, texts):
         assert stage(spark, docs, sf).columns == docs.columns
 
 
+def test_stages_hand_few_bytes_to_python(spark, sf):
+    """Long texts reach Python in small batches, and a limit of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "exact_dedup":
+            continue
+        spark.conf.unset(key)
+        stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert max(got) < 5_000_000 and sum(got) > 15_000_000, name
+    spark.conf.set(key, "1000000")
+    common.small_batches(spark)
+    assert int(spark.conf.get(key).rstrip("b")) == 1_000_000
+    spark.conf.unset(key)
+
+
 def test_stages_take_awkward_rows(spark, sf):
     for rows in (brute.ROWS, []):
         docs = brute.frame(spark, rows)
