@@ -1,4 +1,4 @@
-"""Phrase collocations: candidates that frequent parts allow, counted by broadcast double-array tries."""
+"""Phrase collocations: candidates that frequent parts allow, counted by double-array tries."""
 
 from __future__ import annotations
 
@@ -26,8 +26,12 @@ TABLE_BITS = 26
 TRIE_BYTES = 1 << 22
 # Tries that a task walks its texts through in one pass.
 TRIES_AT_ONCE = 4
+# Where tries are more than are walked in one pass, each is cut into so many, which the places come to.
+DEALT_TRIES = 16
 # Different hashes that a task holds before it hands on what it has counted.
 HELD = 1 << 22
+# Bytes of different phrases at places that a task holds before it hands them on, and that are walked at once.
+HELD_BYTES = 1 << 24
 
 _BREAK = bytes([*b".,;:!?", *range(0x0A, 0x0E)])
 # Bytes as they stand in a phrase: A-Z lowered, what parts words a space, what parts pieces a line feed.
@@ -346,27 +350,39 @@ class Trie:
             s = t
         return s
 
-    def count(self, buffer: np.ndarray, begin: np.ndarray, state: np.ndarray, into: np.ndarray) -> None:
-        """Count in ``into`` the phrases that start at ``begin`` from the given states.
+    def count(self, buffer: np.ndarray, begin: np.ndarray, state: np.ndarray, into: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Count in ``into`` the phrases that start at ``begin`` from the given states, each once or so many times.
 
         All places advance together, a byte at a time. At the end of a word a phrase may end.
         """
         alive = state >= 0
         at, state = begin[alive], state[alive]
-        accepted = []
+        n = None if times is None else times[alive]
+        accepted, weights = [], []
         while len(at):
             byte = buffer[at]
             over = (byte == 0x20) | (byte == Trie.END)
             s = state[over]
             last = self.base[s] + Trie.END
-            accepted.append(self.base[last[self.check[last] == s]])
-            goes = byte != Trie.END
-            at, state, byte = at[goes], state[goes], byte[goes]
-            after = self.base[state] + byte
+            right = self.check[last] == s
+            accepted.append(self.base[last[right]])
+            if n is not None:
+                weights.append(n[over][right])
+            goes = np.flatnonzero(byte != Trie.END)
+            state = state[goes]
+            after = self.base[state] + byte[goes]
             kept = self.check[after] == state
-            at, state = at[kept] + 1, after[kept]
+            goes = goes[kept]
+            at, state = at[goes] + 1, after[kept]
+            if n is not None:
+                n = n[goes]
         if accepted:
-            into += np.bincount(np.concatenate(accepted), minlength=len(into))
+            found = np.concatenate(accepted)
+            if n is None:
+                into += np.bincount(found, minlength=len(into))
+            else:
+                # Whole numbers, exact as doubles below 2**53.
+                into += np.bincount(found, np.concatenate(weights), len(into)).astype(np.int64)
 
 
 def _placed(parent: np.ndarray, code: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -417,21 +433,36 @@ def _placed(parent: np.ndarray, code: np.ndarray, nodes: int) -> tuple[np.ndarra
 def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """lang, phrase, f: how often each wanted phrase stands in the texts, overlaps included.
 
-    The phrases are dealt by their first word into as many tries as keep each at about
-    ``trie_bytes`` of text; those of a first word with too much of that are dealt by hash over
-    all tries. Tries are built by tasks, a few at once are broadcast, and every task walks the
-    places of its texts through the trie of their word, or through all, and hands on the counts
-    of its shard, which are summed.
+    A few tries of about ``trie_bytes`` of text are broadcast and the texts walked through them
+    where they lie. As each pass reads all texts, there is but one: with more phrases the places
+    come to the tries, see ``dealt_counts``. Either way the work follows the texts.
     """
     spark = texts.sparkSession
-    headed = stored(wanted.select("lang", "phrase").mapInArrow(_with_heads, "lang string, phrase string, head long"), "phrases")
+    schema = "lang string, phrase string, head long, pair long, key long, size int"
+    headed = stored(wanted.select("lang", "phrase").mapInArrow(_with_heads, schema), "phrases")
     size = F.octet_length("phrase") + F.octet_length("lang") + 2
-    heads = headed.groupBy("head").agg(F.sum(size).alias("bytes"))
+    heads = headed.groupBy("head").agg(F.sum(size).alias("bytes"), F.max("size").alias("size"))
     large = F.collect_list(F.when(F.col("bytes") > trie_bytes // 8, F.col("head")))
-    total, large = heads.agg(F.sum("bytes"), large).first()
+    total, most, large = heads.agg(F.sum("bytes"), F.max("size"), large).first()
     tries = -(-(total or 0) // trie_bytes)
     if not tries:
         return wanted.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
+    if tries > TRIES_AT_ONCE:
+        wanted_bits = spark.sparkContext.broadcast(bit_table(headed.select("key")))
+        cells = max(tries * DEALT_TRIES, texts.rdd.getNumPartitions())
+        counts = stored(dealt_counts(texts, headed, wanted_bits, most, cells), "counts")
+        wanted_bits.destroy()
+        return counts
+    return stored(broadcast_counts(texts, headed, tries, large), "counts")
+
+
+def broadcast_counts(texts: DataFrame, headed: DataFrame, tries: int, large: list[int]) -> DataFrame:
+    """lang, phrase, f, counted in one pass through all tries.
+
+    The phrases are dealt by their first word; those of a ``large`` first word are dealt by hash
+    over all tries. Tries are built by tasks, and every task walks the places of its texts through
+    the trie of their word, or through all, and hands on the counts of its shard, which are summed.
+    """
     # As numbers_of() has it.
     block = F.pmod(F.shiftrightunsigned("head", 1), F.lit(tries))
     if large:
@@ -439,9 +470,8 @@ def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BY
 
     def build(rows: pa.Table) -> pa.Table:
         """The phrases with their numbers, and a row with their trie."""
-        langs, phrases = rows["lang"].to_pylist(), rows["phrase"].to_pylist()
         number = np.arange(len(rows), dtype=np.int32)
-        made = Trie.of([f"{x}\n{p}".encode() for x, p in zip(langs, phrases)], number)
+        made = _trie(rows)
         phrases = rows.select(["block", "lang", "phrase"]).append_column("number", pa.array(number))
         row = {"block": rows["block"][:1], "number": pa.array([len(rows)], pa.int32())}
         row |= {"base": pa.array([made.base.tobytes()], pa.binary()), "check": pa.array([made.check.tobytes()], pa.binary())}
@@ -451,27 +481,151 @@ def phrase_counts(texts: DataFrame, wanted: DataFrame, trie_bytes: int = TRIE_BY
     schema = "block int, number int, lang string, phrase string, base binary, check binary"
     built = headed.select(block.cast("int").alias("block"), "lang", "phrase").groupBy("block").applyInArrow(build, schema)
     built = stored(built, "tries")
-    parts = []
-    for first in range(0, tries, TRIES_AT_ONCE):
-        sent = []
-        for i in range(first, min(first + TRIES_AT_ONCE, tries)):
-            for row in built.filter((F.col("block") == i) & F.col("base").isNotNull()).select("base", "check", "number").collect():
-                sent.append(spark.sparkContext.broadcast((i, row["base"], row["check"], row["number"])))
-            row = None
-        shards = texts.mapInArrow(_walker(sent, tries, large), "block int, number int, f long")
-        parts.append(stored(shards.groupBy("block", "number").agg(F.sum("f").alias("f")), "counts"))
-        for own in sent:
-            own.destroy()
+    sent = []
+    for i in range(tries):
+        for row in built.filter((F.col("block") == i) & F.col("base").isNotNull()).select("base", "check", "number").collect():
+            sent.append(texts.sparkSession.sparkContext.broadcast((i, row["base"], row["check"], row["number"])))
+        row = None
+    shards = texts.mapInArrow(_walker(sent, tries, large), "block int, number int, f long")
+    counts = stored(shards.groupBy("block", "number").agg(F.sum("f").alias("f")), "shards")
+    for own in sent:
+        own.destroy()
     phrases = built.filter(F.col("phrase").isNotNull()).select("block", "number", "lang", "phrase")
-    return phrases.join(functools.reduce(DataFrame.union, parts), ["block", "number"]).select("lang", "phrase", "f")
+    return phrases.join(counts, ["block", "number"]).select("lang", "phrase", "f")
+
+
+def dealt_counts(texts: DataFrame, headed: DataFrame, wanted_bits: Broadcast, most: int, cells: int) -> DataFrame:
+    """lang, phrase, f, counted in small tries, ``cells`` of words and as many of phrases, to which the places come.
+
+    A place is the longest wanted phrase that begins there, as far as a table of hashes tells, and
+    equal ones of a task come once with their number. Phrases of several words and their places
+    are dealt by the hash of the first two words, so a frequent word lies in many cells; words have
+    cells of their own, as the trie of a phrase would count them again.
+    """
+    # As Places has it.
+    cell = F.pmod(F.shiftrightunsigned("pair", 1), F.lit(cells)) + F.when(F.col("size") > 1, cells).otherwise(0)
+    phrases = headed.select(cell.cast("int").alias("cell"), "lang", "phrase")
+    places = texts.mapInArrow(_dealer(wanted_bits, most, cells), "cell int, langs array<string>, lang binary, size binary, n binary, bytes binary")
+
+    def count(rows: pa.Table, places: pa.Table) -> pa.Table:
+        sums = np.zeros(len(rows), np.int64)
+        if len(rows):
+            trie = _trie(rows)
+            root = functools.cache(lambda x: trie.walk(x.encode() + b"\n"))
+            for state, size, n, buffer in _places(places, root):
+                trie.count(buffer, np.cumsum(size) - size, state, sums, n)
+        held = pa.table({"lang": rows["lang"], "phrase": rows["phrase"], "f": pa.array(sums)})
+        return held.filter(pa.array(sums > 0))
+
+    return phrases.groupBy("cell").cogroup(places.groupBy("cell")).applyInArrow(count, "lang string, phrase string, f long")
+
+
+def _trie(rows: pa.Table) -> Trie:
+    langs, phrases = rows["lang"].to_pylist(), rows["phrase"].to_pylist()
+    return Trie.of([f"{x}\n{p}".encode() for x, p in zip(langs, phrases)], np.arange(len(rows)))
 
 
 def _with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase and the hash of the phrase's first word."""
+    """lang, phrase, the hashes of its first word, of its first two (of one, if there is no more) and of all, and its words."""
     for batch in batches:
-        heads = [found.hash[found.first[:-1]] for found, _ in found_words(batch)]
-        head = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head.view(np.int64))], ["lang", "phrase", "head"])
+        made = [[np.empty(0, np.uint64)] * 3 + [np.empty(0, np.int32)]]
+        for found, _ in found_words(batch):
+            size = np.diff(found.first).astype(np.int32)
+            h = [found.hash[found.first[:-1]] for _ in range(3)]
+            for k in range(2, int(size.max(initial=0)) + 1):
+                own = size >= k
+                h[2][own] = found.grams(k)[0][found.first[:-1][own]]
+                if k == 2:
+                    h[1] = h[2].copy()
+            made.append([*h, size])
+        columns = [np.concatenate(x) for x in zip(*made)]
+        columns = [pa.array(x.view(np.int64)) for x in columns[:3]] + [pa.array(columns[3])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["lang", "phrase", "head", "pair", "key", "size"])
+
+
+def _stretches(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of a buffer, joined."""
+    after = np.cumsum(size)
+    return buffer[np.arange(after[-1] if len(after) else 0) + np.repeat(begin - (after - size), size)]
+
+
+class Places:
+    """Different phrases at the places of a task's texts, each with its number, cell and language."""
+
+    def __init__(self, cells: int):
+        self.cells, self.held, self.bytes = cells, [], 0
+        self.langs: dict[str, int] = {}
+
+    def add(self, found: Words, langs: list[str], place: np.ndarray, words: np.ndarray, h: np.ndarray, pair: np.ndarray) -> None:
+        _, first, n = np.unique(h, return_index=True, return_counts=True)
+        place, h = place[first], h[first]
+        begin = found.begin[place]
+        size = found.after[place + words[first] - 1] + 1 - begin
+        data = _stretches(found.buffer, begin, size)
+        data[np.cumsum(size) - 1] = Trie.END
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)[found.text[place]]
+        cell = ((pair[first] >> np.uint64(1)) % np.uint64(self.cells)).astype(np.int32) + self.cells * (words[first] > 1)
+        self.held.append((h, n, cell, lang, size, data))
+        self.bytes += len(data) + 24 * len(h)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """What was added, a row for each cell; it is held no longer."""
+        if not self.held:
+            return
+        held, self.held, self.bytes = self.held, [], 0
+        h, n, cell, lang, size, data = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.add.reduceat(n[order], first)
+        own = order[first]
+        by = np.argsort(cell[own], kind="stable")
+        own, n = own[by], n[by]
+        begin = np.cumsum(size) - size
+        cells, cuts = np.unique(cell[own], return_index=True)
+        langs = list(self.langs)
+        for c, a, b in zip(cells.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(own)]):
+            some = own[a:b]
+            columns = [lang[some].astype("<i4"), size[some].astype("<i4"), n[a:b].astype("<i8"), _stretches(data, begin[some], size[some])]
+            columns = [pa.array([c], pa.int32()), pa.array([langs], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "langs", "lang", "size", "n", "bytes"])
+
+
+def _dealer(wanted_bits: Broadcast, most: int, cells: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, places = wanted_bits.value, Places(cells)
+        for batch in batches:
+            for found, langs in found_words(batch):
+                words = np.zeros(len(found.hash), np.int64)
+                longest = found.hash.copy()
+                for k in range(2, most + 1):
+                    h, fits = found.grams(k)
+                    at = np.flatnonzero(fits & in_table(bits, h))
+                    words[at], longest[at] = k, h[at]
+                one = np.flatnonzero(in_table(bits, found.hash))
+                many = np.flatnonzero(words)
+                place = np.concatenate([one, many])
+                pair = found.hash[one] if not len(many) else np.concatenate([found.hash[one], found.grams(2)[0][many]])
+                h = np.concatenate([found.hash[one], longest[many]])
+                places.add(found, langs, place, np.concatenate([np.ones(len(one), np.int64), words[many]]), h, pair)
+                if places.bytes > HELD_BYTES:
+                    yield from places.rows()
+        yield from places.rows()
+
+    return deal
+
+
+def _places(rows: pa.Table, root) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """States of the language, sizes, numbers and bytes of places, ``HELD_BYTES`` or a row at once."""
+    held = []
+    for r in range(len(rows)):
+        lang, size, n, data = (rows[c][r].as_buffer() for c in ("lang", "size", "n", "bytes"))
+        roots = np.array([root(x) for x in rows["langs"][r].as_py()], np.int64)
+        held.append((roots[np.frombuffer(lang, "<i4")], np.frombuffer(size, "<i4"), np.frombuffer(n, "<i8"), np.frombuffer(data, np.uint8)))
+        if r + 1 == len(rows) or sum(len(x[3]) for x in held) > HELD_BYTES:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
 
 
 def numbers_of(heads: np.ndarray, tries: int, large: np.ndarray) -> np.ndarray:
@@ -586,7 +740,7 @@ def collocations(
     """
     lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang")
     texts = docs.select(lang, text_of(F.col("text")).alias("text"))
-    counts = stored(phrase_counts(texts, candidates(texts, least, most), trie_bytes), "phrase_counts")
+    counts = phrase_counts(texts, candidates(texts, least, most), trie_bytes)
     ranked = top(scored(counts, least, without_parts(frequent(counts, least), most)), first)
     return ranked.join(word_totals(texts), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

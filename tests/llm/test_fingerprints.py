@@ -186,6 +186,28 @@ def test_collocation_places_walk_the_trie_of_their_word_only(monkeypatch):
     assert sum(walked) == 500 + (tries - 1) * text.split().count("h")
 
 
+def test_collocation_texts_are_read_once_for_any_number_of_tries(spark, monkeypatch):
+    """Words and phrases in one cell, phrases without their beginnings, one word before most others, places held in parts."""
+    rng = random.Random(12)
+    vocabulary = ["a"] * 9 + ["b", "ab", "été", "x" * 90, *(f"w{i}" for i in range(12))]
+    rows = [(rng.choice(["en", "fr", ""]), "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\t", ", "]) for _ in range(rng.randrange(90)))) for _ in range(50)]
+    held = Counter()
+    for lang, text in rows:
+        for words in (re.findall("[^ \t]+", piece) for piece in text.split(",")):
+            held.update((lang, " ".join(words[i : i + k])) for k in range(1, 5) for i in range(len(words) - k + 1))
+    wanted = rng.sample(sorted(held), 700) + [("en", "nowhere"), ("", "a nowhere")]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    phrase_rows, passes, plain = spark.createDataFrame(wanted, "lang string, phrase string"), [], type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, *a, **k: (passes.append(self is texts), plain(self, *a, **k))[1])
+    monkeypatch.setattr(phrases, "HELD_BYTES", 5_000, raising=False)
+    monkeypatch.setattr(phrases, "DEALT_TRIES", 1, raising=False)
+    for size in (1 << 22, 4_000, 1_500):
+        passes.clear()
+        got = phrases.phrase_counts(texts, phrase_rows, size).collect()
+        assert {(r.lang, r.phrase): r.f for r in got} == {w: held[w] for w in wanted if held[w]} and len(got) == len(wanted) - 2
+        assert sum(passes) == 1, size
+
+
 def test_collocation_phrases_meet_the_counts_of_their_parts_once(spark):
     counts = spark.createDataFrame([("en", "a", 30), ("en", "b", 30), ("en", "a b", 20), ("en", "a b a", 12), ("en", "b a", 13)], "lang string, phrase string, f long")
     assert [r.phrase for r in phrases.without_parts(phrases.frequent(counts)).collect()] == ["a b a"]
