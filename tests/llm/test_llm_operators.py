@@ -229,6 +229,42 @@ def test_repeats_of_shifted_passages(spark, monkeypatch, share):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in made)
 
 
+def test_repeats_of_short_strings_are_not_followed(spark, monkeypatch):
+    """Blocks that share an anchor and no passage take no part in the rounds for crowded anchors; those that do are all found."""
+    monkeypatch.setattr(suffixes, "SHARE_BLOCKS", 3)
+    kept, rows, rng = suffixes.stored, {}, random.Random(10)
+
+    def counted(df, label, **options):
+        made = kept(df, label, **options)
+        rows[label] = made.count()
+        return made
+
+    monkeypatch.setattr(suffixes, "stored", counted)
+    own = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    short, long = own(40), own(60)
+    apart = [(i if i % 9 else 3, own(45) + short + own(45)) for i in range(40)]
+    for more, left in (([], 0), ([(100 + i % 20, own(rng.randrange(60)) + long + own(rng.randrange(60))) for i in range(30)], None)):
+        got = suffixes.remove_repeats(spark.createDataFrame(apart + more, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(tuple, got)) == sorted(brute.repeats(apart + more))
+        assert rows["looked-into"] >= 40 and (rows["shared-blocks"] == left or left is None and rows["shared-blocks"] > 0)
+
+
+@pytest.mark.parametrize("cut", [1, 300, 1 << 20])
+def test_blocks_do_not_depend_on_what_is_cut_at_once(monkeypatch, cut):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("ab ", k=rng.choice([0, 7, 49, 50, 51, 300, 999]))).encode() for _ in range(40)]
+    monkeypatch.setattr(suffixes, "CUT_BYTES", cut, raising=False)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    s, e, anchor, _, doc, before = suffixes.blocks(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    covered = [i for a, b in zip(s, e) for i in range(a, b + 1)]
+    assert covered == [i for a, b in zip(offsets, offsets[1:]) for i in range(a, b - suffixes.LEAST_BYTES + 1)]
+    joined, held = b"".join(texts), {}
+    for a, b, h, t, x in zip(s.tolist(), e.tolist(), anchor.tolist(), doc.tolist(), before.tolist()):
+        assert offsets[t] <= a <= b <= offsets[t + 1] - suffixes.LEAST_BYTES and 0 <= x <= suffixes.LEAST_BYTES - suffixes.ANCHOR_BYTES
+        assert all(held.setdefault(joined[i : i + suffixes.LEAST_BYTES], h) == h for i in range(a, b + 1))
+        assert held.setdefault(h, joined[a + x : a + x + suffixes.ANCHOR_BYTES]) == joined[a + x : a + x + suffixes.ANCHOR_BYTES]
+
+
 def test_common_passages():
     rng = random.Random(3)
     texts = ["".join(rng.choices("ab", k=rng.randrange(0, 30))).encode() for _ in range(40)]
